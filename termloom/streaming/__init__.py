@@ -1,0 +1 @@
+"""Empty on purpose: concept mapping is a batch job and has no streaming operator."""
