@@ -66,7 +66,7 @@ def concept_pair_rank(t):
 @query(
     "mapping_result_number",
     """SELECT model, subject_id, object_id, CASE WHEN accurate_mapping = 1 THEN
-      sum(accurate_mapping) OVER (PARTITION BY model, subject_id ORDER BY concept_pair_rank)
+      (sum(accurate_mapping) OVER (PARTITION BY model, subject_id ORDER BY concept_pair_rank))::BIGINT
       ELSE 0 END AS mapping_result_number FROM {judged}""",
 )
 def mapping_result_number(t):
@@ -254,7 +254,7 @@ _GROUPS = f"""SELECT model, hit_as, miss_as, hit_ct, miss_ct,
   FROM (SELECT model, {_group_counts()} FROM {_FLAGS} GROUP BY model), {_COUNTS}"""
 _PR = """SELECT model, subject_id, coalesce(max(concept_pair_rank), 0) AS precision_k,
   coalesce(max(accurate_mapping)::DOUBLE / max(concept_pair_rank), 0) AS precision,
-  sum(accurate_mapping) AS score_at_k, max(mapping_count) AS recall_k,
+  sum(accurate_mapping)::BIGINT AS score_at_k, max(mapping_count) AS recall_k,
   sum(accurate_mapping)::DOUBLE / max(mapping_count) AS recall FROM {prepared} GROUP BY ALL"""
 _F = f"""SELECT model, mean_k, mean_precision, mean_recall,
   5 * mean_precision * mean_recall / (4 * mean_precision + mean_recall) AS f_score, 2.0::DOUBLE AS beta
@@ -420,7 +420,7 @@ def describe_scores(t):
 @query(
     "describe_scores_by_accuracy",
     _select_rounded(
-        f"""SELECT *, sum(mappings) OVER (PARTITION BY model) AS mappings_overall,
+        f"""SELECT *, (sum(mappings) OVER (PARTITION BY model))::BIGINT AS mappings_overall,
           round_even(mappings * 100.0::DOUBLE / sum(mappings) OVER (PARTITION BY model), 2)
             AS percent_mappings
         FROM (SELECT model, hit_miss_mapping, {_DESCRIBED} FROM {{analyzed}} GROUP BY ALL)""",

@@ -249,7 +249,7 @@ CHECK_ONLY["prepared"] = """
 SELECT c.model, j.mapping_justification, c.subject_id, j.predicate_id, j.object_id, j.pair_id,
   c.subject_label, j.object_label, c.mesh_concept_group, j.similarity_score,
   coalesce(j.accurate_mapping, 0) AS accurate_mapping, j.concept_pair_rank, c.mapping_count,
-  CASE WHEN j.accurate_mapping = 1 THEN j.running ELSE 0 END AS mapping_result_number,
+  CASE WHEN j.accurate_mapping = 1 THEN j.running::BIGINT ELSE 0 END AS mapping_result_number,
   CASE WHEN c.accurate = 1 THEN 'Hit' ELSE 'Miss' END AS hit_miss_concept,
   CASE WHEN j.accurate_mapping = 1 THEN 'Hit' ELSE 'Miss' END AS hit_miss_mapping,
   c.accurate IS NOT NULL AS model_analyzed
@@ -289,8 +289,8 @@ CHECK_ONLY["pooled"] = """
 SELECT v.*, coalesce(t.ties, 0) AS ties FROM {vote_table} v LEFT JOIN {tie_patterns} t
 ON t.participants = v.participants AND t.opts = v.opts AND t.most = v.votes"""
 CHECK_ONLY["evaluated"] = """
-SELECT e.*, CASE WHEN accurate_mapping = 1 THEN sum(accurate_mapping) OVER (
-    PARTITION BY subject_id ORDER BY concept_pair_rank) ELSE 0 END AS mapping_result_number,
+SELECT e.*, CASE WHEN accurate_mapping = 1 THEN (sum(accurate_mapping) OVER (
+    PARTITION BY subject_id ORDER BY concept_pair_rank))::BIGINT ELSE 0 END AS mapping_result_number,
   CASE WHEN accurate_mapping = 1 THEN 'Hit' ELSE 'Miss' END AS hit_miss_mapping,
   CASE WHEN max(accurate_mapping) OVER (PARTITION BY subject_id) = 1 THEN 'Hit' ELSE 'Miss' END
     AS hit_miss_concept,

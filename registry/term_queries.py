@@ -134,15 +134,12 @@ def read_seeds(t):
     return labels.join(seeds, labels["s"] == seeds["iri"], "left_semi").distinct()
 
 
-@query("paged_extract", "SELECT iri, id, name FROM {part_terms}")
+@query(
+    "paged_extract",
+    """SELECT iri, id, name, (row_number() OVER (ORDER BY id) - 1) // 1000 AS page FROM {part_terms}""",
+)
 def paged_extract(t):
-    rows = t.derived("part_terms").select("iri", "id", "name")
-    size = 1000
-    pages = -(-rows.count() // size)
-    out = terms.page(rows, "id", size, 0)
-    for number in range(1, pages):
-        out = out.unionByName(terms.page(rows, "id", size, number))
-    return out
+    return terms.pages(t.derived("part_terms").select("iri", "id", "name"), "id", 1000)
 
 
 @query(

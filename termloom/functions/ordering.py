@@ -42,7 +42,7 @@ def running_totals(
     totals: Mapping[str, Column],
     group_rows: int | None = None,
 ) -> DataFrame:
-    """Add running sums per group, e.g. ``{"rank": lit(1)}`` for a row number.
+    """Add running sums (long) per group, e.g. ``{"rank": lit(1)}`` for a row number.
 
     ``group_rows`` is a bound the caller knows for the group size (K after a top-K); without it
     one aggregation looks for hot groups first.
@@ -57,15 +57,14 @@ def running_totals(
         return _totals(df, keys, order, totals)
     cold_rows = df.join(hot, list(keys), "left_anti")
     hot_rows = df.join(hot, list(keys), "left_semi")
-    return _totals(cold_rows, keys, order, totals).unionByName(
-        _chunked_totals(hot_rows, keys, order, totals)
-    )
+    split = _chunked_totals(hot_rows, keys, order, totals)
+    return _totals(cold_rows, keys, order, totals).unionByName(split)
 
 
 def _totals(df, keys, order, totals):
     window = _until_here(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumns(
-        {name: F.sum(value).over(window).cast("int") for name, value in totals.items()}
+        {name: F.sum(value).over(window) for name, value in totals.items()}
     )
 
 
@@ -87,7 +86,7 @@ def _chunked_totals(df, keys, order, totals):
     local = cut.withColumns({name: F.sum(value).over(inside) for name, value in totals.items()})
     return local.join(shifts, chunk_keys).select(
         *df.columns,
-        *[(F.col(n) + F.col(f"_shift_{n}")).cast("int").alias(n) for n in totals],
+        *[(F.col(n) + F.col(f"_shift_{n}")).alias(n) for n in totals],
     )
 
 
@@ -102,6 +101,11 @@ def row_number_by(
     return running_totals(df, keys, order, {name: F.lit(1)}, group_rows)
 
 
+def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row") -> DataFrame:
+    """1, 2, 3 … over the whole table, without a single-task sort."""
+    return _chunked_totals(df, [], order, {name: F.lit(1)})
+
+
 def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group.
 

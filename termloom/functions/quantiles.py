@@ -1,61 +1,63 @@
 """Exact quantiles without collecting a group.
 
 Spark's ``median`` and ``percentile`` keep all distinct values of a group in one task. Here the
-values are counted first, then each wanted position is narrowed down by histograms, and only the
-values of the last bin are sorted.
+range that holds a wanted order statistic is narrowed by histograms until few rows are left in
+it, and only those are counted and sorted. A histogram pass shuffles at most ``BINS`` rows per
+range and task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
-LEVELS = 2
+from termloom.session import materialize
+
+BINS = 4096
+SORT_ROWS = 1_000_000
+
+_RANGE = ["_lo", "_hi"]
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], levels: int = LEVELS
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """One row per group with one column per entry of ``probs``.
 
-    Linear interpolation between the two neighbouring order statistics; nulls and NaNs are left
-    out. Each level divides the value range under search by ``BINS``.
+    Linear interpolation between neighbouring order statistics; nulls and NaNs are left out.
     """
-    by = list(by)
+    keys = [*by, "_all"]
     x = F.col(value).cast("double")
-    counted = (
-        df.select(*by, x.alias("_x"))
-        .filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-        .groupBy(*by, "_x")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(*by, F.lit(0).alias("_all"), x.alias("_x")).filter(
+        F.col("_x").isNotNull() & ~F.isnan("_x")
     )
-    wanted = _positions(counted, by, probs)
-    for _ in range(levels):
-        wanted = _narrow(counted, wanted, by)
-    points = _pick(counted, wanted, by)
-    columns = []
-    for name in probs:
-        low = F.max(F.when((F.col("_prob") == name) & ~F.col("_upper"), F.col("_x")))
-        high = F.max(F.when((F.col("_prob") == name) & F.col("_upper"), F.col("_x")))
-        weight = F.max(F.when(F.col("_prob") == name, F.col("_weight")))
-        columns.append((low + (high - low) * weight).alias(name))
-    return points.groupBy(*by).agg(*columns)
-
-
-def _positions(counted: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    # The written targets are few rows of known size, so Spark broadcasts them while that holds.
+    targets = materialize(_targets(rows, keys, probs), "quantile-targets")
+    wide = (F.col("_rows") > SORT_ROWS) & (F.col("_lo") < F.col("_hi"))
+    while not targets.filter(wide).isEmpty():
+        targets = materialize(
+            _narrow(rows, targets.filter(wide), keys).unionByName(targets.filter(~wide)),
+            "quantile-targets",
+        )
+    found = _located(rows, targets, keys, F.col("_x"))
+    return found.groupBy(*by).agg(
+        *[_interpolated(name).alias(name) for name in probs]
+    )
+
+
+def _targets(rows: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
     """Two zero-based positions per group and quantile, with the range that holds them."""
-    ranges = counted.groupBy(*by).agg(
-        F.sum("_n").alias("_all"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    ranges = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
     )
-    entries = []
+    wanted = []
     for name, p in probs.items():
-        exact = (F.col("_all") - 1) * F.lit(float(p))
+        exact = (F.col("_rows") - 1) * F.lit(float(p))
         for upper in (False, True):
             position = F.ceil(exact) if upper else F.floor(exact)
-            entries.append(
+            wanted.append(
                 F.struct(
                     F.lit(name).alias("_prob"),
                     F.lit(upper).alias("_upper"),
@@ -64,65 +66,49 @@ def _positions(counted: DataFrame, by: list[str], probs: dict[str, float]) -> Da
                 )
             )
     return ranges.select(
-        *by, "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
-        F.explode(F.array(*entries)).alias("_e"),
-    ).select(*by, "_lo", "_hi", "_below", "_e.*")
-
-
-_TARGET = ["_prob", "_upper"]
+        *keys, *_RANGE, "_rows", F.lit(0).cast("long").alias("_below"),
+        F.explode(F.array(*wanted)).alias("_w"),
+    ).select(*keys, *_RANGE, "_rows", "_below", "_w.*")
 
 
-def _inside(counted: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    """The counted values of each group that lie in the range of a wanted position."""
-    held = F.col("_x").between(F.col("_lo"), F.col("_hi"))
-    if by:
-        return counted.join(wanted, by).filter(held)
-    packed = wanted.agg(F.collect_list(F.struct(*wanted.columns))).scalar()
-    return (
-        counted.withColumn("_w", F.explode(packed)).select("_x", "_n", "_w.*").filter(held)
-    )
-
+def _located(rows: DataFrame, targets: DataFrame, keys: list[str], slot: Column) -> DataFrame:
+    """Find the slot of its range that each target falls into.
 
-def _narrow(counted: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    width = F.col("_hi") - F.col("_lo")
-    scaled = F.floor((F.col("_x") - F.col("_lo")) / width * BINS)
-    slot = F.when(width > 0, F.least(scaled, F.lit(BINS - 1))).otherwise(F.lit(0))
-    keys = [*by, *_TARGET]
-    slots = (
-        _inside(counted, wanted, by)
-        .withColumn("_slot", slot)
-        .groupBy(*keys, "_position", "_weight", "_below", "_slot")
-        .agg(F.sum("_n").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    ``slot`` orders the values inside a range. Returned with the slot's bounds ``_x`` and ``_top``,
+    its row count ``_n`` and the number of rows ``_upto`` its end.
+    """
+    ranges = targets.select(*keys, *_RANGE, "_below").distinct()
+    inside = rows.join(ranges, keys).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    slots = inside.groupBy(*keys, *_RANGE, "_below", slot.alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_x"), F.max("_x").alias("_top")
     )
-    # At most BINS rows per wanted position.
-    window = Window.partitionBy(*keys).orderBy("_slot")
+    window = Window.partitionBy(*keys, *_RANGE).orderBy("_slot")
     upto = F.col("_below") + F.sum("_n").over(
         window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        slots.withColumn("_upto", upto)
-        .filter(
-            (F.col("_position") < F.col("_upto"))
-            & (F.col("_position") >= F.col("_upto") - F.col("_n"))
-        )
-        .select(
-            *keys, "_position", "_weight", "_lo", "_hi",
-            (F.col("_upto") - F.col("_n")).alias("_below"),
-        )
+    cumulated = slots.select("*", upto.alias("_upto")).drop("_below")
+    position = F.col("_position")
+    return cumulated.join(targets.drop("_rows", "_below"), [*keys, *_RANGE]).filter(
+        (position < F.col("_upto")) & (position >= F.col("_upto") - F.col("_n"))
     )
 
 
-def _pick(counted: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    keys = [*by, *_TARGET]
-    window = Window.partitionBy(*keys).orderBy("_x")
-    upto = F.col("_below") + F.sum("_n").over(
-        window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        _inside(counted, wanted, by)
-        .withColumn("_upto", upto)
-        .filter(
-            (F.col("_position") < F.col("_upto"))
-            & (F.col("_position") >= F.col("_upto") - F.col("_n"))
-        )
+def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    scaled = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS
+    slot = F.least(F.floor(scaled), F.lit(BINS - 1))
+    return _located(rows, targets, keys, slot).select(
+        *keys,
+        F.col("_x").alias("_lo"),
+        F.col("_top").alias("_hi"),
+        F.col("_n").alias("_rows"),
+        (F.col("_upto") - F.col("_n")).alias("_below"),
+        "_prob", "_upper", "_position", "_weight",
     )
+
+
+def _interpolated(name: str) -> Column:
+    def of(column: str, upper: bool) -> Column:
+        return F.max(F.when((F.col("_prob") == name) & (F.col("_upper") == upper), F.col(column)))
+
+    low, high = of("_x", False), of("_x", True)
+    return low + (high - low) * of("_weight", False)

@@ -113,19 +113,23 @@ def prepare(
         {"concept_pair_rank": F.lit(1), "mapping_result_number": F.col("accurate_mapping")},
         group_rows,
     ).withColumn("mapping_result_number", _only_accurate("mapping_result_number"))
-    rows = concept_frame(judged, truth).join(
-        ranked, ["model", "subject_id", "subject_label"], "left"
+    concepts = concept_frame(judged, truth)
+    # An inner join, because Spark can split a hot subject on either side of it.
+    key = ["model", "subject_id", "subject_label"]
+    mapped = ranked.join(concepts.filter("model_analyzed"), key).withColumn(
+        "hit_miss_mapping",
+        F.when(F.col("accurate_mapping") == 1, F.col("hit_miss_concept")).otherwise("Miss"),
     )
-    accurate = F.coalesce("accurate_mapping", F.lit(0))
-    return rows.withColumns(
+    skipped = concepts.filter(~F.col("model_analyzed")).withColumns(
         {
-            "accurate_mapping": accurate,
-            "mapping_result_number": F.coalesce("mapping_result_number", F.lit(0)),
-            "hit_miss_mapping": F.when(accurate == 0, "Miss").otherwise(
-                F.col("hit_miss_concept")
-            ),
+            "accurate_mapping": F.lit(0),
+            "mapping_result_number": F.lit(0),
+            "hit_miss_mapping": F.lit("Miss"),
         }
-    ).select(*schemas.PREPARED_COLUMNS)
+    )
+    return mapped.unionByName(skipped, allowMissingColumns=True).select(
+        *schemas.PREPARED_COLUMNS
+    )
 
 
 # Per-subject facts and the report ------------------------------------------------------------

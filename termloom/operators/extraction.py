@@ -81,7 +81,9 @@ def extract_terms(
     ``subset_prefixes`` keeps a named subset or the given id prefixes; ``present_in`` asks for a
     label in another graph; ``part_of`` is a seed table whose parts at any depth are kept.
     """
-    merged = graph.merge_graphs(triples, graphs)
+    # One graph holds a triple once; only several need to be merged.
+    single = triples.filter(F.col("g") == graphs[0]).select("s", "p", "o")
+    merged = single if len(graphs) == 1 else graph.merge_graphs(triples, graphs)
     terms = graph.match(merged, LABEL, "iri", "name")
     if namespace is not None:
         terms = filter_namespace(terms, namespace)

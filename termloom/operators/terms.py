@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.ordering import number_rows
 from termloom.functions.text import term_content
 
 
@@ -45,9 +46,16 @@ def filter_subset(df: DataFrame, subset: str, prefixes: Iterable[str] = ()) -> D
     return df.filter(keep)
 
 
-def page(df: DataFrame, key: str, size: int, number: int) -> DataFrame:
-    """One page of a table in key order, for clients that ask page by page.
+def pages(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Add the number of the ``page``, from 0, that a row has in key order.
 
-    To move a whole table, use the table: its pages together are the same rows.
+    The table is sorted once for all pages, and together they are the whole table.
     """
-    return df.orderBy(key).offset(size * number).limit(size)
+    numbered = number_rows(df, [F.col(key)], "_row")
+    page = F.floor((F.col("_row") - 1) / size)
+    return numbered.withColumn("page", page).drop("_row")
+
+
+def page(df: DataFrame, key: str, size: int, number: int) -> DataFrame:
+    """One page of a table in key order."""
+    return pages(df, key, size).filter(F.col("page") == number).drop("page")

@@ -69,10 +69,10 @@ class MappingRun:
 
 
 def _map_by_content(source, target, source_content, target_content, embedder, k) -> MappingRun:
-    # Model calls are dear and the vectors are read several times: write them once.
+    # Model calls and the similarity join are dear, and their results are read several times.
     source_vectors = materialize(embed_content(source_content, embedder), "source-vectors")
     target_vectors = materialize(embed_content(target_content, embedder), "target-vectors")
-    scores = topk_similar(source_vectors, target_vectors, k)
+    scores = materialize(topk_similar(source_vectors, target_vectors, k), "scores")
     mappings = sssom_scored(source, target, scores)
     return MappingRun(scores, mappings, validate_mappings(mappings))
 
