@@ -127,9 +127,12 @@ class Tables:
     def mappings(self) -> DataFrame:
         return self.spark.read.parquet(self._path("mappings"))
 
+    def _build_truth(self) -> DataFrame:
+        return self.derived("truth")
+
     @property
     def truth(self) -> DataFrame:
-        return self.derived("truth")
+        return self.spark.read.parquet(self._path("truth"))
 
     def _build_prepared(self) -> DataFrame:
         from termloom.operators.evaluation import prepare

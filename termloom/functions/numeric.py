@@ -24,8 +24,9 @@ def share(part: Column, whole: Column, digits: int) -> Column:
 def zscore(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Centre and scale by mean and sample standard deviation over all rows.
 
-    The two numbers are scalar subqueries, so the rows themselves are not moved.
+    The two numbers are one scalar subquery, so the rows themselves are not moved.
     """
-    mean = df.agg(F.avg(column)).scalar()
-    sd = df.agg(F.stddev_samp(column)).scalar()
-    return df.withColumn(out or f"{column}_norm", (F.col(column) - mean) / sd)
+    both = F.struct(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
+    stats = df.agg(both).scalar()
+    scaled = (F.col(column) - stats["mean"]) / stats["sd"]
+    return df.withColumn(out or f"{column}_norm", scaled)

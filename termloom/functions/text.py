@@ -8,15 +8,18 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space characters of ECMAScript (a Unicode set, unlike Java's plain \s).
+# The white space characters of ECMAScript (a Unicode set, unlike Java's plain \s),
+# besides the blank itself.
 WHITE_SPACE = (
-    r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+    "\t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 
 def normalize_ws(text: Column) -> Column:
-    """Every run of white space becomes one space; none is left at either end."""
-    return F.trim(F.regexp_replace(text, WHITE_SPACE, " "))
+    """Every run of white space becomes one blank; none is left at either end."""
+    blanks = F.translate(text, WHITE_SPACE, " " * len(WHITE_SPACE))
+    return F.trim(F.regexp_replace(blanks, "  +", " "))
 
 
 def _or_empty(text: Column) -> Column:

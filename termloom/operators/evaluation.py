@@ -15,6 +15,7 @@ from termloom.operators.consensus import MAPPABLE, UNMAPPABLE
 
 # The two concept groups of the report.
 ANATOMICAL, CELL = "Anatomical structure", "Cell type"
+_GROUPS = {"as": ANATOMICAL, "ct": CELL}
 BETA = 2.0
 
 def _best() -> list[Column]:
@@ -163,11 +164,17 @@ def per_subject(prepared: DataFrame) -> DataFrame:
     )
 
 
-def _concepts(truth: DataFrame, *groups: str) -> Column:
-    rows = mappable(truth)
-    if groups:
-        rows = rows.filter(F.col("mesh_concept_group").isin(list(groups)))
-    return rows.agg(F.countDistinct("subject_id")).scalar()
+def _concepts(truth: DataFrame) -> Column:
+    """Numbers of mappable concepts: ``all`` of them and those of the two groups."""
+    rows = mappable(truth).select("subject_id", "mesh_concept_group").distinct()
+    subjects = rows.groupBy("subject_id").agg(
+        *[
+            F.max(F.col("mesh_concept_group") == group).alias(short)
+            for short, group in _GROUPS.items()
+        ]
+    )
+    counts = [F.count_if(short).alias(short) for short in _GROUPS]
+    return subjects.agg(F.struct(F.count(F.lit(1)).alias("all"), *counts)).scalar()
 
 
 def coverage(prepared: DataFrame, truth: DataFrame) -> DataFrame:
@@ -184,7 +191,7 @@ def _coverage_counts() -> list[Column]:
 
 
 def _coverage_columns(counted: DataFrame, truth: DataFrame) -> DataFrame:
-    out = counted.withColumn("mappable_concepts", _concepts(truth))
+    out = counted.withColumn("mappable_concepts", _concepts(truth)["all"])
     mapped, all_of = F.col("mapped_concepts"), F.col("mappable_concepts")
     return out.select(
         "*",
@@ -195,7 +202,6 @@ def _coverage_columns(counted: DataFrame, truth: DataFrame) -> DataFrame:
 
 _BY_ALL = ["hit", "miss"]
 _BY_GROUP = ["hit_as", "miss_as", "hit_ct", "miss_ct"]
-_GROUPS = {"as": ANATOMICAL, "ct": CELL}
 
 
 def _hit_miss_counts(names: Sequence[str]) -> list[Column]:
@@ -210,11 +216,10 @@ def _hit_miss_counts(names: Sequence[str]) -> list[Column]:
 
 
 def _hit_miss_shares(counted: DataFrame, truth: DataFrame, names: Sequence[str]) -> DataFrame:
-    shares = {}
+    shares, concepts = {}, _concepts(truth)
     for name in names:
         _, _, group = name.partition("_")
-        whole = _concepts(truth, *([_GROUPS[group]] if group else []))
-        shares[f"{name}_percent"] = share(F.col(name), whole, 2)
+        shares[f"{name}_percent"] = share(F.col(name), concepts[group or "all"], 2)
     return counted.withColumns(shares)
 
 

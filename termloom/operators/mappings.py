@@ -103,31 +103,36 @@ def crosswalk(
 ) -> DataFrame:
     """Codes of two vocabularies that share a concept, with their labels.
 
-    Labels depend on the code alone, so they are collected per code and not per pair.
-    ``*_drop`` removes a code prefix; otherwise ``:`` becomes ``_``.
+    Labels depend on the code alone, so they are collected per code and not per pair, and join
+    the pairs last. ``*_drop`` removes a code prefix; otherwise ``:`` becomes ``_``.
     """
-    sides = []
-    for vocabulary, side, drop in ((left, "left", left_drop), (right, "right", right_drop)):
+    links = concept_code.select("concept", "code_id").distinct()
+    pairs, names = None, {}
+    for vocabulary, side in ((left, "left"), (right, "right")):
         own = codes.filter(F.col("sab") == vocabulary).select("code_id")
-        sides.append(_labelled_codes(own, concept_code, code_term, side, drop))
-    return sides[0].join(sides[1], "concept").drop("concept").distinct()
+        names[side] = _code_labels(code_term.join(own, "code_id", "left_semi"), side)
+        linked = links.join(own, "code_id", "left_semi").withColumnRenamed("code_id", side)
+        pairs = linked if pairs is None else pairs.join(linked, "concept")
+    pairs = pairs.select("left", "right").distinct()
+    return pairs.join(names["left"], "left").join(names["right"], "right").select(
+        code_to_id(F.col("left"), left_drop).alias("left_id"),
+        code_to_id(F.col("right"), right_drop).alias("right_id"),
+        "left_labels",
+        "right_labels",
+    )
 
 
-def _labelled_codes(own, concept_code, code_term, side, drop):
-    # A label keeps the place of its first spelling.
-    names = (
-        code_term.join(own, "code_id", "left_semi")
-        .groupBy("code_id", F.lower("name").alias("label"))
+def _code_labels(code_term: DataFrame, side: str) -> DataFrame:
+    """Distinct lower-case labels of each code; a label keeps the place of its first spelling."""
+    return (
+        code_term.groupBy("code_id", F.lower("name").alias("label"))
         .agg(F.min("name").alias("name"))
-        .groupBy("code_id")
+        .groupBy(F.col("code_id").alias(side))
         .agg(F.array_sort(F.collect_list(F.struct("name", "label"))).alias("names"))
-    )
-    labels = F.array_join(F.transform("names", lambda n: n["label"]), "; ")
-    linked = concept_code.select("concept", "code_id").distinct()
-    return linked.join(names, "code_id").select(
-        "concept",
-        code_to_id(F.col("code_id"), drop).alias(f"{side}_id"),
-        labels.alias(f"{side}_labels"),
+        .select(
+            side,
+            F.array_join(F.transform("names", lambda n: n["label"]), "; ").alias(f"{side}_labels"),
+        )
     )
 
 

@@ -21,8 +21,9 @@ from termloom import schemas
 from termloom.functions.ordering import top_by
 
 LANE_BYTES = 64 << 20  # one lane of double precision vectors
-CELL_FLOPS = 2e10  # work that is worth a task of its own
+CELL_FLOPS = 2e9  # work that is worth a task of its own
 BLOCK_SOURCES, BLOCK_TARGETS = 512, 4096
+DENSE = 0.1  # share of a block from which on one double precision product is cheaper
 DIGITS = 9
 
 
@@ -142,36 +143,53 @@ def _unit_rows(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
 
 
 def _best(block, targets, k, min_score, digits):
-    """Best ``k`` target positions per row, by score and then by position."""
-    rows = np.empty(0, np.int64)
-    cols = np.empty(0, np.int64)
-    scores = np.empty(0)
-    floor = np.full(len(block), -np.inf)
+    """Best ``k`` target positions per row, by rounded score and then by position.
+
+    A single precision product finds the pairs that may count: its error for unit vectors is
+    below ``slack``. Only their scores are then computed in double precision.
+    """
+    rows, cols, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    slack = (block.shape[1] + 4) * 2.0**-23 + 10.0**-digits
+    floor = np.full(len(block), -np.inf if min_score is None else min_score)
+    narrow = block.astype(np.float32)
     for start in range(0, len(targets), BLOCK_TARGETS):
-        part = np.round(block @ targets[start : start + BLOCK_TARGETS].T, digits) + 0.0
-        bar = floor
-        if part.shape[1] > k:
-            bar = np.maximum(floor, np.partition(part, -k, axis=1)[:, -k])
-        r, c = np.nonzero(part >= bar[:, None])
-        s = part[r, c]
+        wide = targets[start : start + BLOCK_TARGETS]
+        rough = narrow @ wide.astype(np.float32).T
+        bar = (floor - slack).astype(np.float32)
+        near = rough >= bar[:, None]
+        if wide.shape[0] > k and np.count_nonzero(near) > 4 * k * len(block):
+            kth = np.partition(rough, -k, axis=1)[:, -k] - np.float32(2 * slack)
+            near = rough >= np.maximum(bar, kth)[:, None]
+        r, c = np.nonzero(near)
+        s = np.round(_scores(block, wide, r, c), digits) + 0.0
         if min_score is not None:
             keep = s > min_score
             r, c, s = r[keep], c[keep], s[keep]
-        rows = np.concatenate([rows, r])
-        cols = np.concatenate([cols, c + start])
+        rows, cols = np.concatenate([rows, r]), np.concatenate([cols, c + start])
         scores = np.concatenate([scores, s])
         order = np.lexsort((cols, -scores, rows))
         rows, cols, scores = rows[order], cols[order], scores[order]
-        begins = np.searchsorted(rows, np.arange(len(block)))
+        begins = np.searchsorted(rows, np.arange(len(block) + 1))
         keep = np.arange(len(rows)) - begins[rows] < k
         rows, cols, scores = rows[keep], cols[keep], scores[keep]
-        counts = np.bincount(rows, minlength=len(block))
-        full = counts == k
-        ends = np.searchsorted(rows, np.arange(len(block)), side="right") - 1
-        floor[full] = scores[ends[full]]
+        ends = np.searchsorted(rows, np.arange(len(block)), side="right")
+        full = np.bincount(rows, minlength=len(block)) == k
+        floor[full] = scores[ends[full] - 1]
     return rows, cols, scores
 
 
+def _scores(block, wide, r, c):
+    """Double precision scores of the chosen pairs."""
+    if len(r) > DENSE * block.shape[0] * wide.shape[0]:
+        return (block @ wide.T)[r, c]
+    piece = 1 << 16
+    parts = [
+        np.einsum("ij,ij->i", block[r[i : i + piece]], wide[c[i : i + piece]])
+        for i in range(0, len(r), piece)
+    ]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def score_threshold(scores: DataFrame, minimum: float = 0.5) -> DataFrame:
     """Strictly above the minimum."""
     return scores.filter(F.col("score") > minimum)

@@ -223,16 +223,19 @@ def hit_rank_histogram(prepared: DataFrame) -> DataFrame:
 def residual_summary(rows: DataFrame, residual: str, bins: int = 20) -> DataFrame:
     """Histogram of residuals over their range, each row with the moments of all of them."""
     e = F.col(residual)
-    low, high = rows.agg(F.min(e)).scalar(), rows.agg(F.max(e)).scalar()
-    # The largest residual belongs to the last bin.
-    bin_ = F.least(F.width_bucket(e, low, high, F.lit(bins)), F.lit(bins).cast("long"))
-    counted = rows.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("residuals"))
     moments = {
         "mean": F.avg(e),
         "sd": F.stddev_samp(e),
         "skewness": F.skewness(e),
         "kurtosis": F.kurtosis(e),
     }
-    return counted.withColumns(
-        {name: rows.agg(value).scalar() for name, value in moments.items()}
+    ends = {"low": F.min(e), "high": F.max(e)}
+    packed = F.struct(*[value.alias(name) for name, value in {**ends, **moments}.items()])
+    stats = rows.agg(packed).scalar()
+    # The largest residual belongs to the last bin.
+    top = F.lit(bins).cast("long")
+    bin_ = F.least(F.width_bucket(e, stats["low"], stats["high"], F.lit(bins)), top)
+    counted = rows.filter(e.isNotNull()).groupBy(bin_.alias("bin")).agg(
+        F.count(F.lit(1)).alias("residuals")
     )
+    return counted.withColumns({name: stats[name] for name in moments})
