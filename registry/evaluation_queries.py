@@ -528,9 +528,31 @@ _MODELS = {
 _SUMS = {"accurate_mapping": "sum", "mesh_concept_group": "sum"}
 
 
-@query("glm_fit")
+_CELLS = """(SELECT model, accurate_mapping AS a, count(*)::DOUBLE AS n, avg(similarity_score) AS m
+  FROM {analyzed} GROUP BY 1, 2)"""
+_MSE = f"""(SELECT sum(d * d) / (count(*) - (SELECT count(*) FROM {_CELLS})) AS mse FROM (
+  SELECT similarity_score - avg(similarity_score) OVER (PARTITION BY model, accurate_mapping) AS d
+  FROM {{analyzed}}))"""
+
+
+@query(
+    "glm_fit",
+    f"""SELECT term, round(b, 6) AS estimate, round(sqrt(v * mse), 6) AS std_error,
+      round(b / sqrt(v * mse), 3) AS t_value
+    FROM (
+      SELECT '(Intercept)' AS term, m AS b, 1 / n AS v FROM {_CELLS} WHERE model = 'back' AND a = 0
+      UNION ALL SELECT 'model' || x.model, x.m - o.m, 1 / x.n + 1 / o.n FROM {_CELLS} x
+        JOIN {_CELLS} o ON o.model = 'back' AND o.a = 0 WHERE x.a = 0 AND x.model <> 'back'
+      UNION ALL SELECT 'accurate_mapping1', x.m - o.m, 1 / x.n + 1 / o.n FROM {_CELLS} x
+        JOIN {_CELLS} o ON o.model = 'back' AND o.a = 0 WHERE x.a = 1 AND x.model = 'back'
+      UNION ALL SELECT 'model' || x.model || ':accurate_mapping1', x.m - y.m - z.m + o.m,
+        1 / x.n + 1 / y.n + 1 / z.n + 1 / o.n FROM {_CELLS} x
+        JOIN {_CELLS} y ON y.model = x.model AND y.a = 0 JOIN {_CELLS} z ON z.model = 'back' AND z.a = 1
+        JOIN {_CELLS} o ON o.model = 'back' AND o.a = 0 WHERE x.a = 1 AND x.model <> 'back'), {_MSE}""",
+)
 def glm_fit(t):
-    return linear_models.glm_fit(_rows(t), "similarity_score", ["model", "accurate_mapping"])
+    fit = linear_models.glm_fit(_rows(t), "similarity_score", ["model", "accurate_mapping"])
+    return rounded(fit, t_value=3)
 
 
 @query(
@@ -545,10 +567,33 @@ def glm_fit_one_factor(t):
     return rounded(fit.select("term", "estimate"))
 
 
-@query("model_selection")
+def _fits_sql():
+    """A full factorial model fits each cell by its mean."""
+    parts = []
+    for name, factors in _MODELS.items():
+        columns = ", ".join(factors)
+        parts.append(
+            f"""SELECT '{name}' AS model, count(*)::DOUBLE AS n, sum(d * d) AS rss,
+            count(DISTINCT ({columns})) + 1 AS parameters FROM (SELECT {columns}, similarity_score
+              - avg(similarity_score) OVER (PARTITION BY {columns}) AS d FROM {{analyzed}})"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "model_selection",
+    f"""SELECT model, parameters::INT AS parameters, round(aic, 4) AS aic, round(aicc, 4) AS aicc,
+      round(aicc - min(aicc) OVER (), 4) AS delta,
+      round(exp((min(aicc) OVER () - aicc) / 2) / sum(exp((low - aicc) / 2)) OVER (), 4) AS weight,
+      round(l, 4) AS log_likelihood
+    FROM (SELECT *, min(aicc) OVER () AS low FROM (
+      SELECT *, aic + 2.0 * parameters * (parameters + 1) / (n - parameters - 1) AS aicc
+      FROM (SELECT *, 2 * parameters - 2 * l AS aic FROM (
+        SELECT *, -n / 2 * (ln(2 * pi() * rss / n) + 1) AS l FROM ({_fits_sql()})))))""",
+)
 def model_selection(t):
     contrasts = {"t3.1": {"accurate_mapping": "sum"}, "t3.2": _SUMS}
-    return linear_models.model_selection(_rows(t), "similarity_score", _MODELS, contrasts)
+    return rounded(linear_models.model_selection(_rows(t), "similarity_score", _MODELS, contrasts), 4)
 
 
 @query("anova_factorial")
@@ -570,12 +615,12 @@ def _residuals(t):
 
 @query(
     "lag_residual",
-    f"""SELECT model, pair_id, round(e - lag(e) OVER (ORDER BY model, subject_id, concept_pair_rank), 6)
+    f"""SELECT model, pair_id, round(e - lag(e) OVER (ORDER BY model, subject_id, concept_pair_rank), 9)
     AS lag_difference FROM {_RESIDUALS}""",
 )
 def lag_residual(t):
     rows = statistics.lag_residual(_residuals(t), "e", _ORDER)
-    return rounded(rows.select("model", "pair_id", "lag_difference"))
+    return rounded(rows.select("model", "pair_id", "lag_difference"), 9)
 
 
 @query(
@@ -665,6 +710,14 @@ def hit_rank_histogram(t):
     return rounded(statistics.hit_rank_histogram(t.prepared))
 
 
-@query("residual_summary")
+@query(
+    "residual_summary",
+    f"""SELECT bin, residuals, round(mean, 6) AS mean, round(sqrt(m2 / (n - 1)), 6) AS sd,
+      round(sqrt(n) * m3 / pow(m2, 1.5), 6) AS skewness, round(n * m4 / (m2 * m2) - 3, 6) AS kurtosis
+    FROM (SELECT least(floor((e - low) / (high - low) * 20)::INT + 1, 20) AS bin, count(*) AS residuals
+      FROM (SELECT e, min(e) OVER () AS low, max(e) OVER () AS high FROM {_RESIDUALS}) GROUP BY 1),
+    (SELECT count(*)::DOUBLE AS n, avg(e) AS mean, sum(pow(e - c, 2)) AS m2, sum(pow(e - c, 3)) AS m3,
+      sum(pow(e - c, 4)) AS m4 FROM (SELECT e, avg(e) OVER () AS c FROM {_RESIDUALS}))""",
+)
 def residual_summary(t):
-    return statistics.residual_summary(_residuals(t), "e")
+    return rounded(statistics.residual_summary(_residuals(t), "e"))

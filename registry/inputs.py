@@ -29,7 +29,7 @@ HEADINGS = "urn:graph:headings"
 
 SHARED: dict[str, str] = {}
 CHECK_ONLY: dict[str, str] = {}
-KEEP = {"scores", "mappings", "truth", "prepared", "triples", "heading_nodes", "evaluated"}
+KEEP = {"proposed", "scores", "mappings", "truth", "prepared", "triples", "heading_nodes", "evaluated"}
 
 SHARED["terms"] = """
 SELECT 'http://example.org/doc/' || doc_id AS iri, 'DOC_' || doc_id AS id,
@@ -60,27 +60,26 @@ SELECT CASE WHEN label < 5 THEN 'http://example.org/right/AS_'
 FROM {embeddings}"""
 
 # Ground truth: the pairs that any model proposed are judged by equal labels.
+# Two classes cannot be mapped.
+SHARED["subjects"] = """
+SELECT iri AS subject_id, name AS subject_label, label, label IN (4, 9) AS unmappable,
+  CASE WHEN label < 5 THEN 'Anatomical structure' ELSE 'Cell type' END AS mesh_concept_group,
+  CASE WHEN label IN (4, 9) THEN 'reason ' || (vec_id % 3) END AS exclusion_reason
+FROM {left_terms}"""
+SHARED["proposed"] = """
+SELECT DISTINCT m.subject_id, m.object_id, CASE WHEN s.label = r.label THEN 1 ELSE 0 END AS accurate
+FROM {mappings} m JOIN {subjects} s ON m.subject_id = s.subject_id AND NOT s.unmappable
+JOIN {right_terms} r ON m.object_id = r.iri"""
 SHARED["truth"] = """
-SELECT CASE WHEN c.vec_id % 20 = 0 THEN NULL ELSE c.subject_id || '|' || j.object_id END AS pair_id,
-  c.subject_id, c.subject_label,
-  CASE WHEN c.label < 5 THEN 'Anatomical structure' ELSE 'Cell type' END AS mesh_concept_group,
-  CASE WHEN c.vec_id % 20 = 0 THEN 0 ELSE CAST(greatest(coalesce(k.n, 0), 1) AS INT) END
-    AS mapping_count,
-  CASE WHEN c.vec_id % 20 = 0 THEN 'Unmappable' ELSE 'Mappable' END AS mappability,
-  CASE WHEN c.vec_id % 20 = 0 THEN 'reason ' || (c.label % 3) END AS exclusion_reason,
-  CASE WHEN c.vec_id % 20 = 0 THEN 0 ELSE coalesce(j.accurate, 0) END AS accurate_mapping
-FROM (SELECT iri AS subject_id, name AS subject_label, vec_id, label FROM {left_terms}) c
-LEFT JOIN (
-  SELECT DISTINCT m.subject_id, m.object_id, CASE WHEN l.label = r.label THEN 1 ELSE 0 END AS accurate
-  FROM {mappings} m JOIN {left_terms} l ON m.subject_id = l.iri
-  JOIN {right_terms} r ON m.object_id = r.iri WHERE l.vec_id % 20 <> 0) j
-ON c.subject_id = j.subject_id
-LEFT JOIN (
-  SELECT m.subject_id, count(DISTINCT m.object_id) AS n
-  FROM {mappings} m JOIN {left_terms} l ON m.subject_id = l.iri
-  JOIN {right_terms} r ON m.object_id = r.iri WHERE l.label = r.label
-  GROUP BY m.subject_id) k
-ON c.subject_id = k.subject_id"""
+SELECT s.subject_id || '|' || j.object_id AS pair_id, s.subject_id, s.subject_label,
+  s.mesh_concept_group,
+  CASE WHEN s.unmappable THEN 0 ELSE CAST(greatest(coalesce(k.n, 0), 1) AS INT) END AS mapping_count,
+  CASE WHEN s.unmappable THEN 'Unmappable' ELSE 'Mappable' END AS mappability,
+  s.exclusion_reason, coalesce(j.accurate, 0) AS accurate_mapping
+FROM {subjects} s
+LEFT JOIN {proposed} j ON s.subject_id = j.subject_id
+LEFT JOIN (SELECT subject_id, count(*) AS n FROM {proposed} WHERE accurate = 1 GROUP BY subject_id) k
+  ON s.subject_id = k.subject_id"""
 
 # Triples: parts as anatomy with a part-of tree, suppliers as cells, nations as genes,
 # regions, nations and customers as headings.

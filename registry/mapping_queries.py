@@ -44,9 +44,38 @@ def topk_per_group(t):
     )
 
 
-@query("embed_content")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(texts):
+    """Stands in for an embedding model: how often each letter occurs."""
+    return [[float(text.count(letter)) for letter in LETTERS] for text in texts]
+
+
+def letters_sql(content):
+    counts = [f"length({content}) - length(replace({content}, '{c}', ''))" for c in LETTERS]
+    return f"[{', '.join(counts)}]"
+
+
+def _described(t):
+    return t.derived("terms").select("id", F.col("description").alias("content"))
+
+
+@query(
+    "embed_content",
+    f"""SELECT id, unnest(range(26)) AS place, unnest({letters_sql("description")})::DOUBLE AS value
+    FROM {{terms}}""",
+)
 def embed_content(t):
-    return plugins.embed_content(t.derived("terms").select("id", F.col("description").alias("content")))
+    vectors = plugins.embed_content(_described(t), letter_counts)
+    return vectors.select("id", F.posexplode("embedding").alias("place", "value")).select(
+        "id", F.col("place").cast("long").alias("place"), F.col("value").cast("double").alias("value")
+    )
+
+
+@query("embed_content_hashed")
+def embed_content_hashed(t):
+    return plugins.embed_content(_described(t))
 
 
 # Ranking ---------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from registry.core import query
 from registry.inputs import (
-    ANATOMY, CELLS, COLLECTION, HUMAN, OBO, OIO, RDFS_LABEL,
+    ANATOMY, CELLS, COLLECTION, HUMAN, MODELS, OBO, OIO, RDFS_LABEL,
 )
 from termloom.functions import numeric, text, vectors
 from termloom.operators import graph, similarity, terms
@@ -74,15 +74,6 @@ def _mapping_folder(t):
     return folder
 
 
-def _read_sets(t, pooled):
-    # Spark writes a folder per set, so the model is taken from the folder's name here.
-    rows = tables._csv(t.spark, _mapping_folder(t), tables.schemas.MAPPINGS,
-                       recursiveFileLookup=True)
-    file = F.element_at(F.split("_metadata.file_path", "/"), -2)
-    rows = rows.withColumn("model", tables.model_name(file, "demo"))
-    return rows if pooled else tables.exclude_pooled(rows)
-
-
 _SETS = """SELECT subject_id, subject_label, predicate_id, object_id, object_label,
   similarity_score, mapping_justification,
   CASE model WHEN 'first half' THEN 'first.llm' WHEN 'second half' THEN 'second.llm'
@@ -91,12 +82,22 @@ _SETS = """SELECT subject_id, subject_label, predicate_id, object_id, object_lab
 
 @query("read_mapping_sets", _SETS)
 def read_mapping_sets(t):
-    return _read_sets(t, True).drop("comment")
+    return tables.read_mapping_sets(t.spark, _mapping_folder(t), "demo").drop("comment")
 
 
 @query("exclude_pooled", f"SELECT * FROM ({_SETS}) WHERE model NOT LIKE '%pooled%'")
 def exclude_pooled(t):
-    return _read_sets(t, False).drop("comment")
+    rows = tables.read_mapping_sets(t.spark, _mapping_folder(t), "demo", pooled=False)
+    return rows.drop("comment")
+
+
+@query("read_prepared", "SELECT * FROM {prepared}")
+def read_prepared(t):
+    folder = scratch_path(t.spark, "prepared-files")
+    for model, *_ in MODELS:
+        own = t.prepared.filter(F.col("model") == model)
+        own.write.option("header", True).csv(f"{folder}/demo-mapping.{model}-prepared.csv")
+    return tables.read_prepared(t.spark, folder, "demo")
 
 
 @query("read_truth", "SELECT * FROM {truth}")

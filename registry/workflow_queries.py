@@ -4,7 +4,13 @@ from pyspark.sql import functions as F
 
 from registry.core import query
 from registry.evaluation_queries import rounded
-from registry.mapping_queries import _CANDIDATES, _LOGICAL, _reversing_model
+from registry.mapping_queries import (
+    _CANDIDATES,
+    _LOGICAL,
+    _reversing_model,
+    letter_counts,
+    letters_sql,
+)
 from termloom.plans import workflows
 from termloom.session import scratch_path
 from termloom.sources.sinks import RunConfig
@@ -16,14 +22,35 @@ def _writer(prompts):
     return [prompt.split("Known so far:\n", 1)[-1] for prompt in prompts]
 
 
-@query("workflow_desc_vec")
+def _mapped_sql(source, target, extra=""):
+    """Top 10 passages of each document by the cosine of their letter counts."""
+    return f"""SELECT subject_id, subject_label, 'skos:relatedMatch' AS predicate_id, object_id,
+      object_label, round(score, 6) AS similarity_score, '' AS comment,
+      'semapv:SemanticSimilarityThresholdMatching' AS mapping_justification{extra}
+    FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, target) AS place
+      FROM (SELECT s.iri AS subject_id, s.name AS subject_label, t.iri AS object_id,
+        t.name AS object_label, t.id AS target,
+        round(list_cosine_similarity(s.v::DOUBLE[], t.v::DOUBLE[]), 9) AS score
+        FROM (SELECT iri, name, {letters_sql(source)} AS v FROM {{terms}}) s,
+          (SELECT iri, name, id, {letters_sql(target)} AS v FROM {{passages}}) t)
+      WHERE NOT isnan(score)) WHERE place <= 10"""
+
+
+_TEXT = "(name || CASE WHEN aka <> '' THEN ' also known as ' || aka ELSE '' END || ' ' || description)"
+
+
+@query("workflow_desc_vec", _mapped_sql(_TEXT, _TEXT))
 def workflow_desc_vec(t):
-    return workflows.map_by_description(t.derived("terms"), t.derived("passages")).mappings
+    run = workflows.map_by_description(t.derived("terms"), t.derived("passages"), letter_counts)
+    return rounded(run.mappings)
 
 
-@query("workflow_llm_vec")
+@query("workflow_llm_vec", _mapped_sql("description", "description"))
 def workflow_llm_vec(t):
-    return workflows.map_by_expansion(t.derived("terms"), t.derived("passages"), _writer).mappings
+    run = workflows.map_by_expansion(
+        t.derived("terms"), t.derived("passages"), _writer, letter_counts
+    )
+    return rounded(run.mappings)
 
 
 @query(
@@ -64,7 +91,15 @@ def workflow_validation(t):
     return report.select("model", "mapping_results", "hit", "miss")
 
 
-@query("run_workflows")
+_BOTH = f"""{_mapped_sql(_TEXT, _TEXT, ", 'desc-vec' AS model")}
+  UNION ALL {_mapped_sql("description", "description", ", 'gpt4o.llm' AS model")}"""
+
+
+@query(
+    "run_workflows",
+    f"""SELECT * EXCLUDE (comment), 'documents-passages' AS dataset, 'v0.0.1' AS version
+    FROM ({_BOTH})""",
+)
 def run_workflows(t):
     folder = scratch_path(t.spark, "inputs")
     for name, table in (("source", "terms"), ("target", "passages")):
@@ -72,6 +107,9 @@ def run_workflows(t):
         rows.csv(f"{folder}/{name}")
     config = RunConfig("documents-passages", "v0.0.1", f"{folder}/source", f"{folder}/target",
                        scratch_path(t.spark, "published"))
-    clients = {"gpt4o": workflows.Clients(text=_writer)}
-    done = workflows.run_workflows(t.spark, config, ["desc-vec", "gpt4o"], clients, read_terms)
-    return rounded(done.drop("created"))
+    clients = {
+        "desc-vec": workflows.Clients(letter_counts),
+        "gpt4o": workflows.Clients(letter_counts, _writer),
+    }
+    done = workflows.run_workflows(t.spark, config, list(clients), clients, read_terms)
+    return rounded(done.drop("created", "comment"))

@@ -46,8 +46,9 @@ def topk_similar(
     if k < 1:
         raise ValueError("k must be at least 1")
     source_lanes, target_lanes = lanes or plan_lanes(source, target)
-    best = _lanes(source, source_lanes, target_lanes, "s").cogroup(
-        _lanes(target, target_lanes, source_lanes, "t")
+    cells = source_lanes * target_lanes
+    best = _lanes(source, "s", source_lanes, target_lanes, cells).cogroup(
+        _lanes(target, "t", target_lanes, source_lanes, cells)
     )
     found = best.applyInArrow(_cell(k, min_score, digits), schemas.SCORES)
     if target_lanes == 1:
@@ -78,17 +79,20 @@ def plan_lanes(source: DataFrame, target: DataFrame) -> tuple[int, int]:
     return max(for_memory_s, for_work), for_memory_t
 
 
-def _lanes(df: DataFrame, own: int, other: int, side: str):
+def _lanes(df: DataFrame, side: str, own: int, other: int, cells: int):
     """Hash rows to a lane and send one copy to each cell of that lane."""
     lane = F.pmod(F.xxhash64("id", "embedding"), F.lit(own))
-    every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-    s, t = ("_own", "_other") if side == "s" else ("_other", "_own")
-    return (
-        df.select(F.col("id").cast("string").alias("id"), "embedding", lane.alias("_own"))
-        .withColumn("_other", every)
-        .select("id", "embedding", (F.col(s) * (own if side == "t" else other) + F.col(t)).alias("_cell"))
-        .groupBy("_cell")
-    )
+    opposite = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+    number = F.col("_own") * other + F.col("_other")
+    if side == "t":
+        number = F.col("_other") * own + F.col("_own")
+    copies = df.select(
+        F.col("id").cast("string").alias("id"), "embedding", lane.alias("_own")
+    ).withColumn("_other", opposite)
+    copies = copies.select("id", "embedding", number.alias("_cell"))
+    if cells > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        copies = copies.repartition(cells, "_cell")
+    return copies.groupBy("_cell")
 
 
 def _cell(k: int, min_score: float | None, digits: int):

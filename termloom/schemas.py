@@ -37,6 +37,12 @@ TRUTH = T.StructType(
     + [T.StructField("accurate_mapping", T.IntegerType())]
 )
 
+_INTEGERS = ("accurate_mapping", "concept_pair_rank", "mapping_count", "mapping_result_number")
+_PREPARED_TYPES = {
+    **dict.fromkeys(_INTEGERS, T.LongType()),
+    "similarity_score": T.DoubleType(),
+    "model_analyzed": T.BooleanType(),
+}
 PREPARED_COLUMNS = [
     "model",
     "mapping_justification",
@@ -56,3 +62,7 @@ PREPARED_COLUMNS = [
     "hit_miss_mapping",
     "model_analyzed",
 ]
+
+PREPARED = T.StructType(
+    [T.StructField(c, _PREPARED_TYPES.get(c, T.StringType())) for c in PREPARED_COLUMNS]
+)

@@ -106,25 +106,36 @@ def repair_ranked(lines: DataFrame) -> DataFrame:
     ).filter(F.col("rank").isNotNull() & F.col("score").isNotNull())
 
 
-def model_name(file_name: Column, project: str) -> Column:
-    """Model of a mapping file: its name without project, ``-vec`` and endings."""
-    name = file_name
+def model_name(path: Column, project: str) -> Column:
+    """Model of a mapping file or folder: its name without project, ``-vec`` and endings.
+
+    ``path`` is a file path as Spark reports it, which is percent-encoded.
+    """
+    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract(path, r"([^/]*(?:sssom|prepared)\.csv)[^/]*(?:/[^/]*)?$", 1)
     for part in (f"{project}-mapping.", ".sssom.csv", "-vec", "-prepared.csv"):
         name = F.replace(name, F.lit(part), F.lit(""))
     return F.when(name == "desc", HUMAN_MODEL).otherwise(name)
 
 
 def read_mapping_sets(
-    spark: SparkSession,
-    folder: str,
-    project: str,
-    pattern: str = "*sssom.csv*",
-    schema: T.StructType = schemas.MAPPINGS,
-    pooled: bool = True,
+    spark: SparkSession, folder: str, project: str, pooled: bool = True
+) -> DataFrame:
+    """All mapping sets of a folder with their ``model``; ``pooled=False`` drops pooled ones.
+
+    A set is a file ``*sssom.csv``, or a folder of that name as Spark writes it.
+    """
+    rows = _csv(spark, f"{folder}/*sssom.csv", schemas.MAPPINGS)
+    rows = rows.withColumn("model", model_name(F.col("_metadata.file_path"), project))
+    return rows if pooled else exclude_pooled(rows)
+
+
+def read_prepared(
+    spark: SparkSession, folder: str, project: str, pooled: bool = True
 ) -> DataFrame:
-    """All mapping sets of a folder with their ``model``; ``pooled=False`` leaves pooled ones out."""
-    rows = _csv(spark, folder, schema, pathGlobFilter=pattern, recursiveFileLookup=True)
-    rows = rows.withColumn("model", model_name(F.col("_metadata.file_name"), project))
+    """All prepared evaluation files of a folder; the model comes from the file name."""
+    rows = _csv(spark, f"{folder}/*prepared.csv", schemas.PREPARED)
+    rows = rows.withColumn("model", model_name(F.col("_metadata.file_path"), project))
     return rows if pooled else exclude_pooled(rows)
 
 
