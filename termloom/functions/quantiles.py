@@ -41,10 +41,11 @@ def quantiles(
             _narrow(rows, targets.filter(wide), keys).unionByName(targets.filter(~wide)),
             "quantile-targets",
         )
-    found = _located(rows, targets, keys, F.col("_x"))
-    return found.groupBy(*by).agg(
+    found = _located(rows, targets, keys, F.col("_x")).groupBy(*by).agg(
         *[_interpolated(name).alias(name) for name in probs]
     )
+    # Written too: joined back to the rows, a table of known small size needs no shuffle of them.
+    return materialize(found, "quantiles")
 
 
 def _targets(rows: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:

@@ -144,8 +144,9 @@ def per_subject(prepared: DataFrame) -> DataFrame:
     facts = prepared.groupBy("model", "subject_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.max("model_analyzed").alias("analyzed"),
-        F.max("mesh_concept_group").alias("mesh_concept_group"),
-        (F.max(F.col("hit_miss_concept") == "Hit")).alias("is_hit"),
+        # Flags instead of the group's name: a maximum of strings could not be hashed.
+        *[F.max(F.col("mesh_concept_group") == g).alias(f"is_{s}") for s, g in _GROUPS.items()],
+        F.max(F.col("hit_miss_concept") == "Hit").alias("is_hit"),
         F.max("accurate_mapping").alias("best"),
         F.coalesce(F.max("concept_pair_rank"), F.lit(0)).alias("precision_k"),
         F.sum("accurate_mapping").alias("score_at_k"),
@@ -210,7 +211,7 @@ def _hit_miss_counts(names: Sequence[str]) -> list[Column]:
         flag, _, group = name.partition("_")
         test = F.col("is_hit") if flag == "hit" else ~F.col("is_hit")
         if group:
-            test = test & (F.col("mesh_concept_group") == _GROUPS[group])
+            test = test & F.col(f"is_{group}")
         counts.append(F.count_if(test).alias(name))
     return counts
 

@@ -11,6 +11,7 @@ from termloom.functions.distributions import chi2_p_value, f_p_value
 from termloom.functions.numeric import share
 from termloom.functions.ordering import lag_in_order
 from termloom.functions.quantiles import quantiles
+from termloom.session import materialize
 
 SCORE = "similarity_score"
 
@@ -128,8 +129,11 @@ def levene(rows: DataFrame, y: str, groups: str | Sequence[str]) -> DataFrame:
 
 
 def residuals(rows: DataFrame, y: str, factors: Sequence[str], out: str = "residual") -> DataFrame:
-    """Distance to the mean of the row's cell: the residual of the full factorial model."""
-    means = rows.groupBy(*factors).agg(F.avg(y).alias("_fitted"))
+    """Distance to the mean of the row's cell: the residual of the full factorial model.
+
+    The means are written, so that Spark knows how small they are and leaves the rows in place.
+    """
+    means = materialize(rows.groupBy(*factors).agg(F.avg(y).alias("_fitted")), "cell-means")
     return rows.join(means, list(factors)).withColumn(out, F.col(y) - F.col("_fitted")).drop(
         "_fitted"
     )

@@ -136,3 +136,26 @@ def test_search_replies(frame):
     reply = '{"id": "a", "score": 0.7}\nError: x\n{"id": "b", \n{"id": "c", "score": 0.5}\n{"id": "d", "score": 0.51}'
     rows = parse_similar_json(frame([("s", reply), ("t", "")], "source string, reply string")).collect()
     assert [(r.target, r.score) for r in rows] == [("a", 0.7), ("d", 0.51)]
+
+
+def test_workers_need_no_package(tmp_path):
+    """Functions travel by value, so a driver may run anywhere."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from termloom.session import build_session\n"
+        "from termloom.operators.similarity import topk_similar\n"
+        "spark = build_session('elsewhere', 2)\n"
+        f"df = spark.createDataFrame([('a', [1.0, 0.0]), ('b', [1.0, 1.0])], {VECTORS!r})\n"
+        "print('rows', topk_similar(df, df, 1).count())\n"
+    )
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, env=environment, capture_output=True,
+        text=True, timeout=120,
+    )
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
