@@ -89,16 +89,21 @@ def _lanes(df: DataFrame, side: str, own: int, other: int, cells: int):
     copies = df.select(
         F.col("id").cast("string").alias("id"), "embedding", lane.alias("_own")
     ).withColumn("_other", opposite)
-    copies = copies.select("id", "embedding", number.alias("_cell"))
+    # Names of their own, so that a table can be compared with itself.
+    copies = copies.select(
+        F.col("id").alias(f"{side}_id"),
+        F.col("embedding").alias(f"{side}_embedding"),
+        number.alias(f"{side}_cell"),
+    )
     if cells > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        copies = copies.repartition(cells, "_cell")
-    return copies.groupBy("_cell")
+        copies = copies.repartition(cells, f"{side}_cell")
+    return copies.groupBy(f"{side}_cell")
 
 
 def _cell(k: int, min_score: float | None, digits: int):
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        source_ids, sources = _unit_rows(left)
-        target_ids, targets = _unit_rows(right)
+        source_ids, sources = _unit_rows(left["s_id"], left["s_embedding"])
+        target_ids, targets = _unit_rows(right["t_id"], right["t_embedding"])
         out = []
         if len(target_ids):
             for start in range(0, len(source_ids), BLOCK_SOURCES):
@@ -127,8 +132,9 @@ _EMPTY = pa.table(
 )
 
 
-def _unit_rows(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+def _unit_rows(ids, embeddings) -> tuple[pa.Array, np.ndarray]:
     """Ids in ascending order and their vectors scaled to length one."""
+    table = pa.table({"id": ids, "embedding": embeddings})
     table = table.filter(pc.is_valid(table["embedding"]))
     if not table.num_rows:
         return pa.array([], pa.string()), np.empty((0, 0))

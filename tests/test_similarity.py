@@ -82,6 +82,12 @@ def test_different_lengths_are_an_error(frame):
         topk_similar(a, b).collect()
 
 
+@pytest.mark.parametrize("lanes", [(1, 1), (3, 4)])
+def test_a_table_against_itself(sides, lanes):
+    sources, _, s, _ = sides
+    close(got(topk_similar(s, s, 3, lanes=lanes)), brute(sources, sources, 3))
+
+
 def test_bad_k(sides):
     with pytest.raises(ValueError):
         topk_similar(sides[2], sides[3], 0)
