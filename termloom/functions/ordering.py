@@ -154,8 +154,21 @@ def lag_in_order(
 
 
 def fill_down(
-    df: DataFrame, column: str, keys: Sequence[str], order: Sequence[Column]
+    df: DataFrame,
+    column: str,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    group_rows: int | None = None,
 ) -> DataFrame:
-    """Carry the last known value of each group down to the rows without one."""
-    window = _until_here(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(window))
+    """Carry the last known value of each group down to the rows without one.
+
+    Counting the known values cuts a group into blocks that start with their value, so a block
+    needs no window. ``group_rows`` is as in ``running_totals``.
+    """
+    known = F.col(column).isNotNull()
+    blocks = running_totals(
+        df, keys, order, {"_block": F.when(known, 1).otherwise(0)}, group_rows
+    )
+    starts = blocks.filter(known).select(*keys, "_block", F.col(column).alias("_value"))
+    filled = blocks.join(starts, [*keys, "_block"], "left").withColumn(column, F.col("_value"))
+    return filled.select(*df.columns)

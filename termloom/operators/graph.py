@@ -71,7 +71,7 @@ def descendants(edges: DataFrame, seeds: DataFrame, include_self: bool = True) -
     and diamonds end, and a lost executor costs one round. ``include_self`` is the zero-length
     path of ``*``; without it a seed appears only if an edge leads back to one.
     """
-    edges = materialize(edges.select("child", "parent").distinct(), "edges")
+    edges = materialize(edges.select("child", "parent"), "edges")
     newest = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct(), "seeds")
     reached = newest if include_self else newest.limit(0)
     expanded = 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions import ordering, quantiles
-from termloom.functions.ordering import first_by, lag_in_order, number_rows, row_number_by, running_totals, top_by
+from termloom.functions.ordering import fill_down, first_by, lag_in_order, number_rows, row_number_by, running_totals, top_by
 
 
 def hot_rows():
@@ -82,3 +82,15 @@ def test_quantiles_are_exact(frame, monkeypatch, limit):
     assert out.count() == 5
     whole = quantiles.quantiles(frame(rows, "g string, x double"), [], "x", {"m": 0.5}).first().m
     assert whole == pytest.approx(st.median([x for xs in groups.values() for x in xs]), rel=1e-12)
+
+
+@pytest.mark.parametrize("limit", [3, 10**9])
+def test_fill_down(frame, monkeypatch, limit):
+    monkeypatch.setattr(ordering, "HOT_GROUP_ROWS", limit)
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else f"g{i % 5}", i, "v%d" % i if rng.random() < 0.2 else None) for i in range(300)]
+    out = fill_down(frame(rows, "g string, i int, v string").repartition(4), "v", ["g"], [F.asc("i")])
+    last, expected = {}, {}
+    for g, i, v in rows:
+        last[g] = expected[i] = v or last.get(g)
+    assert {r.i: r.v for r in out.collect()} == expected

@@ -122,6 +122,27 @@ def test_factorial_tables(rows):
         lm.anova_factorial(rows, "y", ["model"], 1)
 
 
+def test_type_three_matches_least_squares_on_the_rows(rows):
+    data = rows.collect()
+    y = np.array([r.y for r in data])
+    model = np.array([[r.model == "m0", r.model == "m1"] for r in data], float)
+    model[[r.model == "m2" for r in data]] = -1
+    grp = np.array([[1.0 if r.grp == "A" else -1.0] for r in data])
+    both = model * grp
+    one = np.ones((len(y), 1))
+
+    def rss(*parts):
+        x = np.hstack([one, *parts])
+        return ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
+
+    full = rss(model, grp, both)
+    expected = {"model": rss(grp, both) - full, "grp": rss(model, both) - full, "model:grp": rss(model, grp) - full}
+    table = lm.anova_factorial(rows, "y", ["model", "grp"], 3, {"model": "sum", "grp": "sum"})
+    found = {r.term: r.sum_sq for r in table.collect()}
+    assert found.pop("Residuals") == pytest.approx(full)
+    assert found == {term: pytest.approx(value) for term, value in expected.items()}
+
+
 def test_durbin_watson(rows):
     rest = st.residuals(rows, "y", ["model"], "e")
     e = np.array([r.e for r in rest.orderBy("i").collect()])
