@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from termloom.session import materialize
 
 BINS = 4096
-SORT_ROWS = 1_000_000
+SORT_ROWS = 50_000
 
 _RANGE = ["_lo", "_hi"]
 

@@ -15,6 +15,9 @@ HUMAN_MODEL = "human descriptions"
 POOLED_MODEL = "pooled-K1-vec-vote"
 MAPPABLE, UNMAPPABLE = "Mappable", "Unmappable"
 
+# A subject has one row per model at most, and nobody pools more models than this.
+MODELS = 10_000
+
 # Fixed values: (participants, options, votes) that count as a tie besides "all disagree".
 TIE_PATTERNS = [(5, 3, 2), (4, 2, 2)]
 
@@ -108,7 +111,7 @@ def evaluate_consensus(pooled: DataFrame, truth: DataFrame) -> DataFrame:
         ["subject_id"],
         [F.desc("votes"), F.desc("mean_similarity"), F.asc("object_id")],
         {"concept_pair_rank": F.lit(1), "_results": F.col("accurate_mapping")},
-        group_rows=0,  # one row per model at most
+        group_rows=MODELS,
     )
     is_accurate = F.col("accurate_mapping") == 1
     subject = Window.partitionBy("subject_id")

@@ -41,7 +41,8 @@ def topk_similar(
     before ranking: the last bits depend on the block shapes, and equal vectors have to tie.
     Ties go to the smaller target id. Vectors without direction (zero, NaN, null) have no score.
     ``min_score`` keeps strictly higher scores; a source without any then has no row.
-    ``lanes`` fixes the numbers of source and target lanes, which otherwise follow the sizes.
+    ``lanes`` fixes the numbers of source and target lanes. Otherwise one aggregation over both
+    inputs takes their sizes, so write vectors that are dear to compute before.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -69,7 +70,7 @@ def plan_lanes(source: DataFrame, target: DataFrame) -> tuple[int, int]:
     }
     if len(sizes) < 2:
         return 1, 1
-    dim = max(sizes["s"]["dim"], sizes["t"]["dim"], 1)
+    dim = max(sizes["s"]["dim"] or 1, sizes["t"]["dim"] or 1)
     rows_s, rows_t = sizes["s"]["rows"], sizes["t"]["rows"]
     lane_rows = max(LANE_BYTES // (8 * dim), 1)
     for_memory_s, for_memory_t = math.ceil(rows_s / lane_rows), math.ceil(rows_t / lane_rows)

@@ -74,6 +74,9 @@ def test_empty_sides(sides, frame):
     empty = frame([], VECTORS)
     assert topk_similar(empty, t).count() == 0
     assert topk_similar(s, empty).count() == 0
+    nothing = frame([("a", None)], VECTORS)
+    assert topk_similar(nothing, nothing).count() == 0
+    assert topk_similar(s, nothing).count() == 0
 
 
 def test_different_lengths_are_an_error(frame):
