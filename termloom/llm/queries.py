@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import rules
+from termloom.llm import decontaminate, near_duplicates, rules
 from termloom.llm.registry import query, read
 
 _STOP = ", ".join(f"'{w}'" for s in sorted(set(rules.STOP_WORDS)) for w in (s, s.capitalize()))
@@ -60,3 +60,15 @@ FROM f
 @query("op10_quality_rules", RULES_SQL)
 def _op10(spark, folder):
     return rules.apply_rules(read(spark, folder, "documents"))
+
+
+@query("op5_decontaminate")
+def _op5(spark, folder):
+    return decontaminate.contamination(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    )
+
+
+@query("op9_near_duplicates")
+def _op9(spark, folder):
+    return near_duplicates.near_duplicates(read(spark, folder, "documents"))
