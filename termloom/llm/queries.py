@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from termloom.llm import decontaminate, near_duplicates, rules
+from pyspark.sql import functions as F
+
+from termloom.llm import decontaminate, language_id, near_duplicates, rules
 from termloom.llm.registry import query, read
 
 _STOP = ", ".join(f"'{w}'" for s in sorted(set(rules.STOP_WORDS)) for w in (s, s.capitalize()))
@@ -72,3 +74,14 @@ def _op5(spark, folder):
 @query("op9_near_duplicates")
 def _op9(spark, folder):
     return near_duplicates.near_duplicates(read(spark, folder, "documents"))
+
+
+@query("op1_language_id")
+def _op1(spark, folder):
+    docs = read(spark, folder, "documents")
+    model = language_id.fit(docs.filter(language_id.fold("doc_id", 4) != 2))
+    return language_id.identify(docs.select("doc_id", "text"), model).select(
+        F.col("row.doc_id").alias("doc_id"),
+        (language_id.fold("row.doc_id", 4) == 2).alias("held_out"),
+        "lang_pred", "score", "cross_entropy", "rejected",
+    )
