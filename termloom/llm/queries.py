@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, language_id, near_duplicates, rules
+from termloom.llm import decontaminate, language_id, near_duplicates, rules, substring_dedup
 from termloom.llm.registry import query, read
 
 _STOP = ", ".join(f"'{w}'" for s in sorted(set(rules.STOP_WORDS)) for w in (s, s.capitalize()))
@@ -64,7 +64,56 @@ def _op10(spark, folder):
     return rules.apply_rules(read(spark, folder, "documents"))
 
 
-@query("op5_decontaminate")
+LEAKS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), starts AS (
+  SELECT item_id, ws, least(10, len(ws)) AS size,
+         unnest(generate_series(1, greatest(1, len(ws) - 9))) AS i
+  FROM b WHERE len(ws) > 0
+), win AS (
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS key
+  FROM starts
+), sizes AS (SELECT DISTINCT size FROM win
+), tok AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS pos FROM d
+), grown AS (
+  SELECT doc_id, pos, size,
+         CASE WHEN count(*) OVER o = size THEN string_agg(w, ' ') OVER o END AS key
+  FROM tok CROSS JOIN (SELECT 10 AS size)
+  WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)
+), small AS (
+  SELECT d.doc_id, s.size, unnest(generate_series(1, len(ws) - s.size + 1)) AS pos, ws
+  FROM d, sizes s WHERE s.size < 10 AND len(ws) >= s.size
+), cand AS (
+  SELECT doc_id, pos, size, key FROM grown WHERE key IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos, size, array_to_string(list_slice(ws, pos, pos + size - 1), ' ') FROM small
+), hits AS (
+  SELECT c.doc_id, c.pos, c.size, w.item_id FROM cand c JOIN win w ON c.key = w.key AND c.size = w.size
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op5_decontaminate", LEAKS_SQL)
 def _op5(spark, folder):
     return decontaminate.contamination(
         read(spark, folder, "documents"), read(spark, folder, "benchmark")
@@ -85,3 +134,37 @@ def _op1(spark, folder):
         (language_id.fold("row.doc_id", 4) == 2).alias("held_out"),
         "lang_pred", "score", "cross_entropy", "rejected",
     )
+
+
+_LEADS = " || ' ' || ".join(f"lead(w, {i}) OVER o" for i in range(1, 13))
+
+REPEATS_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), tok AS (
+  SELECT doc_id, pos, w, w || ' ' || {_LEADS} AS win
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS pos FROM d)
+  WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), own AS (
+  SELECT win, min(doc_id) AS least FROM tok WHERE win IS NOT NULL
+  GROUP BY win HAVING min(doc_id) < max(doc_id)
+), marked AS (
+  SELECT tok.doc_id, pos, w, coalesce(least < tok.doc_id, FALSE)::INT AS gone
+  FROM tok LEFT JOIN own ON tok.win = own.win
+), cut AS (
+  SELECT doc_id, pos, w, max(gone) OVER (PARTITION BY doc_id ORDER BY pos
+                                         ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS cut
+  FROM marked
+), kept AS (
+  SELECT doc_id, sum(cut) AS n_removed, string_agg(w, ' ' ORDER BY pos) FILTER (WHERE cut = 0) AS t
+  FROM cut GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", REPEATS_SQL)
+def _op4(spark, folder):
+    return substring_dedup.remove_repeats(read(spark, folder, "documents"))
