@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, language_id, near_duplicates, rules, substring_dedup
+from termloom.llm import (
+    decontaminate,
+    language_id,
+    language_model,
+    near_duplicates,
+    quality_classifier,
+    rules,
+    substring_dedup,
+    toxicity,
+)
 from termloom.llm.registry import query, read
 
 _STOP = ", ".join(f"'{w}'" for s in sorted(set(rules.STOP_WORDS)) for w in (s, s.capitalize()))
@@ -168,3 +177,33 @@ FROM d LEFT JOIN kept USING (doc_id)
 @query("op4_substring_dedup", REPEATS_SQL)
 def _op4(spark, folder):
     return substring_dedup.remove_repeats(read(spark, folder, "documents"))
+
+
+@query("op2_language_model")
+def _op2(spark, folder):
+    docs = read(spark, folder, "documents")
+    held = language_id.fold("doc_id", 7) == 2
+    return language_model.score_documents(docs.select("doc_id", "text", held.alias("held_out")))
+
+
+def _judged(operator, spark, folder, label, held, limit):
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    model = operator.fit(docs.filter(~held("doc_id")), labels.filter(~held("doc_id")), label)
+    return operator.score(docs, model).select(
+        "doc_id",
+        held("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"),
+    )
+
+
+@query("op3_quality_classifier")
+def _op3(spark, folder):
+    held = lambda id: language_id.fold(id, 4) == 2
+    return _judged(quality_classifier, spark, folder, "quality", held, 0.7)
+
+
+@query("op6_toxicity")
+def _op6(spark, folder):
+    held = lambda id: language_id.fold(id, 5) == 0
+    return _judged(toxicity, spark, folder, "toxic", held, 0.5)
