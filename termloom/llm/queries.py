@@ -9,6 +9,7 @@ from termloom.llm import (
     language_id,
     language_model,
     near_duplicates,
+    pii,
     quality_classifier,
     rules,
     substring_dedup,
@@ -207,3 +208,9 @@ def _op3(spark, folder):
 def _op6(spark, folder):
     held = lambda id: language_id.fold(id, 5) == 0
     return _judged(toxicity, spark, folder, "toxic", held, 0.5)
+
+
+@query("op8_personal_data")
+def _op8(spark, folder):
+    docs = read(spark, folder, "documents")
+    return pii.find(docs, *pii.fit(docs))
