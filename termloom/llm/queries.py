@@ -9,6 +9,7 @@ from termloom.llm import (
     language_id,
     language_model,
     near_duplicates,
+    packing,
     pii,
     quality_classifier,
     rules,
@@ -214,3 +215,8 @@ def _op6(spark, folder):
 def _op8(spark, folder):
     docs = read(spark, folder, "documents")
     return pii.find(docs, *pii.fit(docs))
+
+
+@query("op7_best_fit_packing")
+def _op7(spark, folder):
+    return packing.pack(read(spark, folder, "documents"))
