@@ -9,9 +9,10 @@ independent coordinates.
 
 Documents with one and the same set form a class first; from then on only the smallest document of
 a class is worked with. Classes that agree in a band of ``ROWS`` coordinates are candidates.
-A bucket compares all its members with one pivot, and only members that the links found so far do
-not connect are compared further, so a group of n copies costs about n comparisons. Every link is
-confirmed on the full sets.
+A bucket compares its members with a few pivots, and only members that the links found so far do
+not connect are compared further, so a group of n copies costs about n comparisons. Members that
+cannot be linked with anybody, because too much of their set is theirs alone, are taken out before.
+Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from termloom.session import materialize, materialize_counted
 SHINGLE = 5
 BINS, ROWS = 96, 4  # at similarity 0.85 a pair shares no band with probability 2e-8
 LEAST = 85  # percent
+PIVOTS = 8  # of a bucket in the first round
+LITTLE = 64  # comparisons for each member of a bucket that are made at once
 _BATCH = 4 << 20
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 _SET = "rep long, shingles binary"
@@ -117,6 +120,14 @@ def _sets(batches):
             )
 
 
+def _elements(batches):
+    for batch in batches:
+        for part in pieces(batch, _BATCH):
+            values, first = shingle_sets(part.column("text"))
+            rep = np.repeat(part.column("doc_id").to_numpy(), np.diff(first))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(values.view(np.int64))], ["rep", "shingle"])
+
+
 def _confirm(least: int):
     """Pairs whose full sets are similar enough."""
 
@@ -148,9 +159,9 @@ def _links(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
 
 
 def _fits(least: int):
-    """Sets whose sizes alone rule out the similarity are no candidates."""
-    small, large = F.least("n", "m"), F.greatest("n", "m")
-    return 100 * small >= least * large
+    """Pairs that sizes and shared shingles do not rule out."""
+    shared = F.least("c", "d")
+    return 100 * shared >= least * (F.col("n") + F.col("m") - shared)
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -175,14 +186,14 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, text: str = "text", id:
     spread = materialize(
         classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n")), "bands"
     )
-    sizes = spread.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members"))
+    sizes = spread.groupBy("key").agg(F.count("*").alias("members"))
     shared = materialize(sizes.filter("members > 1"), "buckets")
-    members = materialize(
-        spread.join(shared, "key").select("key", "rep", "n", "pivot", "members"), "members"
+    # A member's place in its bucket, from 0 to the number of members, by hash.
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
+    members, count = materialize_counted(
+        spread.join(shared, "key").select("key", "rep", "n", F.col("n").alias("c"), "members", place.alias("place")), "members"
     )
-    links, tested = _compare(members, known, least)
-    roots = smallest_reachable(links)
-    roots = _rest(members, known, links, tested, roots, least)
+    roots = _connected(members, count, known, least)
     named = classes.select("d1", "d2", "n_shingles", "rep").join(
         roots.select(F.col("node").alias("rep"), "root"), "rep", "left"
     )
@@ -200,72 +211,106 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, text: str = "text", id:
     )
 
 
-def _compare(members: DataFrame, docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Compare each member of a bucket with the bucket's smallest."""
-    pivots = members.filter("rep = pivot").select("key", F.col("n").alias("m"))
-    pairs = (
-        members.filter("rep <> pivot")
-        .join(pivots, "key")
-        .filter(_fits(least))
-        .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        .distinct()
-    )
-    tested = materialize(pairs, "pairs")
-    return materialize(_links(tested, docs, least), "links"), tested
-
-
-def _rest(members, docs, links, tested, roots, least):
-    """Compare what a bucket's pivot has left unconnected.
+def _connected(members: DataFrame, count: int, docs: DataFrame, least: int) -> DataFrame:
+    """``node, root`` of all links between members of one bucket.
 
-    Members get a place in [0, 1) by hash; a round takes those in a slice as pivots, and slices
-    grow twofold, so every pair of a bucket meets after log2(members) rounds unless it is already
-    connected or tested. Buckets whose members are all connected drop out after each round.
+    Each round takes some members of a bucket as pivots and compares them with the members that
+    are not yet connected with them. The first rounds take those whose place is in a slice, and
+    slices grow twofold; a small bucket is done in the first. As soon as all that is left open is
+    little work, everybody outside a bucket's largest component is a pivot: each open pair has such
+    a member, so that round is the last. Slices that reach the end of a bucket finish it as well,
+    so no pair stays open and none is compared twice. Before the rounds go on, members are taken out
+    that no open pair can link.
     """
-    low = 0
+    links, tested, roots, pruned = None, None, None, False
+    low, high = 0, PIVOTS
+    active = members.withColumn("root", F.col("rep"))
+    last = False
     while True:
-        label = roots.select(F.col("node").alias("rep"), "root")
-        labelled = members.join(label, "rep", "left").select(
-            "key", "rep", "n", "members", F.coalesce("root", "rep").alias("root")
-        )
-        mixed = (
-            labelled.groupBy("key")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("members").alias("s"))
-            .filter(F.col("lo") < F.col("hi"))
-        )
-        place = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
-        active, count = materialize_counted(
-            labelled.join(mixed.select("key"), "key", "left_semi").withColumn("place", place), "active"
-        )
-        if not count:
-            return roots
-        top = active.agg(F.max("members")).first()[0]
-        # Small buckets are finished in one round.
-        high = top if top <= 64 else 2 * low + 1
-        pivots = active.filter((F.col("place") >= low) & (F.col("place") < high)).select(
-            "key", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("root").alias("other"),
+        if last:
+            chosen = F.col("root") != F.col("big")
+            later = (F.col("root") == F.col("big")) | (F.col("rep") > F.col("p"))
+        else:
+            chosen = (F.col("place") >= low) & (F.col("place") < high)
+            later = (F.col("place") > F.col("at")) | (
+                (F.col("place") == F.col("at")) & (F.col("rep") > F.col("p"))
+            )
+        pivots = active.filter(chosen).select(
+            "key", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("root").alias("other"),
             F.col("place").alias("at"),
         )
-        later = (F.col("place") > F.col("at")) | (
-            (F.col("place") == F.col("at")) & (F.col("rep") > F.col("p"))
-        )
         pairs = (
             active.join(pivots, "key")
             .filter((F.col("root") != F.col("other")) & later)
             .filter(_fits(least))
             .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
             .distinct()
-            .join(tested, ["a", "b"], "left_anti")
         )
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs, fresh = materialize_counted(pairs, "pairs")
         if fresh:
-            tested = tested.unionByName(pairs)
+            tested = pairs if tested is None else tested.unionByName(pairs)
             more, linked = materialize_counted(_links(pairs, docs, least), "links")
-            if linked:
-                links = links.unionByName(more)
+            if linked or links is None:
+                links = more if links is None else links.unionByName(more)
                 roots = smallest_reachable(links)
-        low = high
-        if low >= top:
+        if roots is None:
+            roots = smallest_reachable(pairs)  # nothing to compare, so no links
+        low, high = high, 3 * high
+        if last:
             return roots
+        active, mixed = _open(members, roots, low)
+        if mixed is None:
+            return roots
+        if not pruned and mixed.agg(F.sum("work")).first()[0] > LITTLE * count:
+            # Once, and then what is left is looked at again; a closed bucket never opens again.
+            members, pruned = _linkable(active, docs, least), True
+            active, mixed = _open(members, roots, low)
+            if mixed is None:
+                return roots
+        last = mixed.agg(F.sum("work")).first()[0] <= LITTLE * count
+
+
+def _open(members: DataFrame, roots: DataFrame, low: int):
+    """Members of the buckets that are not yet connected nor finished, and these buckets."""
+    labelled = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
+        "key", "rep", "n", "c", "members", "place", F.coalesce("root", "rep").alias("root")
+    )
+    # Places below ``low`` have been pivots, so a bucket with fewer members is finished.
+    labelled = labelled.filter(F.col("members") > low)
+    mixed = (
+        labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
+        .groupBy("key")
+        .agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts"))
+        .filter("parts > 1")
+        .select("key", F.col("top.root").alias("big"), ((F.col("all") - F.col("top.c")) * F.col("all")).alias("work"))
+    )
+    mixed, left = materialize_counted(mixed, "mixed")
+    if not left:
+        return None, None
+    return materialize(labelled.join(mixed.select("key", "big"), "key"), "active"), mixed
+
+
+def _linkable(active: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """The members that an open bucket can still link, with ``c``, how much of a set is shared at all.
+
+    Whoever could be linked is a member of an open bucket. So an intersection has only shingles
+    that another open member has too, ``c`` of them, and the other set has no fewer shingles than
+    the smallest of the bucket; if even that gives too low a similarity, the member goes.
+    """
+    own = active.select(F.col("rep").alias("doc_id")).distinct()
+    spread = docs.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
+        _elements, "rep long, shingle long"
+    )
+    single = spread.groupBy("shingle").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).filter("k = 1")
+    alone = single.groupBy("rep").agg(F.count("*").alias("u"))
+    floor = active.groupBy("key").agg(F.min("n").alias("m"))
+    known = active.join(floor, "key").join(alone, "rep", "left")
+    known = known.withColumn("c", F.col("n") - F.coalesce("u", F.lit(0)))
+    union = F.when(F.col("m") >= F.col("c"), F.col("n") + F.col("m") - F.col("c")).otherwise(F.col("n"))
+    left = known.filter(100 * F.col("c") >= least * union)
+    return materialize(left.select("key", "rep", "n", "c", "members", "place"), "members")
 
 
 def drop_near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
