@@ -28,7 +28,7 @@ def labelled_sample(
     for value, count in counts.items():
         share = F.when(F.col("y") == value, F.lit(min(1.0, rows / count))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    chosen = known.filter(draw < share).select("doc_id", "y", (1 / share).alias("weight"))
+    chosen = known.filter(draw < share).select("doc_id", "y", (1 / F.greatest(share, F.lit(1e-12))).alias("weight"))
     # About rows per class, so small enough to send everywhere.
     found = docs.select("doc_id", "text").join(F.broadcast(materialize(chosen, "chosen")), "doc_id")
     return materialize(found, "labelled")

@@ -123,6 +123,8 @@ def _copies(bitmap, window: int):
             for part in pieces(batch, _BATCH):
                 found, own = _found(part, window)
                 own.only(_passes(bits, own.anchor))
+                if not len(own.at):
+                    continue
                 number = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[own.doc]
                 order = np.lexsort((number, own.digest, own.anchor))
                 same = np.ones(len(order), bool)
