@@ -11,8 +11,9 @@ Documents with one and the same set form a class first; from then on only the sm
 a class is worked with. Classes that agree in a band of ``ROWS`` coordinates are candidates.
 A bucket compares its members with a few pivots, and only members that the links found so far do
 not connect are compared further, so a group of n copies costs about n comparisons. Members that
-cannot be linked with anybody, because too much of their set is theirs alone, are taken out before.
-Every link is confirmed on the full sets.
+cannot be linked with anybody, because too much of their set is theirs alone, are taken out before,
+and the rest is compared in blocks of sets, as products of matrices. Every link is confirmed on the
+full sets.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from termloom.session import materialize, materialize_counted
 SHINGLE = 5
 BINS, ROWS = 96, 4  # at similarity 0.85 a pair shares no band with probability 2e-8
 LEAST = 85  # percent
-PIVOTS = 8  # of a bucket in the first round
-LITTLE = 64  # comparisons for each member of a bucket that are made at once
+PIVOTS = 4  # of a bucket
+BLOCK = 2_000  # sets that a task compares with as many others
+_COMMON = 12  # sets from which on an element is counted by a product
 _BATCH = 4 << 20
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 _SET = "rep long, shingles binary"
@@ -214,82 +216,145 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, text: str = "text", id:
 def _connected(members: DataFrame, count: int, docs: DataFrame, least: int) -> DataFrame:
     """``node, root`` of all links between members of one bucket.
 
-    Each round takes some members of a bucket as pivots and compares them with the members that
-    are not yet connected with them. The first rounds take those whose place is in a slice, and
-    slices grow twofold; a small bucket is done in the first. As soon as all that is left open is
-    little work, everybody outside a bucket's largest component is a pivot: each open pair has such
-    a member, so that round is the last. Slices that reach the end of a bucket finish it as well,
-    so no pair stays open and none is compared twice. Before the rounds go on, members are taken out
-    that no open pair can link.
+    First a bucket's members are compared with the ``PIVOTS`` or so whose place comes first; that
+    finishes small buckets and connects most of a large group. Buckets that are not connected then
+    are finished in blocks, without those members that no open pair can link.
     """
-    links, tested, roots, pruned = None, None, None, False
-    low, high = 0, PIVOTS
-    active = members.withColumn("root", F.col("rep"))
-    last = False
-    while True:
-        if last:
-            chosen = F.col("root") != F.col("big")
-            later = (F.col("root") == F.col("big")) | (F.col("rep") > F.col("p"))
-        else:
-            chosen = (F.col("place") >= low) & (F.col("place") < high)
-            later = (F.col("place") > F.col("at")) | (
-                (F.col("place") == F.col("at")) & (F.col("rep") > F.col("p"))
-            )
-        pivots = active.filter(chosen).select(
-            "key", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("root").alias("other"),
-            F.col("place").alias("at"),
-        )
-        pairs = (
-            active.join(pivots, "key")
-            .filter((F.col("root") != F.col("other")) & later)
-            .filter(_fits(least))
-            .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-            .distinct()
+    pivots = members.filter(F.col("place") < PIVOTS).select(
+        "key", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("c").alias("d"),
+        F.col("place").alias("at"),
+    )
+    later = (F.col("place") > F.col("at")) | (
+        (F.col("place") == F.col("at")) & (F.col("rep") > F.col("p"))
+    )
+    pairs = (
+        members.join(pivots, "key")
+        .filter(later & _fits(least))
+        .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+        .distinct()
+    )
+    links = materialize(_links(materialize(pairs, "pairs"), docs, least), "links")
+    roots = smallest_reachable(links)
+    active = _open(members, roots, PIVOTS)
+    if active is None:
+        return roots
+    left = _open(_linkable(active, docs, least), roots, PIVOTS)
+    if left is None:
+        return roots
+    more, linked = materialize_counted(_in_blocks(left, docs, least), "links")
+    return smallest_reachable(links.unionByName(more)) if linked else roots
+
+
+def _open(members: DataFrame, roots: DataFrame, done: int) -> DataFrame | None:
+    """Members of the buckets that are neither connected nor finished, or None."""
+    # Places below ``done`` have been pivots, so a bucket with fewer members is finished.
+    labelled = (
+        members.filter(F.col("members") > done)
+        .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        .select("key", "rep", "n", "c", "members", "place", F.coalesce("root", "rep").alias("root"))
+    )
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    keys = mixed.filter("lo < hi").select("key")
+    found, left = materialize_counted(labelled.join(keys, "key", "left_semi"), "active")
+    return found if left else None
+
+
+def _in_blocks(active: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Links ``a, b`` that connect all members of open buckets that are similar enough.
+
+    Buckets that share members form clusters. A cluster is cut into blocks of about ``BLOCK``
+    members, and a task gets the sets of two blocks, or those of several small clusters. It counts
+    all intersections as a matrix and returns a spanning forest of its links, so neither pairs
+    nor a whole large group are ever rows or one task.
+    """
+    hubs = active.groupBy("key").agg(F.min("rep").alias("hub"))
+    stars = active.join(hubs, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    clusters = smallest_reachable(stars.filter("a <> b"))
+    sizes = materialize(clusters.groupBy("root").agg(F.count("*").alias("size")), "clusters")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    bins = max(1, -(-total // BLOCK))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = (
+        clusters.join(sizes, "root")
+        .withColumn("blocks", blocks)
+        .select(
+            F.col("node").alias("rep"), "blocks", own.alias("own"),
+            # Small clusters share a task; a large one has tasks of its own.
+            F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("cell"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs, fresh = materialize_counted(pairs, "pairs")
-        if fresh:
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            more, linked = materialize_counted(_links(pairs, docs, least), "links")
-            if linked or links is None:
-                links = more if links is None else links.unionByName(more)
-                roots = smallest_reachable(links)
-        if roots is None:
-            roots = smallest_reachable(pairs)  # nothing to compare, so no links
-        low, high = high, 3 * high
-        if last:
-            return roots
-        active, mixed = _open(members, roots, low)
-        if mixed is None:
-            return roots
-        if not pruned and mixed.agg(F.sum("work")).first()[0] > LITTLE * count:
-            # Once, and then what is left is looked at again; a closed bucket never opens again.
-            members, pruned = _linkable(active, docs, least), True
-            active, mixed = _open(members, roots, low)
-            if mixed is None:
-                return roots
-        last = mixed.agg(F.sum("work")).first()[0] <= LITTLE * count
-
-
-def _open(members: DataFrame, roots: DataFrame, low: int):
-    """Members of the buckets that are not yet connected nor finished, and these buckets."""
-    labelled = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "key", "rep", "n", "c", "members", "place", F.coalesce("root", "rep").alias("root")
+        .select("rep", "cell", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
-    # Places below ``low`` have been pivots, so a bucket with fewer members is finished.
-    labelled = labelled.filter(F.col("members") > low)
-    mixed = (
-        labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-        .groupBy("key")
-        .agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts"))
-        .filter("parts > 1")
-        .select("key", F.col("top.root").alias("big"), ((F.col("all") - F.col("top.c")) * F.col("all")).alias("work"))
+    ends = clusters.select(F.col("node").alias("doc_id"))
+    sets = docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, _SET)
+    return (
+        materialize(sets, "sets").join(placed, "rep")
+        .groupBy("cell", "lo", "hi")
+        .applyInArrow(_forest(least), "a long, b long")
     )
-    mixed, left = materialize_counted(mixed, "mixed")
-    if not left:
-        return None, None
-    return materialize(labelled.join(mixed.select("key", "big"), "key"), "active"), mixed
+
+
+def _forest(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        own = table.column("own").to_numpy()
+        first, second = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        shared = intersections(sets, left, right)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        union = sizes[left][:, None] + sizes[right][None, :] - shared
+        i, j = np.nonzero(100 * shared >= least * union)
+        a, b = left[i], right[j]
+        a, b = a[a != b], b[a != b]
+        roots = np.arange(len(rep))
+        while True:  # smallest label of the neighbours, then of the labels
+            before = roots.copy()
+            np.minimum.at(roots, a, before[b])
+            np.minimum.at(roots, b, before[a])
+            roots = roots[roots]
+            if (roots == before).all():
+                break
+        linked = np.flatnonzero(roots != np.arange(len(rep)))
+        p, q = rep[roots[linked]], rep[linked]
+        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    return run
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the ``left`` sets with the ``right`` ones, but for a set with itself.
+
+    Elements that many sets have are counted by a product of matrices, the others pair by pair.
+    """
+    out = np.zeros((len(left), len(right)), np.int64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    head = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else order
+    counts = np.diff(np.append(head, len(values)))
+    row = np.full(len(sets), -1)
+    column = np.full(len(sets), -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    common = np.flatnonzero(counts >= _COMMON)
+    for low in range(0, len(common), 4096):
+        some = common[low : low + 4096]
+        at = ranges(head[some], counts[some])
+        number = np.repeat(np.arange(len(some)), counts[some])
+        have = np.zeros((len(sets), len(some)), np.float32)
+        have[owner[at], number] = 1
+        out += (have[left] @ have[right].T).astype(np.int64)
+    for size in range(2, min(_COMMON, int(counts.max(initial=0)) + 1)):
+        some = head[counts == size]
+        for p in range(size):
+            for q in range(size):
+                x, y = row[owner[some + p]], column[owner[some + q]]
+                both = (x >= 0) & (y >= 0)
+                np.add.at(out, (x[both], y[both]), 1)
+    return out
 
 
 def _linkable(active: DataFrame, docs: DataFrame, least: int) -> DataFrame:

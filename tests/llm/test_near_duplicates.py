@@ -111,3 +111,31 @@ def test_components_of_a_chain_a_star_and_a_ring(spark):
     assert {roots[i] for i in range(41)} == {0} and {roots[100 + i] for i in range(30)} == {100}
     assert {roots[i] for i in (200, 201, 202)} == {200} and len(roots) == 41 + 30 + 3
     assert smallest_reachable(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("common", [2, 5, 1000])
+def test_intersections_of_blocks(monkeypatch, common):
+    monkeypatch.setattr(N, "_COMMON", common)
+    draw = np.random.default_rng(6)
+    sets = [np.unique(draw.integers(0, 60, draw.integers(0, 40)).astype(np.uint64)) for _ in range(25)]
+    left, right = np.arange(0, 12), np.arange(10, 25)
+    found = N.intersections(sets, left, right)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            if a != b:
+                assert found[i, j] == len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 20)
+    monkeypatch.setattr(N, "PIVOTS", 1)
+    draw = random.Random(8)
+    base = sentence(draw, 200).split()
+    texts = {}
+    for i in range(90):
+        own = list(base)
+        for _ in range(draw.choice([1, 2, 3, 4, 5])):
+            own[draw.randrange(len(own))] = f"w{draw.randrange(60)}"
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(map(tuple, N.near_duplicates(docs).collect())) == brute(texts)
