@@ -150,7 +150,8 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.folder, "triples")
         if key not in _WRITTEN:
             path = scratch_path(self.spark, "triples")
-            self.derived("triples").repartition("p").write.partitionBy("p").parquet(path)
+            bucket = F.pmod(F.xxhash64("s"), F.lit(8))  # a frequent predicate is several tasks
+            self.derived("triples").repartition("p", bucket).write.partitionBy("p").parquet(path)
             _WRITTEN[key] = path
         return (
             self.spark.read.schema("s string, o string, g string, p string")

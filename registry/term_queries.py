@@ -34,16 +34,18 @@ def _csv(t, df, name, **options):
 
 @query("read_terms", "SELECT iri, id, name, nullif(aka, '') AS aka, description FROM {terms}")
 def read_terms(t):
-    path = _csv(t, t.derived("terms"), "terms", ignoreLeadingWhiteSpace=False,
+    rows = t.derived("terms")
+    path = _csv(t, rows.select(*reversed(rows.columns)), "terms", ignoreLeadingWhiteSpace=False,
                 ignoreTrailingWhiteSpace=False, quoteAll=True, emptyValue="")
     read = tables.read_terms(t.spark, path)
     return read.withColumn("aka", F.nullif("aka", F.lit("")))
 
 
-@query("read_scores_lenient", "SELECT source, target, score FROM {scores}")
+@query("read_scores_lenient", """SELECT source, target || ', "q"' AS target, score FROM {scores}""")
 def read_scores(t):
-    scores = t.scores()
-    path = _csv(t, scores, "scores")
+    # Some ids hold commas and quotes.
+    scores = t.scores().withColumn("target", F.concat("target", F.lit(', "q"')))
+    path = _csv(t, scores, "scores", quoteAll=True)
     # Malformed lines in a file of their own; its first one is taken for the header.
     broken = F.concat(F.lit("no score for "), F.col("source"))
     scores.select(broken).write.mode("append").text(path)
@@ -75,20 +77,19 @@ def _mapping_folder(t):
 
 
 _SETS = """SELECT subject_id, subject_label, predicate_id, object_id, object_label,
-  similarity_score, mapping_justification,
+  similarity_score, comment, mapping_justification,
   CASE model WHEN 'first half' THEN 'first.llm' WHEN 'second half' THEN 'second.llm'
     WHEN 'front' THEN 'pooled-front' ELSE model END AS model FROM {mappings}"""
 
 
 @query("read_mapping_sets", _SETS)
 def read_mapping_sets(t):
-    return tables.read_mapping_sets(t.spark, _mapping_folder(t), "demo").drop("comment")
+    return tables.read_mapping_sets(t.spark, _mapping_folder(t), "demo")
 
 
 @query("exclude_pooled", f"SELECT * FROM ({_SETS}) WHERE model NOT LIKE '%pooled%'")
 def exclude_pooled(t):
-    rows = tables.read_mapping_sets(t.spark, _mapping_folder(t), "demo", pooled=False)
-    return rows.drop("comment")
+    return tables.read_mapping_sets(t.spark, _mapping_folder(t), "demo", pooled=False)
 
 
 @query("read_prepared", "SELECT * FROM {prepared}")
@@ -102,7 +103,9 @@ def read_prepared(t):
 
 @query("read_truth", "SELECT * FROM {truth}")
 def read_truth(t):
-    return tables.read_truth(t.spark, _csv(t, t.truth, "truth"))
+    # The file is wider and its columns stand in another order.
+    wide = t.truth.select(F.lit(1).alias("row"), *reversed(t.truth.columns), F.lit("").alias("note"))
+    return tables.read_truth(t.spark, _csv(t, wide, "truth"))
 
 
 @query(
@@ -153,26 +156,28 @@ def offset_page(t):
 
 @query(
     "write_mappings",
-    """SELECT subject_id, subject_label, predicate_id, object_id, object_label, similarity_score,
-    mapping_justification FROM {mappings} WHERE model = 'front'""",
+    "SELECT * FROM {mappings}",
 )
 def write_mappings(t):
-    path = scratch_path(t.spark, "sssom")
-    sinks.write_mappings(t.mappings.filter("model = 'front'").drop("model"), path)
-    return tables._csv(t.spark, path, tables.schemas.MAPPINGS).drop("comment")
+    folder = scratch_path(t.spark, "sssom")
+    for model, *_ in MODELS:
+        own = t.mappings.filter(F.col("model") == model).drop("model")
+        # Other columns and another order of columns do not matter to the reader.
+        own = own.select(F.lit("x").alias("extra"), *reversed(own.columns))
+        sinks.write_mappings(own, f"{folder}/demo-mapping.{model}.sssom.csv")
+    return tables.read_mapping_sets(t.spark, folder, "demo")
 
 
 @query(
     "publish",
-    """SELECT subject_id, object_id, similarity_score, model, 'left-right' AS dataset,
-    'v0.0.1' AS version, true AS stamped FROM {mappings}""",
+    """SELECT *, 'left-right' AS dataset, 'v0.0.1' AS version, true AS stamped FROM {mappings}""",
 )
 def publish(t):
     config = sinks.RunConfig("left-right", "v0.0.1", "", "", scratch_path(t.spark, "output"))
-    return sinks.publish(t.mappings, config).select(
-        "subject_id", "object_id", "similarity_score", "model", "dataset", "version",
-        F.col("created").isNotNull().alias("stamped"),
-    )
+    # The second run replaces one model and leaves the others alone.
+    sinks.publish(t.mappings, config)
+    done = sinks.publish(t.mappings.filter("model = 'front'"), config)
+    return done.withColumn("stamped", F.col("created").isNotNull()).drop("created")
 
 
 # Text ------------------------------------------------------------------------------------------

@@ -97,7 +97,7 @@ _BOTH = f"""{_mapped_sql(_TEXT, _TEXT, ", 'desc-vec' AS model")}
 
 @query(
     "run_workflows",
-    f"""SELECT * EXCLUDE (comment), 'documents-passages' AS dataset, 'v0.0.1' AS version
+    f"""SELECT *, 'documents-passages' AS dataset, 'v0.0.1' AS version, 0 AS violations
     FROM ({_BOTH})""",
 )
 def run_workflows(t):
@@ -112,4 +112,6 @@ def run_workflows(t):
         "gpt4o": workflows.Clients(letter_counts, _writer),
     }
     done = workflows.run_workflows(t.spark, config, list(clients), clients, read_terms)
-    return rounded(done.drop("created", "comment"))
+    path = f"{config.output}/{config.dataset}/{config.version}/violations"
+    broken = t.spark.read.schema("rule string").option("header", True).csv(path).count()
+    return rounded(done.drop("created").withColumn("violations", F.lit(broken)))

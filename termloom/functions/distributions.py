@@ -59,7 +59,7 @@ def _beta(x: float, a: float, b: float) -> float:
     return math.exp(log_scale) * _fraction(term) / a
 
 
-def _fraction(term, limit: int = 10_000) -> float:
+def _fraction(term, limit: int = 1_000_000) -> float:
     """Continued fraction a0/(b0 + a1/(b1 + …)) by the modified Lentz method."""
     value, c, d = _TINY, _TINY, 0.0
     for i in range(limit):
@@ -71,8 +71,8 @@ def _fraction(term, limit: int = 10_000) -> float:
         step = c * d
         value *= step
         if i and abs(step - 1.0) < _EPS:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"no convergence after {limit} steps")
 
 
 @F.pandas_udf(T.DoubleType())

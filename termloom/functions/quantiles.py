@@ -2,25 +2,36 @@
 
 Spark's ``median`` and ``percentile`` keep all distinct values of a group in one task. Here the
 range that holds a wanted order statistic is narrowed by histograms until few rows are left in
-it, and only those are counted and sorted. A histogram pass shuffles at most ``BINS`` rows per
-range and task.
+it, and only those are counted and sorted. Histograms are over the digits of a 64-bit number that
+orders as the values do, so there are at most six passes for any data, infinities and outliers
+included, and a pass shuffles at most 4096 rows per range and task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.session import materialize
 
-BINS = 4096
+SHIFTS = (52, 40, 28, 16, 4, 0)  # twelve bits more each time
 SORT_ROWS = 50_000
 
 _RANGE = ["_lo", "_hi"]
 
 
+@F.pandas_udf(T.LongType())
+def _ordered(x: pd.Series) -> pd.Series:
+    """A number with the order of the doubles: their bits, turned round below zero."""
+    bits = (x.to_numpy(np.float64) + 0.0).view(np.int64)
+    return pd.Series(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
+
+
 def quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
@@ -33,15 +44,18 @@ def quantiles(
     rows = df.select(*by, F.lit(0).alias("_all"), x.alias("_x")).filter(
         F.col("_x").isNotNull() & ~F.isnan("_x")
     )
+    rows = rows.withColumn("_k", _ordered("_x"))
     # The written targets are few rows of known size, so Spark broadcasts them while that holds.
     targets = materialize(_targets(rows, keys, probs), "quantile-targets")
     wide = (F.col("_rows") > SORT_ROWS) & (F.col("_lo") < F.col("_hi"))
-    while not targets.filter(wide).isEmpty():
+    for shift in SHIFTS:
+        if targets.filter(wide).isEmpty():
+            break
         targets = materialize(
-            _narrow(rows, targets.filter(wide), keys).unionByName(targets.filter(~wide)),
+            _narrow(rows, targets.filter(wide), keys, shift).unionByName(targets.filter(~wide)),
             "quantile-targets",
         )
-    found = _located(rows, targets, keys, F.col("_x")).groupBy(*by).agg(
+    found = _located(rows, targets, keys, F.col("_k")).groupBy(*by).agg(
         *[_interpolated(name).alias(name) for name in probs]
     )
     # Written too: joined back to the rows, a table of known small size needs no shuffle of them.
@@ -51,7 +65,7 @@ def quantiles(
 def _targets(rows: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
     """Two zero-based positions per group and quantile, with the range that holds them."""
     ranges = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+        F.count(F.lit(1)).alias("_rows"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi")
     )
     wanted = []
     for name, p in probs.items():
@@ -75,13 +89,14 @@ def _targets(rows: DataFrame, keys: list[str], probs: Mapping[str, float]) -> Da
 def _located(rows: DataFrame, targets: DataFrame, keys: list[str], slot: Column) -> DataFrame:
     """Find the slot of its range that each target falls into.
 
-    ``slot`` orders the values inside a range. Returned with the slot's bounds ``_x`` and ``_top``,
-    its row count ``_n`` and the number of rows ``_upto`` its end.
+    ``slot`` orders the values inside a range. Returned with the slot's least value ``_x``, its
+    bounds ``_first`` and ``_last``, its row count ``_n`` and the number of rows ``_upto`` its end.
     """
     ranges = targets.select(*keys, *_RANGE, "_below").distinct()
-    inside = rows.join(ranges, keys).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    inside = rows.join(ranges, keys).filter(F.col("_k").between(F.col("_lo"), F.col("_hi")))
     slots = inside.groupBy(*keys, *_RANGE, "_below", slot.alias("_slot")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_x"), F.max("_x").alias("_top")
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_x"), F.min("_k").alias("_first"),
+        F.max("_k").alias("_last"),
     )
     window = Window.partitionBy(*keys, *_RANGE).orderBy("_slot")
     upto = F.col("_below") + F.sum("_n").over(
@@ -94,13 +109,11 @@ def _located(rows: DataFrame, targets: DataFrame, keys: list[str], slot: Column)
     )
 
 
-def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    scaled = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS
-    slot = F.least(F.floor(scaled), F.lit(BINS - 1))
-    return _located(rows, targets, keys, slot).select(
+def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    return _located(rows, targets, keys, F.shiftright("_k", shift)).select(
         *keys,
-        F.col("_x").alias("_lo"),
-        F.col("_top").alias("_hi"),
+        F.col("_first").alias("_lo"),
+        F.col("_last").alias("_hi"),
         F.col("_n").alias("_rows"),
         (F.col("_upto") - F.col("_n")).alias("_below"),
         "_prob", "_upper", "_position", "_weight",
@@ -112,4 +125,11 @@ def _interpolated(name: str) -> Column:
         return F.max(F.when((F.col("_prob") == name) & (F.col("_upper") == upper), F.col(column)))
 
     low, high = of("_x", False), of("_x", True)
-    return low + (high - low) * of("_weight", False)
+    weight = of("_weight", False)
+    # A difference that is no number, or beyond all numbers, must not spoil the result.
+    plain = F.abs(high - low) < F.lit(float("inf"))
+    return (
+        F.when(low == high, low)
+        .when(plain, low + (high - low) * weight)
+        .otherwise(F.when(weight == 0, low).otherwise(low * (1 - weight) + high * weight))
+    )

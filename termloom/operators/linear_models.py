@@ -2,8 +2,8 @@
 
 A model of categorical factors depends on the data only through the count, mean and sum of
 squares of each cell (combination of levels). One aggregation yields these for all models at
-once; the normal equations of the few cells are then solved on the driver, whatever the size of
-the table.
+once. Tasks then add the cells up to the normal equations, so the driver sees sums whose size
+depends on the number of coefficients, whatever the number of rows and cells.
 """
 
 from __future__ import annotations
@@ -14,52 +14,43 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from termloom.functions.distributions import f_upper
 from termloom.operators.statistics import group_moments
+from termloom.session import materialize
 
-MAX_CELLS = 10_000
+_CHUNK = 2_048  # cells whose design is built at a time
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Sufficient statistics: one entry per observed combination of levels."""
+    """Written sufficient statistics, one row per observed combination, and the levels."""
 
     factors: tuple[str, ...]
     levels: tuple[tuple, ...]
-    codes: np.ndarray
-    n: np.ndarray
-    mean: np.ndarray
-    ss: np.ndarray
-
-    @property
-    def rows(self) -> int:
-        return int(self.n.sum())
+    table: DataFrame
+    rows: int
+    mean: float
 
 
 def cell_statistics(
     rows: DataFrame, y: str, factors: Sequence[str], levels: Mapping[str, Sequence] | None = None
 ) -> Cells:
     """Aggregate to cells; ``levels`` fixes the order of a factor's levels."""
-    moments = group_moments(rows, y, factors)
-    found = moments.limit(MAX_CELLS + 1).collect()
-    if len(found) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} combinations of {list(factors)}")
+    table = materialize(group_moments(rows, y, factors), "cells")
+    total = table.agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")
+    ).first()
     orders = []
     for factor in factors:
-        seen = {row[factor] for row in found}
+        # Each level but one is a coefficient, so they are as few as the model's coefficients.
+        seen = {row[0] for row in table.select(factor).distinct().toLocalIterator()}
         given = list((levels or {}).get(factor, sorted(seen)))
         orders.append(tuple(v for v in given if v in seen))
-    codes = [[orders[i].index(row[f]) for i, f in enumerate(factors)] for row in found]
-    return Cells(
-        tuple(factors),
-        tuple(orders),
-        np.array(codes, dtype=int).reshape(len(found), len(factors)),
-        np.array([row["n"] for row in found], dtype=float),
-        np.array([row["mean"] for row in found], dtype=float),
-        np.array([row["ss"] for row in found], dtype=float),
-    )
+    return Cells(tuple(factors), tuple(orders), table, int(total["n"] or 0), float(total["mean"] or 0.0))
 
 
 def all_terms(factors: Sequence[str]) -> list[tuple[str, ...]]:
@@ -81,20 +72,85 @@ def _coding(levels: Sequence, kind: str) -> tuple[np.ndarray, list[str]]:
     raise ValueError(f"unknown contrast {kind!r}")
 
 
-def _design(cells: Cells, terms: Sequence[tuple[str, ...]], contrasts: Mapping[str, str]):
-    columns, names, owner = [np.ones(len(cells.n))], ["(Intercept)"], [()]
-    for term in terms:
-        blocks = []
-        for factor in term:
-            i = cells.factors.index(factor)
-            coded, labels = _coding(cells.levels[i], contrasts.get(factor, "treatment"))
-            blocks.append([(f"{factor}{v}", coded[cells.codes[:, i], j])
-                           for j, v in enumerate(labels)])
-        for combination in itertools.product(*blocks):
-            names.append(":".join(name for name, _ in combination))
-            columns.append(np.prod([column for _, column in combination], axis=0))
-            owner.append(term)
-    return np.column_stack(columns), names, owner
+class Design:
+    """Columns of a model: their names, the term each belongs to, and their values per cell."""
+
+    def __init__(self, cells: Cells, terms: Sequence[tuple[str, ...]], contrasts: Mapping[str, str]):
+        self.factors, self.terms = cells.factors, list(terms)
+        self.place = [{v: i for i, v in enumerate(own)} for own in cells.levels]
+        self.coded = {
+            f: _coding(own, contrasts.get(f, "treatment"))
+            for f, own in zip(cells.factors, cells.levels)
+            if any(f in term for term in terms)
+        }
+        self.names, self.owner = ["(Intercept)"], [()]
+        for term in self.terms:
+            labels = [[f"{f}{v}" for v in self.coded[f][1]] for f in term]
+            for combination in itertools.product(*labels):
+                self.names.append(":".join(combination))
+                self.owner.append(term)
+
+    def values(self, own: pd.DataFrame) -> np.ndarray:
+        codes = {
+            f: own[f].map(place).to_numpy(int)
+            for f, place in zip(self.factors, self.place) if f in self.coded
+        }
+        blocks = [np.ones((len(own), 1))]
+        for term in self.terms:
+            block = np.ones((len(own), 1))
+            for f in term:
+                single = self.coded[f][0][codes[f]]
+                block = (block[:, :, None] * single[:, None, :]).reshape(len(own), -1)
+            blocks.append(block)
+        return np.hstack(blocks)
+
+
+@dataclass(frozen=True)
+class Normal:
+    """Normal equations: X'X, X'y, X'(y - mean), (y - mean)'(y - mean) and what cells leave over."""
+
+    names: list[str]
+    owner: list[tuple]
+    xx: np.ndarray
+    xy: np.ndarray
+    xc: np.ndarray
+    cc: float
+    ss: float
+    rows: int
+
+    def part(self, index: list[int]) -> Normal:
+        return Normal(
+            [self.names[i] for i in index], [self.owner[i] for i in index],
+            self.xx[np.ix_(index, index)], self.xy[index], self.xc[index], self.cc, self.ss, self.rows,
+        )
+
+
+def _normal(cells: Cells, terms: Sequence[tuple[str, ...]], contrasts: Mapping[str, str]) -> Normal:
+    design = Design(cells, terms, contrasts)
+    size, mean = len(design.names), cells.mean
+
+    def add_up(frames):
+        total = np.zeros(size * size + 2 * size + 2)
+        for frame in frames:
+            for low in range(0, len(frame), _CHUNK):
+                own = frame.iloc[low : low + _CHUNK]
+                x, n = design.values(own), own["n"].to_numpy(float)
+                y = own["mean"].to_numpy(float)
+                xn = x * n[:, None]
+                total += np.concatenate(
+                    [(x.T @ xn).reshape(-1), xn.T @ y, xn.T @ (y - mean),
+                     [n @ (y - mean) ** 2, own["ss"].to_numpy(float).sum()]]
+                )
+        yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    total = np.zeros(size * size + 2 * size + 2)
+    for row in cells.table.mapInPandas(add_up, "sums binary").toLocalIterator():
+        total += np.frombuffer(row.sums)
+    xx, rest = total[: size * size].reshape(size, size), total[size * size :]
+    return Normal(
+        design.names, design.owner, xx, rest[:size], rest[size : 2 * size],
+        float(rest[-2]), float(rest[-1]), cells.rows,
+    )
 
 
 @dataclass(frozen=True)
@@ -125,15 +181,16 @@ class Fit:
         return self.aic + 2 * k * (k + 1) / (self.rows - k - 1)
 
 
-def _solve(cells: Cells, x: np.ndarray, names: list[str]) -> Fit:
-    weight = np.sqrt(cells.n)
-    xw, yw = x * weight[:, None], cells.mean * weight
-    estimates, _, rank, _ = np.linalg.lstsq(xw, yw, rcond=None)
-    lack = yw - xw @ estimates
-    rss = float(cells.ss.sum() + lack @ lack)
-    variance = rss / (cells.rows - rank)
-    errors = np.sqrt(np.diag(np.linalg.pinv(xw.T @ xw)) * variance)
-    return Fit(names, estimates, errors, int(rank), rss, cells.rows)
+def _solve(own: Normal) -> Fit:
+    values, vectors = np.linalg.eigh(own.xx)
+    good = values > values.max() * len(values) * 1e-13
+    inverse = (vectors[:, good] / values[good]) @ vectors[:, good].T
+    rank = int(good.sum())
+    centred = inverse @ own.xc
+    rss = max(own.ss + own.cc - float(centred @ own.xc), own.ss)
+    variance = rss / (own.rows - rank)
+    errors = np.sqrt(np.maximum(np.diag(inverse), 0) * variance)
+    return Fit(own.names, inverse @ own.xy, errors, rank, rss, own.rows)
 
 
 def fit_cells(
@@ -144,8 +201,7 @@ def fit_cells(
 ) -> Fit:
     """Fit main effects of ``factors``, with all their interactions by default."""
     terms = all_terms(factors) if interactions else [(f,) for f in factors]
-    x, names, _ = _design(cells, terms, contrasts or {})
-    return _solve(cells, x, names)
+    return _solve(_normal(cells, terms, contrasts or {}))
 
 
 def glm_fit(
@@ -212,13 +268,14 @@ def anova_factorial(
         raise ValueError("kind must be 2 or 3")
     cells = cell_statistics(rows, y, factors)
     terms = all_terms(factors)
-    x, names, owner = _design(cells, terms, contrasts or {})
-    full = _solve(cells, x, names)
+    normal = _normal(cells, terms, contrasts or {})
+    full = _solve(normal)
     error_df = full.rows - full.rank
 
     def fit(kept: list[tuple[str, ...]]) -> Fit:
-        index = [i for i, term in enumerate(owner) if term == () or term in kept]
-        return _solve(cells, x[:, index], [names[i] for i in index])
+        return _solve(
+            normal.part([i for i, term in enumerate(normal.owner) if term == () or term in kept])
+        )
 
     table = []
     for term in terms:

@@ -106,12 +106,14 @@ def crosswalk(
     Labels depend on the code alone, so they are collected per code and not per pair, and join
     the pairs last. ``*_drop`` removes a code prefix; otherwise ``:`` becomes ``_``.
     """
-    links = concept_code.select("concept", "code_id").distinct()
     pairs, names = None, {}
     for vocabulary, side in ((left, "left"), (right, "right")):
         own = codes.filter(F.col("sab") == vocabulary).select("code_id")
         names[side] = _code_labels(code_term.join(own, "code_id", "left_semi"), side)
-        linked = links.join(own, "code_id", "left_semi").withColumnRenamed("code_id", side)
+        # The vocabulary cuts the links down first; repeated ones go with the pairs.
+        linked = concept_code.join(own, "code_id", "left_semi").select(
+            "concept", F.col("code_id").alias(side)
+        )
         pairs = linked if pairs is None else pairs.join(linked, "concept")
     pairs = pairs.select("left", "right").distinct()
     return pairs.join(names["left"], "left").join(names["right"], "right").select(
@@ -158,6 +160,9 @@ def validate_mappings(mappings: DataFrame) -> DataFrame:
     if "similarity_score" in mappings.columns:
         score = F.col("similarity_score")
         rules["similarity_score is outside 0 to 1"] = F.isnan(score) | ~score.between(0, 1)
+    if "score" in mappings.columns:
+        rank = F.col("score")
+        rules["score is no rank"] = rank.isNull() | (rank < 1)
     broken = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]))
     row_violations = mappings.select(F.explode(broken).alias("rule"), *key)
     repeated = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.ordering import top_by
 from termloom.operators.plugins import RANK_TEMPLATE, TextClient, call_client, rank_prompt
+from termloom.operators.terms import last_content
 
 CANDIDATES = 3
 
@@ -17,10 +18,12 @@ def assemble_candidates(
     """``source, passages, candidates``: the ``n`` best targets of each source with their texts.
 
     A passage is ``[id] content``; passages are separated by a blank line. Rows beyond ``n`` are
-    dropped before the join, so the lists stay short.
+    dropped before the join, so the lists stay short. A pair with several scores counts with the
+    best, and a target with several contents has the greatest.
     """
-    first = top_by(scores, ["source"], [F.desc("score"), F.asc("target")], n)
-    texts = target_content.select(F.col("id").alias("target"), "content")
+    once = scores.groupBy("source", "target").agg(F.max("score").alias("score"))
+    first = top_by(once, ["source"], [F.desc("score"), F.asc("target")], n)
+    texts = last_content(target_content).withColumnRenamed("id", "target")
     text = F.coalesce("content", F.lit(""))
     passage = F.concat(F.lit("["), F.col("target"), F.lit("] "), text, F.lit("\n"))
     entry = F.struct(

@@ -37,7 +37,8 @@ def topk_similar(
 ) -> DataFrame:
     """``source, target, score`` of the ``k`` most similar targets of each source.
 
-    Both inputs are ``id, embedding`` with one row per id. Scores are rounded to ``digits``
+    Both inputs are ``id, embedding``. Rows that share an id are one thing: a pair of ids has the
+    best score of its rows, once. Scores are rounded to ``digits``
     before ranking: the last bits depend on the block shapes, and equal vectors have to tie.
     Ties go to the smaller target id. Vectors without direction (zero, NaN, null) have no score.
     ``min_score`` keeps strictly higher scores; a source without any then has no row.
@@ -82,7 +83,7 @@ def plan_lanes(source: DataFrame, target: DataFrame) -> tuple[int, int]:
 
 def _lanes(df: DataFrame, side: str, own: int, other: int, cells: int):
     """Hash rows to a lane and send one copy to each cell of that lane."""
-    lane = F.pmod(F.xxhash64("id", "embedding"), F.lit(own))
+    lane = F.pmod(F.xxhash64("id"), F.lit(own))  # all rows of an id together
     opposite = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
     number = F.col("_own") * other + F.col("_other")
     if side == "t":
@@ -107,9 +108,12 @@ def _cell(k: int, min_score: float | None, digits: int):
         target_ids, targets = _unit_rows(right["t_id"], right["t_embedding"])
         out = []
         if len(target_ids):
+            # Rows of one target could fill the places of others, so each may take as many.
+            copies = max(r["counts"] for r in pc.value_counts(target_ids).to_pylist())
+            narrow = targets.astype(np.float32)
             for start in range(0, len(source_ids), BLOCK_SOURCES):
                 block = sources[start : start + BLOCK_SOURCES]
-                row, col, score = _best(block, targets, k, min_score, digits)
+                row, col, score = _best(block, targets, narrow, k * copies, min_score, digits)
                 out.append(
                     pa.table(
                         {
@@ -119,11 +123,25 @@ def _cell(k: int, min_score: float | None, digits: int):
                         }
                     )
                 )
-        return pa.concat_tables(out) if out else _EMPTY
+        if not out:
+            return _EMPTY
+        found = pa.concat_tables(out)
+        repeated = copies > 1 or pc.count_distinct(source_ids).as_py() < len(source_ids)
+        return _once(found, k) if repeated else found
 
     return compare
 
 
+def _once(found: pa.Table, k: int) -> pa.Table:
+    """Best score of each pair of ids, and the ``k`` best of each source."""
+    best = found.group_by(["source", "target"]).aggregate([("score", "max")])
+    best = best.rename_columns({"score_max": "score"}).select(["source", "target", "score"])
+    best = best.sort_by([("source", "ascending"), ("score", "descending"), ("target", "ascending")])
+    codes = best["source"].combine_chunks().dictionary_encode().indices.to_numpy()
+    begins = np.searchsorted(codes, codes)
+    return best.filter(pa.array(np.arange(len(codes)) - begins < k))
+
+
 _EMPTY = pa.table(
     {
         "source": pa.array([], pa.string()),
@@ -153,7 +171,7 @@ def _unit_rows(ids, embeddings) -> tuple[pa.Array, np.ndarray]:
     return ids, vectors[usable] / norms[usable, None]
 
 
-def _best(block, targets, k, min_score, digits):
+def _best(block, targets, narrow_targets, k, min_score, digits):
     """Best ``k`` target positions per row, by rounded score and then by position.
 
     A single precision product finds the pairs that may count: its error for unit vectors is
@@ -165,7 +183,7 @@ def _best(block, targets, k, min_score, digits):
     narrow = block.astype(np.float32)
     for start in range(0, len(targets), BLOCK_TARGETS):
         wide = targets[start : start + BLOCK_TARGETS]
-        rough = narrow @ wide.astype(np.float32).T
+        rough = narrow @ narrow_targets[start : start + BLOCK_TARGETS].T
         bar = (floor - slack).astype(np.float32)
         near = rough >= bar[:, None]
         if wide.shape[0] > k and np.count_nonzero(near) > 4 * k * len(block):
@@ -222,4 +240,4 @@ def parse_similar_json(replies: DataFrame, minimum: float = 0.5) -> DataFrame:
             F.coalesce("hit.score", F.lit(0.0)).alias("score"),
         )
     )
-    return score_threshold(hits, minimum)
+    return score_threshold(hits.filter(F.col("target").isNotNull()), minimum)

@@ -17,11 +17,16 @@ def compose_content(terms: DataFrame, legacy: bool = False) -> DataFrame:
     return terms.select("id", content.alias("content"))
 
 
-def content_lookup(terms: DataFrame, content: DataFrame) -> DataFrame:
-    """Attach the content of each term; null where there is none."""
-    return terms.join(content.select("id", "content"), "id", "left").select(
-        *terms.columns, "content"
-    )
+def last_content(content: DataFrame, order: str | None = None) -> DataFrame:
+    """One ``id, content`` per id: the last by ``order``, or the greatest content without one."""
+    key = F.struct(F.col(order), F.col("content")) if order else F.struct("content")
+    return content.groupBy("id").agg(F.max_by("content", key).alias("content"))
+
+
+def content_lookup(terms: DataFrame, content: DataFrame, order: str | None = None) -> DataFrame:
+    """Attach the content of each term, its last by ``order``; null where there is none."""
+    own = last_content(content, order)
+    return terms.join(own, "id", "left").select(*terms.columns, "content")
 
 
 def unknown_content(terms: DataFrame, content: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from termloom.operators.reranking import (
     render_rank_prompt,
 )
 from termloom.operators.similarity import topk_similar
-from termloom.operators.terms import compose_content, content_lookup
+from termloom.operators.terms import compose_content, content_lookup, unknown_content
 from termloom.session import materialize
 from termloom.sources.sinks import RunConfig, publish
 from termloom.sources.tables import read_terms
@@ -66,6 +66,7 @@ class MappingRun:
     scores: DataFrame
     mappings: DataFrame
     violations: DataFrame
+    unknown: DataFrame | None = None
 
 
 def _map_by_content(source, target, source_content, target_content, embedder, k) -> MappingRun:
@@ -109,13 +110,19 @@ def map_by_ranking(
     ranker: TextClient,
     n: int = CANDIDATES,
 ) -> MappingRun:
-    """Re-rank the best candidates of each source by a model."""
+    """Re-rank the best candidates of each source by a model.
+
+    ``unknown`` of the result has the content rows whose id no term has.
+    """
     candidates = assemble_candidates(scores, target_content, n)
     prompts = render_rank_prompt(candidates, content_lookup(source, source_content))
     replies = materialize(rank_with_model(prompts, ranker), "replies")
     ranked = rank_from_reply(replies)
     mappings = sssom_ranked(source, target, ranked)
-    return MappingRun(ranked, mappings, validate_mappings(mappings))
+    unknown = unknown_content(source, source_content).unionByName(
+        unknown_content(target, target_content), allowMissingColumns=True
+    )
+    return MappingRun(ranked, mappings, validate_mappings(mappings), unknown)
 
 
 def map_by_shared_concepts(
@@ -170,8 +177,13 @@ def run_workflows(
     workflows: Iterable[str],
     clients: Mapping[str, Clients] | None = None,
     read: Callable[[SparkSession, str], DataFrame] = read_terms,
+    strict: bool = True,
 ) -> DataFrame:
-    """Run the chosen workflows on one dataset version and publish their mapping sets."""
+    """Run the chosen workflows on one dataset version, validate and publish their mapping sets.
+
+    What breaks a rule is written beside the mappings, and with ``strict`` nothing is published
+    then.
+    """
     source, target = read(spark, config.source_terms), read(spark, config.target_terms)
     sets = {}
     for name in workflows:
@@ -184,4 +196,13 @@ def run_workflows(
             sets[f"{name}.llm"] = map_by_expansion(
                 source, target, own.text, own.embedder
             ).mappings
-    return publish(append_sets(sets), config)
+    mappings = materialize(append_sets(sets), "mappings")
+    violations = append_sets(
+        {name: validate_mappings(mappings.filter(mappings["model"] == name)) for name in sets}
+    )
+    path = f"{config.output}/{config.dataset}/{config.version}/violations"
+    violations.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    count = spark.read.option("header", True).schema(violations.schema).csv(path).count()
+    if count and strict:
+        raise ValueError(f"{count} violations, see {path}")
+    return publish(mappings, config)

@@ -38,13 +38,15 @@ def write_mappings(mappings: DataFrame, path: str, form: str = "csv") -> None:
 def publish(mappings: DataFrame, config: RunConfig) -> DataFrame:
     """Write mapping sets with a ``model`` column to their own dataset and version.
 
-    Other versions stay untouched. Files are compressed and of bounded length; each row carries
-    its creation time. Returns what was published.
+    Only the models at hand are replaced; other models and versions stay as they are. Files are
+    compressed and of bounded length; each row carries its creation time. Returns what the version
+    holds then.
     """
     path = f"{config.output}/{config.dataset}/{config.version}/mappings"
     (
         mappings.withColumn("created", F.current_timestamp())
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("model")
         .option("header", True)
         .option("escape", '"')
@@ -61,10 +63,12 @@ def read_published(spark: SparkSession, config: RunConfig, like: DataFrame) -> D
         f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields
         if f.name != "model"
     )
-    return (
+    rows = (
         spark.read.schema(f"{fields}, created timestamp, model string")
         .option("header", True)
         .option("escape", '"')
         .csv(path)
         .withColumns({"dataset": F.lit(config.dataset), "version": F.lit(config.version)})
     )
+    # CSV cannot tell an empty comment from none.
+    return rows.na.fill("", ["comment"]) if "comment" in rows.columns else rows

@@ -1,7 +1,9 @@
-"""Readers with fixed schemas."""
+"""Readers with fixed column names and types; columns are found by the header."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,14 +12,40 @@ from termloom import schemas
 from termloom.operators.consensus import HUMAN_MODEL
 
 _CORRUPT = "_corrupt_record"
+_END = "\u0001"
+#: Columns that tell the forms of a mapping set apart, and their schemas.
+SET_FORMS = {
+    "scored": schemas.MAPPINGS,
+    "ranked": schemas.RANKED_MAPPINGS,
+    "logical": schemas.LOGICAL_MAPPINGS,
+}
 
 
-def _csv(spark: SparkSession, path, schema: T.StructType, **options) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", True)
-    reader = reader.option("quote", '"').option("escape", '"')
+def _options(reader, **options):
+    reader = reader.option("header", True).option("quote", '"').option("escape", '"')
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.csv(path)
+    return reader
+
+
+def _csv(spark: SparkSession, path, schema: T.StructType, **options) -> DataFrame:
+    """The columns of ``schema`` from files whose header has them, in any order, among others.
+
+    A value that is not of its column's type is null; a missing column is an error. All files of
+    ``path`` have the header of the first.
+    """
+    found = _options(spark.read, **options).csv(path)
+    places: dict[str, int] = {}
+    for i, name in enumerate(found.columns):
+        places.setdefault(name.strip().lstrip("\ufeff"), i)
+    missing = [n for n in schema.names if n not in places]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    # Numbered names, as a header may name a column twice.
+    plain = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
+    return plain.select(
+        *[F.col(f"c{places[f.name]}").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
 
 
 def read_terms(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -59,51 +87,63 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 def read_scores(spark: SparkSession, path: str, ranked: bool = False) -> DataFrame:
     """Score table that tolerates malformed lines and mixed line ends.
 
-    Lines that are no score are dropped; ranked lines with one field too many are repaired.
+    Lines that are no score are dropped; ranked lines with one field too many are repaired. Fields
+    may be quoted, with commas inside.
     """
     names = schemas.RANKED.names if ranked else schemas.SCORES.names
-    raw = _csv(
-        spark,
-        path,
-        T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]]),
+    raw = _options(
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])),
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=_CORRUPT,
         ignoreTrailingWhiteSpace=True,
+    ).csv(path)
+    whole = F.array(*names, *[F.lit(None).cast("string")] * (6 - len(names)), F.lit(None).cast("string"))
+    parsed = F.struct(F.lit(len(names)).alias("size"), whole.alias("field"))
+    line = F.trim(F.translate(_CORRUPT, "\r\n", ""))
+    fields = raw.select(F.when(F.col(_CORRUPT).isNull(), parsed).otherwise(_fields(line)).alias("f"))
+    return _ranked(fields) if ranked else _scored(fields)
+
+
+def _fields(line: Column) -> Column:
+    """Number of fields of a line, and the fields; a mark behind the last one tells the number."""
+    names = [f"c{i}" for i in range(7)]
+    parsed = F.from_csv(
+        F.concat(line, F.lit(f",{_END}")), ", ".join(f"{n} string" for n in names),
+        {"quote": '"', "escape": '"'},
     )
-    line = F.when(
-        F.col(_CORRUPT).isNotNull(), F.trim(F.translate(_CORRUPT, "\r\n", ""))
-    ).otherwise(F.concat_ws(",", *[F.coalesce(n, F.lit("")) for n in names]))
-    lines = raw.select(line.alias("line"))
-    return repair_ranked(lines) if ranked else _plain_scores(lines)
-
-
-def _plain_scores(lines: DataFrame) -> DataFrame:
-    parts = F.split("line", ",")
-    return lines.select(
-        F.get(parts, F.lit(0)).alias("source"),
-        F.get(parts, F.lit(1)).alias("target"),
-        F.get(parts, F.lit(2)).try_cast("double").alias("score"),
+    field = F.array(*[parsed[n] for n in names])
+    return F.struct((F.array_position(field, _END) - 1).cast("int").alias("size"), field.alias("field"))
+
+
+def _field(i: int) -> Column:
+    field = F.get(F.col("f.field"), F.lit(i))
+    return F.when(field != _END, field)
+
+
+def _scored(fields: DataFrame) -> DataFrame:
+    return fields.select(
+        _field(0).alias("source"), _field(1).alias("target"),
+        _field(2).try_cast("double").alias("score"),
     ).filter(F.col("score").isNotNull())
 
 
+def _ranked(fields: DataFrame) -> DataFrame:
+    swapped = F.coalesce(F.col("f.size") == 5, F.lit(False))
+    return fields.select(
+        _field(0).alias("source"),
+        _field(1).alias("target"),
+        F.when(swapped, _field(3)).otherwise(_field(2)).try_cast("int").alias("rank"),
+        F.when(swapped, _field(2)).otherwise(_field(3)).try_cast("double").alias("score"),
+    ).filter(F.col("rank").isNotNull() & F.col("score").isNotNull())
+
+
 def repair_ranked(lines: DataFrame) -> DataFrame:
     """``source, target, rank, score`` from lines of a ranked score file.
 
     A source with one candidate was written as ``source,target,score,1,``: one field too many,
     with the score in the place of the rank.
     """
-    parts = F.split("line", ",")
-
-    def part(i: int) -> Column:
-        return F.get(parts, F.lit(i))
-
-    swapped = F.size(parts) == 5
-    return lines.select(
-        part(0).alias("source"),
-        part(1).alias("target"),
-        F.when(swapped, part(3)).otherwise(part(2)).try_cast("int").alias("rank"),
-        F.when(swapped, part(2)).otherwise(part(3)).try_cast("double").alias("score"),
-    ).filter(F.col("rank").isNotNull() & F.col("score").isNotNull())
+    return _ranked(lines.select(_fields(F.col("line")).alias("f")))
 
 
 def model_name(path: Column, project: str) -> Column:
@@ -119,17 +159,38 @@ def model_name(path: Column, project: str) -> Column:
 
 
 def read_mapping_sets(
-    spark: SparkSession, folder: str, project: str, pooled: bool = True
+    spark: SparkSession, folder: str, project: str, pooled: bool = True, form: str = "scored"
 ) -> DataFrame:
-    """All mapping sets of a folder with their ``model``; ``pooled=False`` drops pooled ones.
+    """The mapping sets of a folder that have one form, with their ``model``.
 
-    A set is a file ``*sssom.csv``, or a folder of that name as Spark writes it.
+    A set is a file ``*sssom.csv``, or a folder of that name as Spark writes it. Its header tells
+    its form: ``scored`` sets have a ``similarity_score``, ``ranked`` ones a ``score`` that is a
+    rank, ``logical`` ones neither. A CSV file cannot tell an empty ``comment`` from none, so it
+    is read as empty. ``pooled=False`` drops pooled sets.
     """
-    rows = _csv(spark, f"{folder}/*sssom.csv", schemas.MAPPINGS)
-    rows = rows.withColumn("model", model_name(F.col("_metadata.file_path"), project))
+    schema = SET_FORMS[form]
+    own = []
+    for path in _sets(spark, f"{folder}/*sssom.csv"):
+        columns = _options(spark.read).csv(path).columns
+        kind = "scored" if "similarity_score" in columns else "ranked" if "score" in columns else "logical"
+        if kind == form:
+            own.append(_csv(spark, path, schema).withColumn("model", model_name(F.lit(path), project)))
+    if not own:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("model", T.StringType())]))
+    rows = own[0]
+    for other in own[1:]:
+        rows = rows.unionByName(other)
+    rows = rows.withColumn("comment", F.coalesce("comment", F.lit("")))
     return rows if pooled else exclude_pooled(rows)
 
 
+def _sets(spark: SparkSession, pattern: str) -> list[str]:
+    """Files, or folders of files, that match; one per set, so a short list."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(unquote(s.getPath().toUri().toString()) for s in system.globStatus(hadoop) or [])
+
+
 def read_prepared(
     spark: SparkSession, folder: str, project: str, pooled: bool = True
 ) -> DataFrame:

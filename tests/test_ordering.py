@@ -61,7 +61,6 @@ def test_lag_over_chunks(frame):
 @pytest.mark.parametrize("limit", [5, 10**6])
 def test_quantiles_are_exact(frame, monkeypatch, limit):
     monkeypatch.setattr(quantiles, "SORT_ROWS", limit)
-    monkeypatch.setattr(quantiles, "BINS", 8)
     rng = random.Random(4)
     groups = {
         "even": [rng.random() for _ in range(100)],
@@ -84,6 +83,28 @@ def test_quantiles_are_exact(frame, monkeypatch, limit):
     assert whole == pytest.approx(st.median([x for xs in groups.values() for x in xs]), rel=1e-12)
 
 
+@pytest.mark.parametrize("limit", [5, 10**6])
+def test_quantiles_of_extreme_values(frame, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "SORT_ROWS", limit)
+    inf = float("inf")
+    groups = {
+        "infinite": [inf] + [float(i) for i in range(60)],
+        "both": [inf, -inf, *range(-20, 21)],
+        "wide": [1e308, -1e308] * 20 + [0.0, -0.0, 5e-324],
+        "all": [inf] * 20,
+        "signs": [-0.5 * i for i in range(30)],
+    }
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs]
+    out = quantiles.quantiles(frame(rows, "g string, x double"), ["g"], "x", {"m": 0.5, "q": 0.25}).collect()
+    for r in out:
+        xs = sorted(map(float, groups[r.g]))
+        assert r.m == st.median(xs)
+        at = (len(xs) - 1) * 0.25
+        low, high = xs[int(at)], xs[min(int(at) + 1, len(xs) - 1)]
+        w = at - int(at)
+        assert r.q == pytest.approx(low if low == high or not w else low * (1 - w) + high * w, rel=1e-12)
+
+
 @pytest.mark.parametrize("limit", [3, 10**9])
 def test_fill_down(frame, monkeypatch, limit):
     monkeypatch.setattr(ordering, "HOT_GROUP_ROWS", limit)

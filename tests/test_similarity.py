@@ -108,6 +108,26 @@ def test_lane_plan_follows_the_work(spark, monkeypatch):
     assert similarity.plan_lanes(df, df)[0] > 1
 
 
+@pytest.mark.parametrize("lanes", [(1, 1), (1, 3), (2, 1), (4, 5)])
+def test_rows_of_one_id_are_one_thing(frame, lanes):
+    random = np.random.default_rng(8)
+    row = lambda name: (name, [float(np.float32(x)) for x in random.normal(size=4)])
+    sources = [row(f"s{i % 5}") for i in range(12)]
+    targets = [row(f"t{i % 9}") for i in range(30)]
+    best = {}
+    for s, a in sources:
+        for t, b in targets:
+            score = round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9)
+            best[s, t] = max(best.get((s, t), -2), score)
+    expect = {}
+    for s in {s for s, _ in best}:
+        own = sorted((-v, t) for (x, t), v in best.items() if x == s)[:5]
+        expect |= {(s, t): -v for v, t in own}
+    found = topk_similar(frame(sources, VECTORS), frame(targets, VECTORS), 5, lanes=lanes)
+    assert found.count() == 25
+    close(got(found), expect)
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(
     st.integers(1, 6), st.integers(1, 40), st.integers(1, 8),
@@ -120,7 +140,7 @@ def test_kernel_keeps_the_best_with_ties(rows, columns, k, seed, minimum):
     old = similarity.BLOCK_TARGETS
     similarity.BLOCK_TARGETS = 7
     try:
-        r, c, s = _best(block, targets, k, minimum, 6)
+        r, c, s = _best(block, targets, targets.astype(np.float32), k, minimum, 6)
     finally:
         similarity.BLOCK_TARGETS = old
     product = np.round(block @ targets.T, 6)

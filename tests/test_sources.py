@@ -51,6 +51,34 @@ def test_mapping_sets_by_file_name(spark, tmp_path):
     assert {r.model for r in kept} == {HUMAN_MODEL, "m1.llm"}
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = write(tmp_path, "terms.csv", "description,extra,name,iri,aka,id\nd,x,n,i,a,1\n")
+    assert tuple(tables.read_terms(spark, path).first()) == ("i", "1", "n", "a", "d")
+    with pytest.raises(ValueError, match="no column aka"):
+        tables.read_terms(spark, write(tmp_path, "short.csv", "iri,id,name,description\ni,1,n,d\n"))
+
+
+def test_quoted_scores_stay_whole(spark, tmp_path):
+    path = write(tmp_path, "q.csv", 'source,target,score\n"A,B",T1,0.9\nC,"T,2",0.8\nD,T,0.7,more\n"E,F",T,0.6,x\n')
+    rows = sorted((r.source, r.target, r.score) for r in tables.read_scores(spark, path).collect())
+    assert rows == [("A,B", "T1", 0.9), ("C", "T,2", 0.8), ("D", "T", 0.7), ("E,F", "T", 0.6)]
+    path = write(tmp_path, "qr.csv", 'source,target,rank,score\n"A,B",x,1,0.9\n"b,c","z,y",0.8145,1,\nb,"z",0.5,1,\n')
+    rows = sorted(tuple(r) for r in tables.read_scores(spark, path, ranked=True).collect())
+    assert rows == [("A,B", "x", 1, 0.9), ("b", "z", 1, 0.5), ("b,c", "z,y", 1, 0.8145)]
+
+
+def test_sets_are_read_by_their_form(spark, tmp_path):
+    tail = ",,semapv:SemanticSimilarity\n"
+    for name, schema, score in (("a", "scored", "0.5,"), ("b", "ranked", "2,"), ("c", "logical", "")):
+        head = ",".join(tables.SET_FORMS[schema].names) + "\n"
+        line = f"http://a/1,one,skos:relatedMatch,http://b/1,uno,{score}{tail[1:]}"
+        write(tmp_path, f"p-mapping.{name}.sssom.csv", head + line)
+    for name, form in (("a", "scored"), ("b", "ranked"), ("c", "logical")):
+        rows = tables.read_mapping_sets(spark, str(tmp_path), "p", form=form).collect()
+        assert [r.model for r in rows] == [name] and rows[0].comment == ""
+    assert tables.read_mapping_sets(spark, str(tmp_path), "p", form="ranked").first().score == 2
+
+
 def rows_of(frame, *tuples):
     return frame(list(tuples), MAPPINGS)
 
@@ -65,7 +93,9 @@ def test_publish_keeps_other_versions(spark, frame, tmp_path):
     sinks.publish(rows_of(frame, GOOD), config)
     sinks.publish(rows_of(frame, GOOD, ("n", *GOOD[1:])), newer)
     out = sinks.publish(rows_of(frame, GOOD, GOOD), newer).collect()
-    assert [(r.version, r.model, r.object_label) for r in out] == [("v2", "m", 'two, "2"')] * 2
+    assert sorted((r.version, r.model, r.object_label) for r in out) == [
+        ("v2", "m", 'two, "2"'), ("v2", "m", 'two, "2"'), ("v2", "n", 'two, "2"')]
+    assert {r.comment for r in out} == {""}
     assert isinstance(out[0].created, datetime.datetime)
     old = sinks.read_published(spark, config, rows_of(frame, GOOD))
     assert old.count() == 1
@@ -125,6 +155,11 @@ def test_workflows_run_end_to_end(spark, tmp_path):
     writer = workflows.Clients(text=lambda prompts: prompts)
     rows = workflows.run_workflows(spark, config, ["desc-vec", "phi4-14b"], {"phi4-14b": writer}).collect()
     assert {r.model for r in rows} == {"desc-vec", "phi4-14b.llm"} and len(rows) == 8
+    broken = terms.replace("http://a/2", "no iri")
+    worse = sinks.RunConfig("demo", "v2", write(tmp_path, "c.csv", broken), config.target_terms, config.output)
+    with pytest.raises(ValueError, match="violations"):
+        workflows.run_workflows(spark, worse, ["desc-vec"])
+    assert workflows.run_workflows(spark, worse, ["desc-vec"], strict=False).count() == 4
     best = {r.subject_label: r.object_label for r in sorted(rows, key=lambda r: r.similarity_score)
             if r.model == "desc-vec"}
     assert best == {"heart muscle": "pump", "liver": "bile maker"}

@@ -171,3 +171,24 @@ def test_boxplot_and_bins(rows):
     assert sum(r.mappings for r in bins) == 400
     summary = st.residual_summary(rows, "y", 5).collect()
     assert sum(r.residuals for r in summary) == 400 and {r.bin for r in summary} <= set(range(1, 6))
+
+
+def test_more_cells_than_fit_a_list(spark):
+    """22,500 combinations of levels, fitted by 299 coefficients."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from termloom.operators.linear_models import cell_statistics, fit_cells
+
+    n = 150
+    rows = spark.range(2 * n * n).select(
+        F.format_string("a%03d", F.col("id") % n).alias("a"),
+        F.format_string("b%03d", (F.col("id") / n).cast("int") % n).alias("b"),
+        (F.col("id") % n + 2 * ((F.col("id") / n).cast("int") % n) + F.when(F.col("id") < n * n, 1).otherwise(-1))
+        .cast("double").alias("y"),
+    )
+    fit = fit_cells(cell_statistics(rows, "y", ["a", "b"]), ["a", "b"], interactions=False)
+    assert fit.rank == 2 * n - 1 and fit.rows == 2 * n * n
+    assert abs(fit.rss - 2 * n * n) < 1e-4
+    by_name = dict(zip(fit.names, fit.estimates))
+    assert np.isclose(by_name["aa149"], 149) and np.isclose(by_name["bb149"], 298)
