@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import inputs
-from termloom.functions.ordering import top_by
+from termloom.functions.ordering import number_rows, top_by
 from termloom.operators.evaluation import prepare
 from termloom.operators.mappings import append_sets, sssom_scored
 from termloom.operators.similarity import topk_similar
@@ -163,6 +163,12 @@ class Tables:
         return materialize(df, name)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Add the ``position`` of each row of a sorted frame, from 1."""
+    rows = df.withColumn("_place", F.monotonically_increasing_id())
+    return number_rows(rows, [F.col("_place")], "position").drop("_place")
+
+
 def query(name: str, sql: str | None = None):
     """Register a job under ``name``; without SQL only its rows are checked."""
 

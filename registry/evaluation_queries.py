@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from registry.core import query
+from registry.core import placed, query
+from registry.inputs import MODELS
 from termloom.functions import ordering
+from termloom.functions.numeric import zscore
 from termloom.operators import consensus, evaluation, linear_models, statistics
 
 
@@ -42,9 +44,9 @@ def keep_mappable(t):
 
 @query(
     "flag_unmappable",
-    """SELECT m.subject_id, m.object_id, m.model, CASE WHEN m.subject_id IN (
-      SELECT subject_id FROM {truth} WHERE mappability = 'Unmappable')
-      THEN 'Unmappable' ELSE 'Mappable' END AS mappability FROM {mappings} m""",
+    """SELECT m.subject_id, m.object_id, m.model, coalesce(u.mappability, 'Mappable') AS mappability
+    FROM {mappings} m LEFT JOIN (SELECT DISTINCT subject_id, mappability FROM {truth}
+      WHERE mappability = 'Unmappable') u ON u.subject_id = m.subject_id""",
 )
 def flag_unmappable(t):
     return consensus.flag_mappability(t.mappings, t.truth).select(
@@ -318,13 +320,17 @@ def reciprocal_rank(t):
 
 @query(
     "union_distinct",
-    """SELECT subject_id, object_id FROM {mappings} WHERE model = 'first half'
-    UNION SELECT subject_id, object_id FROM {mappings} WHERE model = 'second half'""",
+    f"""SELECT DISTINCT subject_id, round(reciprocal_rank, 6) AS reciprocal_rank FROM ({_RR})""",
 )
 def union_distinct(t):
-    rows = t.mappings.select("subject_id", "object_id", "model")
-    first, second = rows.filter("model = 'first half'"), rows.filter("model = 'second half'")
-    return first.drop("model").unionByName(second.drop("model")).distinct()
+    frames = [
+        rounded(evaluation.reciprocal_rank(t.prepared.filter(F.col("model") == model))).drop("model")
+        for model, *_ in MODELS
+    ]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out.distinct()
 
 
 _MRR_COLUMNS = ["mean_reciprocal_rank", "mean_reciprocal_rank_sd"]
@@ -335,14 +341,14 @@ def mrr(t):
     return rounded(evaluation.mrr(evaluation.reciprocal_rank(t.prepared)))
 
 
-@query(
-    "model_evaluation",
-    f"""SELECT c.*, h.* EXCLUDE (model), g.* EXCLUDE (model), f.beta,
+MODEL_EVALUATION = f"""SELECT c.*, h.* EXCLUDE (model), g.* EXCLUDE (model), f.beta,
       {", ".join(f"round(f.{c}, 6) AS {c}" for c in _F_COLUMNS)},
       {", ".join(f"round(r.{c}, 6) AS {c}" for c in _MRR_COLUMNS)}
     FROM ({_COVERAGE}) c JOIN ({_HITS}) h ON h.model = c.model JOIN ({_GROUPS}) g ON g.model = c.model
-    JOIN ({_F}) f ON f.model = c.model JOIN ({_MRR}) r ON r.model = c.model""",
-)
+    JOIN ({_F}) f ON f.model = c.model JOIN ({_MRR}) r ON r.model = c.model"""
+
+
+@query("model_evaluation", MODEL_EVALUATION)
 def model_evaluation(t):
     return rounded(evaluation.evaluate(t.prepared, t.truth))
 
@@ -388,10 +394,11 @@ def unmappable_stats(t):
 
 @query(
     "order_report",
-    f"{_UNMAPPABLE} ORDER BY mesh_concept_group, concept_group DESC, concept_reason DESC",
+    f"""SELECT *, row_number() OVER (ORDER BY mesh_concept_group, concept_group DESC,
+      concept_reason DESC) AS position FROM ({_UNMAPPABLE})""",
 )
 def order_report(t):
-    return evaluation.unmappable_stats(t.truth, t.derived("left_terms"))
+    return placed(evaluation.unmappable_stats(t.truth, t.derived("left_terms")))
 
 
 # Statistics ------------------------------------------------------------------------------------
@@ -528,11 +535,16 @@ _MODELS = {
 _SUMS = {"accurate_mapping": "sum", "mesh_concept_group": "sum"}
 
 
+def _normed(t):
+    """Scores centred and scaled over all analysed rows."""
+    return zscore(_rows(t), "similarity_score", "similarity_score")
+
+
 _CELLS = """(SELECT model, accurate_mapping AS a, count(*)::DOUBLE AS n, avg(similarity_score) AS m
-  FROM {analyzed} GROUP BY 1, 2)"""
+  FROM {normed} GROUP BY 1, 2)"""
 _MSE = f"""(SELECT sum(d * d) / (count(*) - (SELECT count(*) FROM {_CELLS})) AS mse FROM (
   SELECT similarity_score - avg(similarity_score) OVER (PARTITION BY model, accurate_mapping) AS d
-  FROM {{analyzed}}))"""
+  FROM {{normed}}))"""
 
 
 @query(
@@ -551,7 +563,7 @@ _MSE = f"""(SELECT sum(d * d) / (count(*) - (SELECT count(*) FROM {_CELLS})) AS
         JOIN {_CELLS} o ON o.model = 'back' AND o.a = 0 WHERE x.a = 1 AND x.model <> 'back'), {_MSE}""",
 )
 def glm_fit(t):
-    fit = linear_models.glm_fit(_rows(t), "similarity_score", ["model", "accurate_mapping"])
+    fit = linear_models.glm_fit(_normed(t), "similarity_score", ["model", "accurate_mapping"])
     return rounded(fit, t_value=3)
 
 
@@ -559,11 +571,11 @@ def glm_fit(t):
     "glm_fit_one_factor",
     """SELECT CASE WHEN model = 'back' THEN '(Intercept)' ELSE 'model' || model END AS term,
       round(CASE WHEN model = 'back' THEN m ELSE m - (
-        SELECT avg(similarity_score) FROM {analyzed} WHERE model = 'back') END, 6) AS estimate
-    FROM (SELECT model, avg(similarity_score) AS m FROM {analyzed} GROUP BY model)""",
+        SELECT avg(similarity_score) FROM {normed} WHERE model = 'back') END, 6) AS estimate
+    FROM (SELECT model, avg(similarity_score) AS m FROM {normed} GROUP BY model)""",
 )
 def glm_fit_one_factor(t):
-    fit = linear_models.glm_fit(_rows(t), "similarity_score", ["model"])
+    fit = linear_models.glm_fit(_normed(t), "similarity_score", ["model"])
     return rounded(fit.select("term", "estimate"))
 
 
@@ -575,7 +587,7 @@ def _fits_sql():
         parts.append(
             f"""SELECT '{name}' AS model, count(*)::DOUBLE AS n, sum(d * d) AS rss,
             count(DISTINCT ({columns})) + 1 AS parameters FROM (SELECT {columns}, similarity_score
-              - avg(similarity_score) OVER (PARTITION BY {columns}) AS d FROM {{analyzed}})"""
+              - avg(similarity_score) OVER (PARTITION BY {columns}) AS d FROM {{normed}})"""
         )
     return " UNION ALL ".join(parts)
 
@@ -593,12 +605,12 @@ def _fits_sql():
 )
 def model_selection(t):
     contrasts = {"t3.1": {"accurate_mapping": "sum"}, "t3.2": _SUMS}
-    return rounded(linear_models.model_selection(_rows(t), "similarity_score", _MODELS, contrasts), 4)
+    return rounded(linear_models.model_selection(_normed(t), "similarity_score", _MODELS, contrasts), 4)
 
 
 @query("anova_factorial")
 def anova_factorial(t):
-    rows = _rows(t)
+    rows = _normed(t)
     second = linear_models.anova_factorial(rows, "similarity_score", _FACTORS)
     third = linear_models.anova_factorial(rows, "similarity_score", _FACTORS, 3, _SUMS)
     return second.withColumn("type", F.lit(2)).unionByName(third.withColumn("type", F.lit(3)))

@@ -310,6 +310,18 @@ FROM (SELECT p.*, p.subject_id || '|' || p.object_id AS pair_id,
   LEFT JOIN (SELECT DISTINCT subject_id, mesh_concept_group, mapping_count FROM {truth}) s
     ON s.subject_id = p.subject_id) e"""
 
+CHECK_ONLY["normed"] = """
+SELECT * REPLACE ((similarity_score - avg(similarity_score) OVER ())
+  / stddev_samp(similarity_score) OVER () AS similarity_score) FROM {analyzed}"""
+
+# Prepared rows of the single models and of the pooled one.
+CHECK_ONLY["all_prepared"] = """
+SELECT * FROM {prepared} UNION ALL BY NAME SELECT model, mapping_justification, subject_id, predicate_id,
+  object_id, pair_id, subject_label, object_label, mesh_concept_group,
+  mean_similarity AS similarity_score, accurate_mapping, concept_pair_rank, mapping_count,
+  mapping_result_number, hit_miss_concept, hit_miss_mapping, model_analyzed
+FROM {evaluated} WHERE mappability = 'Mappable'"""
+
 # Closures; DuckDB's recursive UNION removes duplicates and so ends on cycles.
 CHECK_ONLY["part_closure"] = f"""
 SELECT iri AS node FROM {{part_seeds}}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from registry.core import query
+from registry.core import placed, query
 from registry.inputs import (
     ANATOMY, CELLS, COLLECTION, GENES, HUMAN, MESHV, MODELS, OBO, OIO, RDF_TYPE, RDFS_LABEL,
     REDUNDANT, SKOS,
@@ -183,9 +183,13 @@ def sssom_scored(t):
     return _scored(t)
 
 
-@query("order_mappings", f"{_SCORED} ORDER BY subject_id, similarity_score DESC, object_id")
+@query(
+    "order_mappings",
+    f"""SELECT *, row_number() OVER (ORDER BY subject_id, similarity_score DESC, object_id) AS position
+    FROM ({_SCORED})""",
+)
 def order_mappings(t):
-    return mappings.order_mappings(_scored(t))
+    return placed(mappings.order_mappings(_scored(t)))
 
 
 @query(

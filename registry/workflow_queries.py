@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from registry.core import query
-from registry.evaluation_queries import rounded
+from registry.evaluation_queries import MODEL_EVALUATION, rounded
 from registry.mapping_queries import (
     _CANDIDATES,
     _LOGICAL,
@@ -79,16 +79,10 @@ def workflow_logical(t):
 
 @query(
     "workflow_validation",
-    """SELECT model, count(*) AS mapping_results,
-      count(DISTINCT subject_id) FILTER (WHERE hit_miss_concept = 'Hit') AS hit,
-      count(DISTINCT subject_id) FILTER (WHERE hit_miss_concept = 'Miss') AS miss
-    FROM (SELECT model, subject_id, hit_miss_concept FROM {prepared} UNION ALL
-      SELECT model, subject_id, hit_miss_concept FROM {evaluated} WHERE mappability = 'Mappable')
-    GROUP BY model""",
+    MODEL_EVALUATION.replace("{prepared}", "{all_prepared}"),
 )
 def workflow_validation(t):
-    report = workflows.validate_models(t.mappings, t.truth, group_rows=10).report
-    return report.select("model", "mapping_results", "hit", "miss")
+    return rounded(workflows.validate_models(t.mappings, t.truth, group_rows=10).report)
 
 
 _BOTH = f"""{_mapped_sql(_TEXT, _TEXT, ", 'desc-vec' AS model")}

@@ -55,12 +55,19 @@ def running_totals(
         short = hot.isEmpty()
     if short:
         return _totals(df, keys, order, totals)
-    cold_rows = df.join(hot, list(keys), "left_anti")
-    hot_rows = df.join(hot, list(keys), "left_semi")
+    cold_rows = _matched(df, hot, keys, "left_anti")
+    hot_rows = _matched(df, hot, keys, "left_semi")
     split = _chunked_totals(hot_rows, keys, order, totals)
     return _totals(cold_rows, keys, order, totals).unionByName(split)
 
 
+def _matched(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join in which a null key equals a null key, as it does in a window."""
+    hot = hot.toDF(*[f"_hot_{k}" for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    return df.join(hot, same, how)
+
+
 def _totals(df, keys, order, totals):
     window = _until_here(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumns(
@@ -84,7 +91,9 @@ def _chunked_totals(df, keys, order, totals):
     )
     inside = _until_here(Window.partitionBy(*chunk_keys).orderBy(*order))
     local = cut.withColumns({name: F.sum(value).over(inside) for name, value in totals.items()})
-    return local.join(shifts, chunk_keys).select(
+    named = shifts.withColumnsRenamed({k: f"_at_{k}" for k in chunk_keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in chunk_keys]
+    return local.join(named, same).select(
         *df.columns,
         *[(F.col(n) + F.col(f"_shift_{n}")).alias(n) for n in totals],
     )

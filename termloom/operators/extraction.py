@@ -144,9 +144,15 @@ def _concept_terms(triples: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def extract_headings(
-    triples: DataFrame, roots: DataFrame, with_descriptor: bool = False
+    triples: DataFrame, roots: DataFrame | None = None, with_descriptor: bool = False
 ) -> DataFrame:
-    """Term rows of all headings below the roots; one per descriptor if asked for."""
+    """Term rows of all headings below the roots; one per descriptor if asked for.
+
+    Without roots those of anatomy and cell types are taken.
+    """
+    if roots is None:
+        names = [(MESH + root,) for root in ANATOMY_ROOTS]
+        roots = triples.sparkSession.createDataFrame(names, "iri string")
     headings = tree_descendants(triples, roots)
     lead: list[str] = []
     if with_descriptor:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,8 +10,19 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(app: str = "termloom", cpus: int | str = "*", **conf: str) -> SparkSession:
-    """Local session for tests and benchmarks; on a cluster use the session you are given."""
+_WRITTEN: list[str] = []
+
+
+def build_session(
+    app: str = "termloom", cpus: int | str = "*", scratch: str | None = None, **conf: str
+) -> SparkSession:
+    """Local session for tests and benchmarks; on a cluster use the session you are given.
+
+    ``scratch`` is the folder of written tables, by default what ``TERMLOOM_SCRATCH`` names.
+    """
+    scratch = scratch or os.environ.get("TERMLOOM_SCRATCH")
+    if scratch:
+        conf.setdefault("spark.checkpoint.dir", scratch)
     partitions = "8" if cpus == "*" else str(cpus)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -41,7 +53,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
         base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this process has written as intermediate results; for a run's end.
+
+    Frames that still read one of them cannot be used afterwards. Returns how many there were.
+    """
+    paths, gone = [p for p in _WRITTEN], 0
+    _WRITTEN.clear()
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        gone += bool(system.delete(hadoop, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -115,3 +115,19 @@ def test_fill_down(frame, monkeypatch, limit):
     for g, i, v in rows:
         last[g] = expected[i] = v or last.get(g)
     assert {r.i: r.v for r in out.collect()} == expected
+
+
+def test_a_hot_group_without_a_key_is_cut_like_others(frame, monkeypatch):
+    monkeypatch.setattr(ordering, "HOT_GROUP_ROWS", 20)
+    rows = [(None if i % 2 else "a", i) for i in range(100)]
+    out = ordering.running_totals(frame(rows, "g string, i int"), ["g"], [F.asc("i")], {"n": F.lit(1)})
+    assert sorted((r.i, r.n) for r in out.collect()) == [(i, i // 2 + 1) for i in range(100)]
+
+
+def test_scratch_tables_have_an_end(spark, frame, tmp_path):
+    from termloom import session
+
+    before, session._WRITTEN[:] = list(session._WRITTEN), []
+    written = session.materialize(frame([(1,)], "a int"), "short-lived")
+    assert written.count() == 1 and session.drop_scratch(spark) == 1 and not session._WRITTEN
+    session._WRITTEN[:] = before
