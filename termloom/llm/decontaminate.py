@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.llm.sharing import share, shared
 from termloom.llm.text_arrays import ALPHANUMERIC, mix, pieces, ranges, text_buffer, windows, words
 from termloom.session import materialize
 
@@ -169,7 +170,7 @@ def _mark(block):
     """Add the occurrences of one block's windows to what earlier blocks have found."""
 
     def run(batches):
-        index = block.value
+        index = shared(block)
         names = pa.array(index.names, pa.string())
         for batch in batches:
             for part in pieces(batch, _BATCH):
@@ -254,7 +255,7 @@ def annotate(
             keys = found["shingle"].to_numpy(np.int64).view(np.uint64)
             counts[np.searchsorted(known, keys)] = found["n"].to_numpy()
         block.anchor(known, counts)
-        marked = marked.mapInArrow(_mark(context.broadcast(block)), schema)
+        marked = marked.mapInArrow(_mark(share(spark, block)), schema)
         if i % _PASSES == _PASSES - 1 and i + 1 < blocks:
             marked = materialize(marked, "marked")
     return marked.select("row", "n_words", "n_hit", "items")

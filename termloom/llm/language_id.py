@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.sharing import share, shared
 from termloom.llm.text_arrays import mix, pieces, ranges, text_buffer, windows
 from termloom.session import materialize
 
@@ -305,8 +306,8 @@ def fit(
     if len(kept):
         own = kept["own"].to_numpy()
         strange = model.strangeness(kept["h"].to_numpy(), kept["n"].to_numpy(), own)
-        # Twice what all but one in 500 calibration texts reach, and not under eight deviations.
-        model.limit = max(8.0, 2 * float(np.quantile(strange, 0.998)))
+        # Twice what all but one in 500 calibration texts reach, and not under twelve deviations.
+        model.limit = max(12.0, 2 * float(np.quantile(strange, 0.998)))
         lead = ((kept["other"] - kept["h"]) * kept["n"]).to_numpy()
         model.sharpness = _sharpness(lead)
     else:
@@ -324,9 +325,9 @@ def _sharpness(lead: np.ndarray) -> float:
     return best
 
 
-def _identify(shared):
+def _identify(data):
     def run(batches):
-        model, table = shared.value, letter_table()
+        model, table = shared(data), letter_table()
         for batch in batches:
             for part in pieces(batch, _BATCH):
                 entropy, sizes = model.entropies(part.column("text"), table)
@@ -358,11 +359,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             "row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
             F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("rejected"),
         )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    data = share(docs.sparkSession, model)
     rows = rows.withColumn("letters", letters)
     schema = rows.drop("text").schema.add("best", "integer").add("score", "double")
     schema = schema.add("cross_entropy", "double").add("rejected", "boolean")
-    found = rows.mapInArrow(_identify(shared), schema)
+    found = rows.mapInArrow(_identify(data), schema)
     name = F.array(*[F.lit(x) for x in model.langs])[F.col("best")]
     return found.select(
         "row",

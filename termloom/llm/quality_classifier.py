@@ -23,6 +23,7 @@ from termloom.llm.learners import (
     logistic,
     sigmoid,
 )
+from termloom.llm.sharing import share, shared
 from termloom.llm.text_arrays import PLAIN, mix, pieces, text_buffer, windows, words
 
 SAMPLE_ROWS = 2_500  # of each class
@@ -160,9 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return train(sets, y, found["weight"].to_numpy(float), kept)
 
 
-def _score(shared):
+def _score(data):
     def run(batches):
-        model = shared.value
+        model = shared(data)
         flags = np.zeros(1 << BITS, bool)
         for batch in batches:
             for part in pieces(batch, _BATCH):
@@ -181,5 +182,5 @@ def score(docs: DataFrame, model, text: str = "text", id: str = "doc_id") -> Dat
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     if not isinstance(model, Model):
         return rows.select("doc_id", F.lit(float(model)).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score(shared), "doc_id long, score double")
+    data = share(docs.sparkSession, model)
+    return rows.mapInArrow(_score(data), "doc_id long, score double")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.learners import class_share, labelled_sample, logistic, sigmoid
+from termloom.llm.sharing import share, shared
 from termloom.llm.text_arrays import pieces
 
 SAMPLE_ROWS = 6_000  # of each class
@@ -198,9 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     return model
 
 
-def _score(shared):
+def _score(data):
     def run(batches):
-        model = shared.value
+        model = shared(data)
         for batch in _measure(model, ["doc_id"])(batches):
             total, most, words = (batch.column(c).to_numpy() for c in ("total", "most", "words"))
             score = sigmoid(_inputs(total, most, words) @ model.curve[:-1] + model.curve[-1])
@@ -218,5 +219,5 @@ def score(docs: DataFrame, model, text: str = "text", id: str = "doc_id") -> Dat
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     if not isinstance(model, Model):
         return rows.select("doc_id", F.lit(float(model)).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score(shared), "doc_id long, score double")
+    data = share(docs.sparkSession, model)
+    return rows.mapInArrow(_score(data), "doc_id long, score double")
