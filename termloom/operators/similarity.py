@@ -16,9 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom import schemas
 from termloom.functions.ordering import top_by
+from termloom.session import materialize
 
 LANE_BYTES = 64 << 20  # one lane of double precision vectors
 CELL_FLOPS = 2e9  # work that is worth a task of its own
@@ -34,6 +36,7 @@ def topk_similar(
     min_score: float | None = None,
     lanes: tuple[int, int] | None = None,
     digits: int = DIGITS,
+    prune: bool = True,
 ) -> DataFrame:
     """``source, target, score`` of the ``k`` most similar targets of each source.
 
@@ -42,13 +45,18 @@ def topk_similar(
     before ranking: the last bits depend on the block shapes, and equal vectors have to tie.
     Ties go to the smaller target id. Vectors without direction (zero, NaN, null) have no score.
     ``min_score`` keeps strictly higher scores; a source without any then has no row.
-    ``lanes`` fixes the numbers of source and target lanes. Otherwise one aggregation over both
+    With several target lanes rows are grouped by the nearest of some pivots, and a pair of groups
+    is compared only if the angles leave room for a score that can matter; ``prune=False`` compares
+    all. ``lanes`` fixes the numbers of source and target lanes. Otherwise one aggregation over both
     inputs takes their sizes, so write vectors that are dear to compute before.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     source_lanes, target_lanes = lanes or plan_lanes(source, target)
     cells = source_lanes * target_lanes
+    if prune and target_lanes > 1:
+        found, _ = _pruned(source, target, k, min_score, target_lanes, digits, lanes is None)
+        return found
     best = _lanes(source, "s", source_lanes, target_lanes, cells).cogroup(
         _lanes(target, "t", target_lanes, source_lanes, cells)
     )
@@ -219,6 +227,123 @@ def _scores(block, wide, r, c):
     return np.concatenate(parts) if parts else np.empty(0)
 
 
+# Groups around pivots ---------------------------------------------------------------------------
+
+_MARGIN = 1e-6  # of a bound, far above the errors of angles and of rounding to DIGITS
+
+
+def _pruned(source, target, k, min_score, pivots, digits, split):
+    """As ``topk_similar``, and how many cells were compared out of all.
+
+    By the triangle inequality of angles, no score between two groups is above the cosine of the
+    pivots' angle less both radii. First each group of sources meets the groups with the highest
+    bounds, which gives a floor: the least k-th score of its sources. Then it meets only those
+    others whose bound reaches that floor or ``min_score``.
+    """
+    spark = source.sparkSession
+    # As many pivots as target lanes, picked by a hash.
+    picked = target.filter("embedding IS NOT NULL").orderBy(F.xxhash64("id", "embedding")).limit(pivots)
+    _, centres = _unit_rows(*_columns(picked.select(F.col("id").cast("string").alias("id"), "embedding").collect()))
+    if not len(centres):
+        return spark.createDataFrame([], schemas.SCORES), (0, 0)
+    sides, info = [], []
+    for df in (source, target):
+        own = df.select(F.col("id").cast("string").alias("id"), "embedding")
+        schema = T.StructType([*own.schema.fields, T.StructField("pivot", T.IntegerType()),
+                               T.StructField("angle", T.DoubleType())])
+        own = materialize(own.mapInArrow(_nearest(centres), schema), "groups")
+        groups = own.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
+        table = {r.pivot: (r.n, r.r) for r in groups.collect()}
+        rows = max(1, LANE_BYTES // (8 * centres.shape[1]))
+        parts = {p: -(-n // rows) if split else 1 for p, (n, _) in table.items()}
+        first, lanes = {}, []
+        for p in sorted(table):
+            first[p] = len(lanes)
+            lanes += [(p, table[p][1], table[p][0] / parts[p])] * parts[p]
+        if not lanes:
+            return spark.createDataFrame([], schemas.SCORES), (0, 0)
+        numbers = F.create_map(*[F.lit(x) for p in sorted(table) for x in (p, first[p])])
+        counts = F.create_map(*[F.lit(x) for p in sorted(table) for x in (p, parts[p])])
+        lane = numbers[F.col("pivot")] + F.pmod(F.xxhash64("id"), counts[F.col("pivot")])
+        sides.append(own.select("id", "embedding", lane.cast("int").alias("lane")))
+        info.append(lanes)
+    angle = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    (sp, sr), (tp, tr) = ((np.array([x[0] for x in own]), np.array([x[1] for x in own])) for own in info)
+    bound = np.cos(np.maximum(0, angle[np.ix_(sp, tp)] - sr[:, None] - tr[None, :])) + _MARGIN
+    floor = -2.0 if min_score is None else min_score
+    order = np.argsort(-bound, axis=1, kind="stable")
+    before = np.cumsum(np.array([x[2] for x in info[1]])[order], axis=1)
+    early = np.zeros(bound.shape, bool)
+    # The best groups until they hold some times k targets.
+    np.put_along_axis(early, order, np.concatenate([np.zeros((len(order), 1)), before[:, :-1]], 1) < 4 * k, 1)
+    early &= bound > floor
+    found = materialize(_compare_cells(sides, early, k, min_score, digits), "scores")
+    least = sides[0].join(_kth(found, k), "id", "left").groupBy("lane").agg(
+        F.min(F.coalesce("s", F.lit(-2.0))).alias("s")
+    )
+    floors = np.full(len(sp), floor)
+    for row in least.collect():
+        floors[row.lane] = max(floor, row.s)
+    late = (bound >= floors[:, None]) & ~early & (bound > floor)
+    if late.any():
+        found = found.unionByName(_compare_cells(sides, late, k, min_score, digits))
+    best = found.groupBy("source", "target").agg(F.max("score").alias("score"))
+    done = top_by(best, ["source"], [F.desc("score"), F.asc("target")], k)
+    return done, (int(early.sum() + late.sum()), bound.size)
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """``id, s``: the k-th best score of the sources that have as many."""
+    best = found.groupBy("source", "target").agg(F.max("score").alias("score"))
+    first = top_by(best, ["source"], [F.desc("score"), F.asc("target")], k)
+    kth = first.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("c"), F.min("score").alias("s"))
+    return kth.filter(F.col("c") >= k).select("id", "s")
+
+
+def _columns(rows) -> tuple[pa.Array, pa.Array]:
+    return pa.array([r.id for r in rows], pa.string()), pa.array([r.embedding for r in rows], pa.list_(pa.float64()))
+
+
+def _nearest(centres: np.ndarray):
+    """Nearest pivot of each row and the angle to it; rows without direction are left out."""
+
+    def run(batches):
+        for batch in batches:
+            valid = batch.filter(pc.is_valid(batch.column("embedding")))
+            if not valid.num_rows:
+                continue
+            flat = valid.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            vectors = flat.reshape(valid.num_rows, -1)
+            norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            usable = np.isfinite(norms) & (norms > 0)
+            valid, vectors = valid.filter(pa.array(usable)), vectors[usable] / norms[usable, None]
+            near = vectors @ centres.T
+            pivot = near.argmax(axis=1)
+            angle = np.arccos(np.clip(near[np.arange(len(pivot)), pivot], -1, 1))
+            yield pa.RecordBatch.from_arrays(
+                [*valid.columns, pa.array(pivot, pa.int32()), pa.array(angle)], [*valid.schema.names, "pivot", "angle"]
+            )
+
+    return run
+
+
+def _compare_cells(sides, wanted: np.ndarray, k, min_score, digits) -> DataFrame:
+    """Best pairs of the wanted cells, one cell per task group."""
+    spark = sides[0].sparkSession
+    left, right = np.nonzero(wanted)
+    cells = pa.table({"s": pa.array(left, pa.int32()), "t": pa.array(right, pa.int32()),
+                      "cell": pa.array(np.arange(len(left)), pa.int64())})
+    cells = spark.createDataFrame(cells)
+    copies = []
+    for own, side in zip(sides, "st", strict=True):
+        number = cells.select(F.col(side).alias("lane"), F.col("cell").alias(f"{side}_cell"))
+        copy = own.join(number, "lane").select(
+            F.col("id").alias(f"{side}_id"), F.col("embedding").alias(f"{side}_embedding"), f"{side}_cell"
+        )
+        copies.append(copy.groupBy(f"{side}_cell"))
+    return copies[0].cogroup(copies[1]).applyInArrow(_cell(k, min_score, digits), schemas.SCORES)
+
+
 def score_threshold(scores: DataFrame, minimum: float = 0.5) -> DataFrame:
     """Strictly above the minimum."""
     return scores.filter(F.col("score") > minimum)

@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -17,7 +18,11 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+# The optional operators' queries are tested with their operators.
+NAMES = sorted(n for n in contract.queries() if not re.match(r"op\d+_|pipeline$", n))
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     status, _, rows = compare(spark, duck, FOLDER, name)
     assert status in ("ok", "rows only") and rows > 0

@@ -128,6 +128,21 @@ def test_rows_of_one_id_are_one_thing(frame, lanes):
     close(got(found), expect)
 
 
+@pytest.mark.parametrize("minimum", [None, 0.9])
+def test_groups_that_cannot_matter_are_skipped(frame, minimum):
+    random = np.random.default_rng(9)
+    centres = random.normal(size=(6, 5)) * 10
+    rows = lambda name, n: [
+        (f"{name}{i}", [float(np.float32(x)) for x in centres[i % 6] + random.normal(size=5) * 0.3]) for i in range(n)
+    ]
+    sources, targets = rows("s", 60), rows("t", 240)
+    s, t = frame(sources, VECTORS), frame(targets, VECTORS)
+    found, (compared, cells) = similarity._pruned(s, t, 5, minimum, 8, 9, False)
+    close(got(found), brute(sources, targets, 5, minimum))
+    assert 0 < compared < cells
+    close(got(topk_similar(s, t, 5, minimum, lanes=(3, 8), prune=False)), brute(sources, targets, 5, minimum))
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(
     st.integers(1, 6), st.integers(1, 40), st.integers(1, 8),
