@@ -9,8 +9,8 @@ independent coordinates.
 
 Documents with one and the same set form a class first; from then on only the smallest document of
 a class is worked with. Classes that agree in a band of ``ROWS`` coordinates are candidates.
-A bucket compares its members with a few pivots, and only members that the links found so far do
-not connect are compared further, so a group of n copies costs about n comparisons. Members that
+A bucket compares its members with one pivot, and only members that the links found so far do
+not connect are compared further, so a group of n copies costs a few times n comparisons. Members that
 cannot be linked with anybody, because too much of their set is theirs alone, are taken out before,
 and the rest is compared in blocks of sets, as products of matrices. Every link is confirmed on the
 full sets.
@@ -30,8 +30,8 @@ from termloom.session import materialize, materialize_counted
 SHINGLE = 5
 BINS, ROWS = 96, 4  # at similarity 0.85 a pair shares no band with probability 2e-8
 LEAST = 85  # percent
-PIVOTS = 4  # of a bucket
-BLOCK = 2_000  # sets that a task compares with as many others
+BLOCK = 1_500_000  # shingles of the sets that a task compares with as many others
+_ROWS = 512  # sets of a block that are compared at a time
 _COMMON = 12  # sets from which on an element is counted by a product
 _BATCH = 4 << 20
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
@@ -216,40 +216,37 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, text: str = "text", id:
 def _connected(members: DataFrame, count: int, docs: DataFrame, least: int) -> DataFrame:
     """``node, root`` of all links between members of one bucket.
 
-    First a bucket's members are compared with the ``PIVOTS`` or so whose place comes first; that
-    finishes small buckets and connects most of a large group. Buckets that are not connected then
+    First a bucket's members are compared with the one whose place comes first; that finishes pairs and connects most of a large group. Buckets that are not connected then
     are finished in blocks, without those members that no open pair can link.
     """
-    pivots = members.filter(F.col("place") < PIVOTS).select(
-        "key", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("c").alias("d"),
-        F.col("place").alias("at"),
-    )
-    later = (F.col("place") > F.col("at")) | (
-        (F.col("place") == F.col("at")) & (F.col("rep") > F.col("p"))
+    # The same few members come first in most buckets of a group, so its pairs are few.
+    first = members.groupBy("key").agg(F.min(F.struct("place", "rep", "n", "c")).alias("v"))
+    pivots = first.select(
+        "key", F.col("v.rep").alias("p"), F.col("v.n").alias("m"), F.col("v.c").alias("d")
     )
     pairs = (
         members.join(pivots, "key")
-        .filter(later & _fits(least))
+        .filter((F.col("rep") != F.col("p")) & _fits(least))
         .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
         .distinct()
     )
     links = materialize(_links(materialize(pairs, "pairs"), docs, least), "links")
     roots = smallest_reachable(links)
-    active = _open(members, roots, PIVOTS)
+    active = _open(members, roots)
     if active is None:
         return roots
-    left = _open(_linkable(active, docs, least), roots, PIVOTS)
+    left = _open(_linkable(active, docs, least), roots)
     if left is None:
         return roots
     more, linked = materialize_counted(_in_blocks(left, docs, least), "links")
     return smallest_reachable(links.unionByName(more)) if linked else roots
 
 
-def _open(members: DataFrame, roots: DataFrame, done: int) -> DataFrame | None:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame | None:
     """Members of the buckets that are neither connected nor finished, or None."""
-    # Places below ``done`` have been pivots, so a bucket with fewer members is finished.
+    # Of two members one was the pivot.
     labelled = (
-        members.filter(F.col("members") > done)
+        members.filter(F.col("members") > 2)
         .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .select("key", "rep", "n", "c", "members", "place", F.coalesce("root", "rep").alias("root"))
     )
@@ -263,14 +260,17 @@ def _in_blocks(active: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """Links ``a, b`` that connect all members of open buckets that are similar enough.
 
     Buckets that share members form clusters. A cluster is cut into blocks of about ``BLOCK``
-    members, and a task gets the sets of two blocks, or those of several small clusters. It counts
+    shingles, and a task gets the sets of two blocks, or those of several small clusters. It counts
     all intersections as a matrix and returns a spanning forest of its links, so neither pairs
     nor a whole large group are ever rows or one task.
     """
     hubs = active.groupBy("key").agg(F.min("rep").alias("hub"))
     stars = active.join(hubs, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     clusters = smallest_reachable(stars.filter("a <> b"))
-    sizes = materialize(clusters.groupBy("root").agg(F.count("*").alias("size")), "clusters")
+    weight = active.select(F.col("rep").alias("node"), "n").distinct()
+    sizes = materialize(
+        clusters.join(weight, "node").groupBy("root").agg(F.sum("n").alias("size")), "clusters"
+    )
     total = sizes.agg(F.sum("size")).first()[0] or 0
     bins = max(1, -(-total // BLOCK))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -301,21 +301,16 @@ def _forest(least: int):
         own = table.column("own").to_numpy()
         first, second = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
-        shared = intersections(sets, left, right)
         sizes = np.array([len(x) for x in sets], np.int64)
-        union = sizes[left][:, None] + sizes[right][None, :] - shared
-        i, j = np.nonzero(100 * shared >= least * union)
-        a, b = left[i], right[j]
-        a, b = a[a != b], b[a != b]
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        index = Elements(sets)
         roots = np.arange(len(rep))
-        while True:  # smallest label of the neighbours, then of the labels
-            before = roots.copy()
-            np.minimum.at(roots, a, before[b])
-            np.minimum.at(roots, b, before[a])
-            roots = roots[roots]
-            if (roots == before).all():
-                break
+        for low in range(0, len(left), _ROWS):
+            some = left[low : low + _ROWS]
+            shared = index.intersections(some, right)
+            union = sizes[some][:, None] + sizes[right][None, :] - shared
+            i, j = np.nonzero(100 * shared >= least * union)
+            roots = _merged(roots, some[i], right[j])
         linked = np.flatnonzero(roots != np.arange(len(rep)))
         p, q = rep[roots[linked]], rep[linked]
         return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
@@ -323,38 +318,58 @@ def _forest(least: int):
     return run
 
 
-def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the ``left`` sets with the ``right`` ones, but for a set with itself.
-
-    Elements that many sets have are counted by a product of matrices, the others pair by pair.
-    """
-    out = np.zeros((len(left), len(right)), np.int64)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    head = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else order
-    counts = np.diff(np.append(head, len(values)))
-    row = np.full(len(sets), -1)
-    column = np.full(len(sets), -1)
-    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
-    common = np.flatnonzero(counts >= _COMMON)
-    for low in range(0, len(common), 4096):
-        some = common[low : low + 4096]
-        at = ranges(head[some], counts[some])
-        number = np.repeat(np.arange(len(some)), counts[some])
-        have = np.zeros((len(sets), len(some)), np.float32)
-        have[owner[at], number] = 1
-        out += (have[left] @ have[right].T).astype(np.int64)
-    for size in range(2, min(_COMMON, int(counts.max(initial=0)) + 1)):
-        some = head[counts == size]
-        for p in range(size):
-            for q in range(size):
-                x, y = row[owner[some + p]], column[owner[some + q]]
-                both = (x >= 0) & (y >= 0)
-                np.add.at(out, (x[both], y[both]), 1)
-    return out
+def _merged(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each component, with the links ``a, b`` added."""
+    while True:
+        before = roots
+        roots = before.copy()
+        # A link ties the components of its ends, so their names take part.
+        for x, y in ((a, b), (b, a)):
+            np.minimum.at(roots, before[x], before[y])
+            np.minimum.at(roots, x, before[y])
+        roots = roots[roots]
+        if (roots == before).all():
+            return roots
+
+
+class Elements:
+    """Which sets have each element, for counting intersections."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = len(sets)
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(values, kind="stable")
+        values, self.owner = values[order], owner[order]
+        self.head = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else order
+        self.counts = np.diff(np.append(self.head, len(values)))
+
+    def intersections(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the ``left`` sets with the ``right`` ones, but for a set
+        with itself.
+
+        Elements that many sets have are counted by a product of matrices, the others pair by pair.
+        """
+        out = np.zeros((len(left), len(right)), np.int32)
+        row, column = np.full(self.size, -1), np.full(self.size, -1)
+        row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+        common = np.flatnonzero(self.counts >= _COMMON)
+        for low in range(0, len(common), 1024):
+            some = common[low : low + 1024]
+            at = ranges(self.head[some], self.counts[some])
+            have = np.zeros((self.size, len(some)), np.float32)
+            have[self.owner[at], np.repeat(np.arange(len(some)), self.counts[some])] = 1
+            out += (have[left] @ have[right].T).astype(np.int32)
+        for size in range(2, min(_COMMON, int(self.counts.max(initial=0)) + 1)):
+            some = self.head[self.counts == size]
+            for p in range(size):
+                x = row[self.owner[some + p]]
+                mine = np.flatnonzero(x >= 0)
+                for q in range(size) if len(mine) else ():
+                    y = column[self.owner[some[mine] + q]]
+                    both = y >= 0
+                    np.add.at(out, (x[mine][both], y[both]), 1)
+        return out
 
 
 def _linkable(active: DataFrame, docs: DataFrame, least: int) -> DataFrame:

@@ -119,7 +119,7 @@ def test_intersections_of_blocks(monkeypatch, common):
     draw = np.random.default_rng(6)
     sets = [np.unique(draw.integers(0, 60, draw.integers(0, 40)).astype(np.uint64)) for _ in range(25)]
     left, right = np.arange(0, 12), np.arange(10, 25)
-    found = N.intersections(sets, left, right)
+    found = N.Elements(sets).intersections(left, right)
     for i, a in enumerate(left):
         for j, b in enumerate(right):
             if a != b:
@@ -127,8 +127,8 @@ def test_intersections_of_blocks(monkeypatch, common):
 
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 20)
-    monkeypatch.setattr(N, "PIVOTS", 1)
+    monkeypatch.setattr(N, "BLOCK", 4_000)
+    monkeypatch.setattr(N, "_ROWS", 7)
     draw = random.Random(8)
     base = sentence(draw, 200).split()
     texts = {}
