@@ -25,7 +25,7 @@ from termloom.session import materialize
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
 _SEGMENT = 1_000  # item words that travel together
-_BATCH = 4 << 20
+_BATCH = 2 << 20
 _PASSES = 4  # blocks between two written tables
 
 _CUTS = "item string, digest binary, n int"

@@ -29,7 +29,7 @@ from termloom.session import materialize
 ORDER = 4
 SAMPLE_BYTES = 3_000_000  # for each language
 CALIBRATION = 0.15  # share of the sample that is kept from counting
-_BATCH = 2 << 20
+_BATCH = 1 << 20
 _BLANK = 0x20
 _GRAMS = "lang string, gram string, n long"
 _SCORES = "doc_id long, best int, score double, cross_entropy double, rejected boolean"

@@ -33,7 +33,7 @@ LEAST = 85  # percent
 BLOCK = 1_500_000  # shingles of the sets that a task compares with as many others
 _ROWS = 512  # sets of a block that are compared at a time
 _COMMON = 12  # sets from which on an element is counted by a product
-_BATCH = 4 << 20
+_BATCH = 2 << 20
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 _SET = "rep long, shingles binary"
 
