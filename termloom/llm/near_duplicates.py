@@ -32,6 +32,7 @@ BINS, ROWS = 96, 4  # at similarity 0.85 a pair shares no band with probability
 LEAST = 85  # percent
 BLOCK = 1_500_000  # shingles of the sets that a task compares with as many others
 _ROWS = 512  # sets of a block that are compared at a time
+_BITS = 24  # of the bitmap of wanted documents
 _COMMON = 12  # sets from which on an element is counted by a product
 _BATCH = 2 << 20
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
@@ -151,10 +152,36 @@ def _confirm(least: int):
     return run
 
 
+def _of(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The documents whose number is in ``ends``.
+
+    A bitmap of fixed size drops nearly all others before the join, so their texts do not move; a
+    false hit goes in the join.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BITS))
+    # At most 2^18 words of 64 bits come here, whatever the number of documents.
+    words_ = ends.select(
+        F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, int(pmod(xxhash64(doc_id), 64)))").alias("b")
+    ).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    packed = np.zeros(1 << (_BITS - 6), np.uint64)
+    packed[words_["w"].to_numpy(np.int64)] = words_["b"].to_numpy(np.int64).view(np.uint64)
+    bits = np.unpackbits(packed.view(np.uint8), bitorder="little")
+    data = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches):
+        known = np.unpackbits(data.value)
+        for batch in batches:
+            keep = pa.array(known[batch.column("place").to_numpy()] > 0)
+            yield batch.select(["doc_id", "text"]).filter(keep)
+
+    near = docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, text string")
+    return near.join(ends, "doc_id", "left_semi")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """The pairs ``a, b`` of document numbers that are links."""
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets, _SET), "sets")
+    sets = materialize(_of(docs, ends).mapInArrow(_sets, _SET), "sets")
     right = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     both = right.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(least), "a long, b long")
@@ -287,7 +314,7 @@ def _in_blocks(active: DataFrame, docs: DataFrame, least: int) -> DataFrame:
         .select("rep", "cell", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
     ends = clusters.select(F.col("node").alias("doc_id"))
-    sets = docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, _SET)
+    sets = _of(docs, ends).dropDuplicates(["doc_id"]).mapInArrow(_sets, _SET)
     return (
         materialize(sets, "sets").join(placed, "rep")
         .groupBy("cell", "lo", "hi")
@@ -380,7 +407,7 @@ def _linkable(active: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     the smallest of the bucket; if even that gives too low a similarity, the member goes.
     """
     own = active.select(F.col("rep").alias("doc_id")).distinct()
-    spread = docs.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
+    spread = _of(docs, own).dropDuplicates(["doc_id"]).mapInArrow(
         _elements, "rep long, shingle long"
     )
     single = spread.groupBy("shingle").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).filter("k = 1")
