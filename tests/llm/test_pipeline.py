@@ -44,6 +44,16 @@ def test_each_stage_does_what_its_operator_says(spark, folder):
     assert C.STAGES[-1][1](spark, after[4], folder).exceptAll(packing.pack(after[4])).count() == 0
 
 
+def test_copies_from_similarity_0_8_on_go(spark, folder):
+    own = [f"word{i}" for i in range(104)]  # 100 shingles
+    changed = [own[: 104 - n] + [f"new{n}x{i}" for i in range(n)] for n in (10, 12)]
+    texts = [own, changed[0], [f"other{i}" for i in range(104)]]
+    texts.append([w.replace("word", "other") for w in changed[1]])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]  # 90 of 110 and 88 of 112 in common
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in C.one_of_each(spark, docs, folder).collect()) == [0, 2, 3]
+
+
 def test_run_gives_the_last_stage(spark, folder):
     found = C.run(spark, folder)
     assert found.columns[:2] == ["doc_id", "piece"] and found.count() > 0
