@@ -8,7 +8,9 @@ stretches, and every stretch is streamed through it backwards: the matching stat
 13 words give intervals of suffixes, and an interval's smallest document owns the window.
 
 Only distinct stretches with their smallest document go to the shards, so a passage that a third of
-all documents share is one row per task there. What the shards find is joined back by stretch, as a
+all documents share is one row per task there. A phrase that stands in other words everywhere gives
+its anchor many distinct stretches: such an anchor is hot, each of its windows is a stretch, and
+these go to shards by their own words, where equal windows still meet. What the shards find is joined back by stretch, as a
 plain join that Spark may split where it is skewed.
 """
 
@@ -29,8 +31,9 @@ WINDOW, ANCHOR = 13, 6
 _RUN = 16  # windows of one stretch at most
 _BITS, _CHUNK = 28, 20  # of the bitmap, and of a part of it
 _STRETCHES = 60_000  # of a shard
+_HOT = 15_000  # documents, and distinct stretches, of an anchor that is spread over shards
 _BATCH = 4 << 20
-_COPIES = "anchor long, digest long, text binary, low long, high long"
+_COPIES = "anchor long, digest long, text binary, low long, high long, spread long"
 _OWNERS = "anchor long, digest long, owners array<long>"
 _PLACES = "anchor long, digest long, doc_id long, at int, n int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -39,7 +42,7 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 class Stretches:
     """Runs of windows with one anchor: anchor, first word, number of windows and document."""
 
-    def __init__(self, found: Words, window: int, run: int = _RUN):
+    def __init__(self, found: Words, window: int, hot: np.ndarray | None = None, run: int = _RUN):
         digest, first = found.hashes(), found.first
         grams = windows(digest, ANCHOR)
         span = window - ANCHOR + 1
@@ -61,6 +64,7 @@ class Stretches:
             )
             begin = np.flatnonzero(new)
             new[(np.arange(len(whole)) - np.repeat(begin, np.diff(np.append(begin, len(whole))))) % run == 0] = True
+            new |= among(least[whole], hot)
         begin = np.flatnonzero(new)
         self.count = np.diff(np.append(begin, len(whole)))
         self.at = whole[begin]
@@ -80,9 +84,16 @@ class Stretches:
         return self
 
 
-def _found(part, window: int):
+def among(anchor: np.ndarray, some: np.ndarray | None) -> np.ndarray:
+    """Whether each anchor is in the sorted array."""
+    if some is None or not len(some):
+        return np.zeros(len(anchor), bool)
+    return some[np.minimum(np.searchsorted(some, anchor), len(some) - 1)] == anchor
+
+
+def _found(part, window: int, hot: np.ndarray | None = None):
     found = words(*text_buffer(part.column("text")), PLAIN, lower=False)
-    return found, Stretches(found, window)
+    return found, Stretches(found, window, hot)
 
 
 def _anchors(window: int):
@@ -101,6 +112,46 @@ def _anchors(window: int):
     return run
 
 
+def _digests(often, window: int):
+    """Distinct stretches of some anchors in each piece."""
+
+    def run(batches):
+        some = often.value
+        for batch in batches:
+            for part in pieces(batch, _BATCH):
+                _, own = _found(part, window)
+                own.only(among(own.anchor, some))
+                order = np.lexsort((own.digest, own.anchor))
+                anchor, digest = own.anchor[order], own.digest[order]
+                new = np.ones(len(anchor), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[new].view(np.int64)), pa.array(digest[new].view(np.int64))],
+                    ["anchor", "digest"],
+                )
+
+    return run
+
+
+def _hot(docs: DataFrame, shared: DataFrame, window: int) -> np.ndarray:
+    """Anchors with more than about ``_HOT`` distinct stretches, sorted.
+
+    Each stands in as many documents, so they are few. A passage that many documents share whole
+    has few distinct stretches and is not hot.
+    """
+
+    def sorted_anchors(frame: DataFrame) -> np.ndarray:
+        return np.sort(np.array([r.anchor for r in frame.collect()], np.int64).view(np.uint64))
+
+    often = sorted_anchors(shared.filter(F.col("n") > _HOT).select("anchor"))
+    if not len(often):
+        return often
+    data = docs.sparkSession.sparkContext.broadcast(often)
+    seen = docs.select("text").mapInArrow(_digests(data, window), "anchor long, digest long")
+    counts = seen.groupBy("anchor").agg(F.approx_count_distinct("digest").alias("n"))
+    return sorted_anchors(counts.filter(F.col("n") > _HOT).select("anchor"))
+
+
 def _bitmap(table: pa.Table) -> pa.Table:
     chunk = table.column("chunk")[0].as_py()
     bits = np.zeros(1 << _CHUNK, bool)
@@ -114,14 +165,14 @@ def _passes(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def _copies(bitmap, window: int):
+def _copies(bitmap, hot, window: int):
     """Distinct stretches of a task with their words and the range of their documents."""
 
     def run(batches):
         bits = bitmap.value
         for batch in batches:
             for part in pieces(batch, _BATCH):
-                found, own = _found(part, window)
+                found, own = _found(part, window, hot.value)
                 own.only(_passes(bits, own.anchor))
                 if not len(own.at):
                     continue
@@ -141,8 +192,9 @@ def _copies(bitmap, window: int):
                     [
                         pa.array(own.anchor[pick].view(np.int64)), pa.array(own.digest[pick].view(np.int64)),
                         pa.array(texts, pa.binary()), pa.array(number[pick]), pa.array(number[order[last]]),
+                        pa.array(np.where(among(own.anchor[pick], hot.value), own.digest[pick], np.uint64(0)).view(np.int64)),
                     ],
-                    ["anchor", "digest", "text", "low", "high"],
+                    ["anchor", "digest", "text", "low", "high", "spread"],
                 )
 
     return run
@@ -200,14 +252,14 @@ def _shard(window: int):
     return run
 
 
-def _occurrences(bitmap, window: int):
+def _occurrences(bitmap, hot, window: int):
     """Where each stretch that may be shared stands."""
 
     def run(batches):
         bits = bitmap.value
         for batch in batches:
             for part in pieces(batch, _BATCH):
-                found, own = _found(part, window)
+                found, own = _found(part, window, hot.value)
                 own.only(_passes(bits, own.anchor))
                 number = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[own.doc]
                 yield pa.RecordBatch.from_arrays(
@@ -265,6 +317,23 @@ def kept_bytes(found: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, edges
 
 
+def _in_shards(docs: DataFrame, shared: DataFrame, bitmap, hot, window: int) -> DataFrame:
+    """The distinct stretches of each task with the number of their shard."""
+    hot_ones = docs.sparkSession.createDataFrame(
+        [(a,) for a in hot.value.view(np.int64).tolist()], "anchor long"
+    )
+    copies = shared.agg(F.sum("n")).first()[0] or 0
+    if len(hot.value):  # a stretch has up to as many windows as a window has runs of an anchor's size
+        copies += (window - ANCHOR) * shared.join(hot_ones, "anchor").agg(F.sum("n")).first()[0]
+    shards = max(1, -(-copies // _STRETCHES))
+    return (
+        docs.select("doc_id", "text")
+        .mapInArrow(_copies(bitmap, hot, window), _COPIES)
+        .withColumn("shard", F.pmod(F.xxhash64("anchor", "spread"), F.lit(shards)))
+        .drop("spread")
+    )
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, at, n``: runs of ``n`` windows from word ``at`` on that a smaller document has."""
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -287,17 +356,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     for row in parts.toLocalIterator():
         bits[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.bits, np.uint8)
     bitmap = docs.sparkSession.sparkContext.broadcast(bits)
-    copies = shared.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-copies // _STRETCHES))
-    owners = (
-        docs.select("doc_id", "text")
-        .mapInArrow(_copies(bitmap, window), _COPIES)
-        .withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        .groupBy("shard")
-        .applyInArrow(_shard(window), _OWNERS)
-    )
-    owners = materialize(owners, "owners")
-    places = docs.select("doc_id", "text").mapInArrow(_occurrences(bitmap, window), _PLACES)
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, shared, window))
+    copies = _in_shards(docs, shared, bitmap, hot, window)
+    owners = materialize(copies.groupBy("shard").applyInArrow(_shard(window), _OWNERS), "owners")
+    places = docs.select("doc_id", "text").mapInArrow(_occurrences(bitmap, hot, window), _PLACES)
     found = places.join(owners, ["anchor", "digest"]).select(
         "doc_id", "at", "n", F.transform("owners", lambda o: o < F.col("doc_id")).alias("gone")
     )

@@ -57,6 +57,26 @@ def test_many_shards_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, S.remove_repeats(docs).collect())) == brute(texts)
 
 
+def test_hot_anchors_are_spread_and_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(S, "_STRETCHES", 20)
+    monkeypatch.setattr(S, "_HOT", 30)
+    draw = random.Random(7)
+    phrase = sentence(draw, 12)
+    texts = {i: f"{sentence(draw, 9)} {phrase} {sentence(draw, 9)}" for i in range(400)}
+    texts |= {400 + i: t for i, t in shared(4).items()} | {500: texts[7], 501: texts[8] + " end"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    seen, placed = [], S._in_shards
+
+    def in_shards(*given):
+        seen.append(placed(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(S, "_in_shards", in_shards)
+    assert sorted(map(tuple, S.remove_repeats(docs).collect())) == brute(texts)
+    sizes = [r["count"] for r in seen[0].groupBy("shard").count().collect()]
+    assert sum(sizes) > 1000 and max(sizes) < 100
+
+
 def test_odd_texts_and_rows(spark):
     docs = corpus(spark)
     texts = {r.doc_id: r.text for r in docs.collect()}
