@@ -15,6 +15,7 @@ from termloom.llm import (
     rules,
     substring_dedup,
     toxicity,
+    vector_codes,
 )
 from termloom.llm.registry import query, read
 
@@ -220,3 +221,58 @@ def _op8(spark, folder):
 @query("op7_best_fit_packing")
 def _op7(spark, folder):
     return packing.pack(read(spark, folder, "documents"))
+
+
+def _codes_sql(rounds: int) -> str:
+    """Lloyd rounds written out one after the other."""
+    far = "list_sum(list_transform(list_zip(p.part, c.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        r"""
+v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT vec_id, label, j, list_slice(e, j * len(e) // 16 + 1, (j + 1) * len(e) // 16) AS part
+  FROM v, (SELECT unnest(range(16)) AS j)
+), c0 AS (
+  SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS k, part
+  FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (
+  SELECT vec_id, any_value(label) AS label, p.j, min({far} * 64 + c.k) AS best
+  FROM p JOIN c{r} c ON p.j = c.j GROUP BY vec_id, p.j
+)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT j, k, list(x ORDER BY i) AS part FROM (
+    SELECT j, k, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x
+    FROM (SELECT p.j, a.best % 64 AS k, unnest(p.part) AS x, unnest(range(1, len(p.part) + 1)) AS i
+          FROM p JOIN a{r} a ON p.vec_id = a.vec_id AND p.j = a.j)
+    GROUP BY j, k, i)
+  GROUP BY j, k
+), c{r + 1} AS (
+  SELECT c.j, c.k, coalesce(m.part, c.part) AS part
+  FROM c{r} c LEFT JOIN m{r} m ON c.j = m.j AND c.k = m.k
+)""")
+    return f"""
+WITH {",".join(steps)}, books AS (
+  SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY j, k)) AS sha FROM c{rounds}
+), coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', best % 64), '' ORDER BY j) AS code,
+         sum(best // 64)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha FROM books) AS codebooks_sha256
+FROM coded
+"""
+
+
+@query("op11_vector_codes", _codes_sql(vector_codes.ROUNDS))
+def _op11(spark, folder):
+    return vector_codes.compress(read(spark, folder, "embeddings"))
