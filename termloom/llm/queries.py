@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termloom.llm import (
+    conversation_trie,
     decontaminate,
     language_id,
     language_model,
+    mixing,
     near_duplicates,
     packing,
     pii,
@@ -276,3 +278,61 @@ FROM coded
 @query("op11_vector_codes", _codes_sql(vector_codes.ROUNDS))
 def _op11(spark, folder):
     return vector_codes.compress(read(spark, folder, "embeddings"))
+
+
+@query("op12_mix_sources")
+def _op12(spark, folder):
+    return mixing.mix(read(spark, folder, "documents"))
+
+
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS of,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295, flatten(list_transform(
+             string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda acc, x: CASE WHEN xor(acc, x) & 1 = 1 THEN xor(xor(acc, x) >> 1, 3988292384)
+                               ELSE xor(acc, x) >> 1 END)) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, role, text, row_number() OVER (PARTITION BY c.conv_id ORDER BY own, pos) AS depth
+  FROM (
+    SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.of AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h
+  ) x JOIN c ON x.conv_id = c.conv_id
+), p AS (
+  SELECT conv_id, depth, strlen(text) AS bytes,
+         md5(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER o) AS key
+  FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id
+), n AS (
+  SELECT key, any_value(depth) AS depth, any_value(bytes) AS bytes, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE depth = len) AS ends
+  FROM p JOIN l ON p.conv_id = l.conv_id GROUP BY key
+), up AS (
+  SELECT DISTINCT a.key, b.key AS parent FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.depth = a.depth - 1
+), kids AS (SELECT parent AS key, count(*) AS n_children FROM up GROUP BY parent
+), below AS (SELECT DISTINCT b.key AS top, a.key FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth >= b.depth
+), sums AS (
+  SELECT top, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM below JOIN n ON below.key = n.key LEFT JOIN kids ON kids.key = n.key GROUP BY top
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN sums ON sums.top = n.key LEFT JOIN kids ON kids.key = n.key
+LEFT JOIN up ON up.key = n.key LEFT JOIN n u ON u.key = up.parent
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def _op13(spark, folder):
+    own = conversation_trie.paths(read(spark, folder, "conversations"))
+    trie = conversation_trie.prefix_trie(conversation_trie.with_common_heads(own))
+    return conversation_trie.with_digest(*trie)
