@@ -1,10 +1,12 @@
 """Consensus, evaluation and statistics."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from registry.core import placed, query
 from registry.inputs import MODELS
-from termloom.functions import ordering
+from termloom.functions import normal, ordering
 from termloom.functions.numeric import zscore
 from termloom.operators import consensus, evaluation, linear_models, statistics
 
@@ -45,8 +47,8 @@ def keep_mappable(t):
 @query(
     "flag_unmappable",
     """SELECT m.subject_id, m.object_id, m.model, coalesce(u.mappability, 'Mappable') AS mappability
-    FROM {mappings} m LEFT JOIN (SELECT DISTINCT subject_id, mappability FROM {truth}
-      WHERE mappability = 'Unmappable') u ON u.subject_id = m.subject_id""",
+    FROM {mappings} m LEFT JOIN (SELECT DISTINCT subject_id, 'Unmappable' AS mappability FROM {subjects}
+      WHERE unmappable) u ON u.subject_id = m.subject_id""",
 )
 def flag_unmappable(t):
     return consensus.flag_mappability(t.mappings, t.truth).select(
@@ -564,7 +566,7 @@ _MSE = f"""(SELECT sum(d * d) / (count(*) - (SELECT count(*) FROM {_CELLS})) AS
 )
 def glm_fit(t):
     fit = linear_models.glm_fit(_normed(t), "similarity_score", ["model", "accurate_mapping"])
-    return rounded(fit, t_value=3)
+    return rounded(fit.drop("p_value"), t_value=3)
 
 
 @query(
@@ -616,6 +618,33 @@ def anova_factorial(t):
     return second.withColumn("type", F.lit(2)).unionByName(third.withColumn("type", F.lit(3)))
 
 
+@query(
+    "anova_two_way",
+    """WITH c AS (SELECT model AS g, accurate_mapping AS a, count(*)::DOUBLE AS n, avg(similarity_score) AS m,
+        var_pop(similarity_score) * count(*) AS ss FROM {normed} GROUP BY 1, 2),
+      f AS (SELECT sum(ss) AS rss, sum(n) - count(*) AS dof, count(*) AS cells FROM c),
+      g AS (SELECT g, sum(n) AS n, sum(n * m) / sum(n) AS m FROM c GROUP BY 1),
+      a AS (SELECT a, sum(n) AS n, sum(n * m) / sum(n) AS m FROM c GROUP BY 1),
+      within_g AS (SELECT sum(c.ss + c.n * pow(c.m - g.m, 2)) AS rss FROM c JOIN g ON c.g = g.g),
+      within_a AS (SELECT sum(c.ss + c.n * pow(c.m - a.m, 2)) AS rss FROM c JOIN a ON c.a = a.a),
+      slope AS (SELECT pow(sum(w * (y.m - x.m)), 2) / sum(w) AS ss FROM (SELECT x.g, x.n * y.n / (x.n + y.n) AS w
+        FROM c x JOIN c y ON x.g = y.g AND x.a = 0 AND y.a = 1) p
+        JOIN c x ON x.g = p.g AND x.a = 0 JOIN c y ON y.g = p.g AND y.a = 1),
+      t AS (
+        SELECT 'model' AS term, within_a.rss - (within_g.rss - slope.ss) AS ss, (SELECT count(*) - 1 FROM g) AS dof
+          FROM within_a, within_g, slope
+        UNION ALL SELECT 'accurate_mapping', ss, 1 FROM slope
+        UNION ALL SELECT 'model:accurate_mapping', within_g.rss - slope.ss - f.rss, (SELECT cells - count(*) - 1 FROM f, g GROUP BY cells)
+          FROM within_g, slope, f)
+    SELECT term, round(ss, 6) AS sum_sq, t.dof::INT AS dof, round((ss / t.dof) / (rss / f.dof), 4) AS f_value FROM t, f
+    UNION ALL SELECT 'Residuals', round(rss, 6), dof::INT, NULL FROM f""",
+)
+def anova_two_way(t):
+    """The same analysis for two factors, one of them with two levels: there SQL has a closed form."""
+    found = linear_models.anova_factorial(_normed(t), "similarity_score", ["model", "accurate_mapping"])
+    return rounded(found.drop("p_value"), f_value=4)
+
+
 _ORDER = ["model", "subject_id", "concept_pair_rank"]
 _RESIDUALS = """(SELECT *, similarity_score - avg(similarity_score) OVER (PARTITION BY model) AS e
   FROM {analyzed})"""
@@ -662,6 +691,104 @@ def pairwise_contrasts(t):
     )
 
 
+@query(
+    "contrasts_treatment",
+    f"""SELECT x.model AS group_a, y.model AS group_b, round(y.m - x.m, 6) AS difference,
+      round(sqrt(mse * (1 / x.n + 1 / y.n)), 6) AS std_error,
+      round((y.m - x.m) / sqrt(mse * (1 / x.n + 1 / y.n)), 4) AS t_value
+    FROM {_CELLS} x JOIN {_CELLS} y ON x.model < y.model AND x.a = 0 AND y.a = 0, {_MSE}""",
+)
+def contrasts_treatment(t):
+    """Models compared at inaccurate mappings, the first level of the other factor."""
+    found = linear_models.model_contrasts(
+        _normed(t), "similarity_score", ["model", "accurate_mapping"], "model"
+    )
+    return rounded(found.drop("p_value", "p_adjusted"), t_value=4)
+
+
+@query(
+    "contrasts_sum",
+    f"""SELECT group_a, group_b, round(d, 6) AS difference, round(sqrt(mse * v), 6) AS std_error,
+      round(d / sqrt(mse * v), 4) AS t_value
+    FROM (SELECT x.model AS group_a, y.model AS group_b, avg(y.m - x.m) AS d, sum(1 / x.n + 1 / y.n) / 4 AS v
+      FROM {_CELLS} x JOIN {_CELLS} y ON x.model < y.model AND x.a = y.a GROUP BY 1, 2), {_MSE}""",
+)
+def contrasts_sum(t):
+    """Models compared over the mean of accurate and inaccurate mappings."""
+    found = linear_models.model_contrasts(
+        _normed(t), "similarity_score", ["model", "accurate_mapping"], "model",
+        contrasts={"accurate_mapping": "sum"},
+    )
+    return rounded(found.drop("p_value", "p_adjusted"), t_value=4)
+
+
+@query(
+    "durbin_watson_test",
+    f"""SELECT round(sum(d * d) / sum(e * e), 6) AS statistic, round(sum(e * b) / sum(e * e), 6) AS autocorrelation,
+      1000::INT AS replicates FROM (SELECT e, b, e - b AS d FROM (SELECT e,
+      lag(e) OVER (ORDER BY model, subject_id, concept_pair_rank) AS b FROM {_RESIDUALS}))""",
+)
+def durbin_watson_test(t):
+    """The resampled p-value has no SQL; a test compares it with plain resampling."""
+    found = statistics.durbin_watson_test(_rows(t), "similarity_score", ["model"], _ORDER)
+    return rounded(found.drop("p_value"))
+
+
+_SORTED = f"""(SELECT e, row_number() OVER (ORDER BY e) AS i, count(*) OVER ()::DOUBLE AS n FROM {_RESIDUALS})"""
+
+
+def _scores_sql(p):
+    """The normal quantile written out."""
+
+    def ratio(table, r):
+        above, below = (reduce(lambda acc, c: f"({acc} * {r} + {c!r}::DOUBLE)", reversed(own), "0::DOUBLE") for own in table)
+        return f"({above} / {below})"
+
+    q, r = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    middle, tail = ratio(normal.CENTRE, f"(0.180625::DOUBLE - {q} * {q})"), ratio(normal.TAIL, f"({r} - 1.6::DOUBLE)")
+    return (
+        f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {middle} WHEN {r} <= 5 THEN sign({q}) * {tail} "
+        f"ELSE sign({q}) * {ratio(normal.FAR_TAIL, f'({r} - 5)')} END"
+    )
+
+
+@query(
+    "normality",
+    f"""SELECT count(*) AS n, round(pow(sum((e - c) * m), 2) / (sum((e - c) * (e - c)) * sum(m * m)), 6) AS statistic
+    FROM (SELECT e, avg(e) OVER () AS c, {_scores_sql("((i - 0.375::DOUBLE) / (n + 0.25::DOUBLE))")} AS m FROM {_SORTED})""",
+)
+def normality(t):
+    return rounded(statistics.normality(_residuals(t), "e").drop("p_value"))
+
+
+@query(
+    "quantile_points",
+    f"""SELECT k AS point, round({_scores_sql("((k - 0.5::DOUBLE) / 100)")}, 6) AS theoretical, round(e, 6) AS sample
+    FROM (SELECT unnest(range(1, 101)) AS k) JOIN {_SORTED} ON i = ceil((k - 0.5::DOUBLE) / 100 * n)""",
+)
+def quantile_points(t):
+    return rounded(statistics.quantile_points(_residuals(t), "e"))
+
+
+@query(
+    "density",
+    """WITH g AS (SELECT model, hit_miss_mapping AS h, count(*)::DOUBLE AS n, coalesce(stddev_samp(similarity_score), 0) AS sd,
+        (quantile_cont(similarity_score, 0.75) - quantile_cont(similarity_score, 0.25)) / 1.34 AS iq,
+        abs(min(similarity_score)) AS least FROM {analyzed} GROUP BY 1, 2),
+      w AS (SELECT model, h, n, 0.9 * pow(n, -0.2) * coalesce(nullif(least(sd, iq), 0), nullif(sd, 0), nullif(least, 0), 1) AS bw
+        FROM g),
+      v AS (SELECT model, hit_miss_mapping AS h, similarity_score * 127 AS t FROM {analyzed}),
+      b AS (SELECT model, h, floor(t) AS k, 1 - (t - floor(t)) AS m FROM v
+        UNION ALL SELECT model, h, floor(t) + 1, t - floor(t) FROM v)
+    SELECT w.model, w.h AS hit_miss_mapping, round(x / 127, 6) AS x, round(sum(
+      CASE WHEN abs(x - k) / 127 <= 9 * bw + 0.02 THEN m * exp(-pow((x - k) / 127 / bw, 2) / 2) / (n * bw * sqrt(2 * pi())) ELSE 0 END), 6) AS density
+    FROM w JOIN b ON b.model = w.model AND b.h = w.h, (SELECT unnest(range(0, 128))::DOUBLE AS x)
+    GROUP BY w.model, w.h, x""",
+)
+def density(t):
+    return rounded(statistics.density(_rows(t), ["model", "hit_miss_mapping"], low=0.0, high=1.0, points=128))
+
+
 @query(
     "boxplot_stats",
     """SELECT model, hit_miss_mapping, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.functions.normal import normal_upper
+
 _TINY = 1e-300
 _EPS = 1e-15
 
@@ -83,3 +85,8 @@ def chi2_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def f_p_value(x: pd.Series, dof1: pd.Series, dof2: pd.Series) -> pd.Series:
     return pd.Series([f_upper(v, n, m) for v, n, m in zip(x, dof1, dof2)])
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_p_value(z: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else normal_upper(v) for v in z], dtype="float64")

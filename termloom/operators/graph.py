@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from termloom.session import materialize, materialize_counted
 
+WAYS = 4  # times the edges: more doubled ways are not followed up
 COMPACT_EVERY = 16
 
 
@@ -67,25 +68,46 @@ def joined_values(
 def descendants(edges: DataFrame, seeds: DataFrame, include_self: bool = True) -> DataFrame:
     """``node``: all nodes with a path of ``child, parent`` edges up to a seed.
 
-    Breadth first: each round joins only the newest nodes and writes what it found, so cycles
-    and diamonds end, and a lost executor costs one round. ``include_self`` is the zero-length
-    path of ``*``; without it a seed appears only if an edge leads back to one.
+    After the seeds' own children, ways are doubled: a round joins the ways of nodes that are not
+    yet reached with themselves, so way lengths are 1, 2, 4, … and a hierarchy of depth d ends after
+    about log d written rounds, cycles and diamonds too. A node that reaches a reached node by an
+    old or a new way is reached, and its ways are dropped. Where nodes have so many ancestors that
+    doubled ways outgrow ``WAYS`` times the edges, it goes on breadth first. A lost executor costs
+    one round. ``include_self`` is the zero-length path of ``*``; without it a seed appears only if
+    an edge leads back to one.
     """
-    edges = materialize(edges.select("child", "parent"), "edges")
-    newest = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct(), "seeds")
-    reached = newest if include_self else newest.limit(0)
+    edges, size = materialize_counted(
+        edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges"
+    )
+    start = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct(), "seeds")
+    newest, found = materialize_counted(_below(edges, start, start if include_self else start.limit(0)), "frontier")
+    reached = start.unionByName(newest) if include_self else newest
+    ways, doubling = edges, True
+    while found and doubling:
+        ways = ways.join(reached, ways["child"] == reached["node"], "left_anti")
+        first, second = ways.toDF("child", "between"), ways.toDF("between", "parent")
+        twice = first.join(second, "between").select("child", "parent").filter("child <> parent").distinct()
+        twice, count = materialize_counted(twice, "ways")
+        newest, found = materialize_counted(_below(ways.unionByName(twice), reached, reached), "frontier")
+        reached = materialize(reached.unionByName(newest), "reached") if found else reached
+        doubling = count <= WAYS * size
+        ways = twice
     expanded = 0
-    while True:
-        step = (
-            edges.join(newest, edges["parent"] == newest["node"], "left_semi")
-            .select(F.col("child").alias("node"))
-            .distinct()
-            .join(reached, "node", "left_anti")
-        )
-        newest, found = materialize_counted(step, "frontier")
-        if not found:
-            return reached
+    newest = reached if found else newest  # nodes reached by long ways have neighbours, too
+    while found:
+        newest, found = materialize_counted(_below(edges, newest, reached), "frontier")
         reached = reached.unionByName(newest)
         expanded += 1
         if expanded % COMPACT_EVERY == 0:
             reached = materialize(reached, "reached")
+    return reached
+
+
+def _below(ways: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Children of ``nodes`` that are not known yet."""
+    return (
+        ways.join(nodes, ways["parent"] == nodes["node"], "left_semi")
+        .select(F.col("child").alias("node"))
+        .distinct()
+        .join(known, "node", "left_anti")
+    )

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.distributions import f_upper
+from termloom.functions.multivariate_t import single_step
 from termloom.operators.statistics import group_moments
 from termloom.session import materialize
 
@@ -161,6 +162,7 @@ class Fit:
     rank: int
     rss: float
     rows: int
+    covariance: np.ndarray
 
     @property
     def parameters(self) -> int:
@@ -190,7 +192,7 @@ def _solve(own: Normal) -> Fit:
     rss = max(own.ss + own.cc - float(centred @ own.xc), own.ss)
     variance = rss / (own.rows - rank)
     errors = np.sqrt(np.maximum(np.diag(inverse), 0) * variance)
-    return Fit(own.names, inverse @ own.xy, errors, rank, rss, own.rows)
+    return Fit(own.names, inverse @ own.xy, errors, rank, rss, own.rows, inverse * variance)
 
 
 def fit_cells(
@@ -212,15 +214,78 @@ def glm_fit(
     contrasts: Mapping[str, str] | None = None,
     levels: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
-    """``term, estimate, std_error, t_value`` of one model."""
+    """``term, estimate, std_error, t_value, p_value`` of one model."""
     cells = cell_statistics(rows, y, factors, levels)
     fit = fit_cells(cells, factors, interactions, contrasts)
+    dof = fit.rows - fit.rank
     table = [
-        (name, float(b), float(e), float(b / e) if e else None)
+        (name, float(b), float(e), *((float(b / e), f_upper(float(b / e) ** 2, 1, dof)) if e else (None, None)))
         for name, b, e in zip(fit.names, fit.estimates, fit.std_errors)
     ]
     return rows.sparkSession.createDataFrame(
-        table, "term string, estimate double, std_error double, t_value double"
+        table, "term string, estimate double, std_error double, t_value double, p_value double"
+    )
+
+
+def model_contrasts(
+    rows: DataFrame,
+    y: str,
+    factors: Sequence[str],
+    group: str,
+    interactions: bool = True,
+    contrasts: Mapping[str, str] | None = None,
+    levels: Mapping[str, Sequence] | None = None,
+    average: bool = False,
+) -> DataFrame:
+    """All differences between the levels of ``group`` in a fitted model, with adjusted p-values.
+
+    ``group_a, group_b, difference, std_error, t_value, p_value, p_adjusted``; the difference is
+    ``group_b`` less ``group_a``. It comes from the main effect of ``group``: with treatment
+    contrasts of the other factors that is the difference at their first levels, with sum contrasts
+    its mean over their levels. ``average`` takes the mean over all combinations of the other
+    factors' levels whatever the contrasts. A contrast is a row of numbers l: its estimate is
+    l'b, its variance l'Cl, and ``p_adjusted`` is the single-step p-value from the multivariate t
+    distribution of all contrasts. A contrast that the data cannot tell (no error) has no t.
+    """
+    cells = cell_statistics(rows, y, factors, levels)
+    terms = all_terms(factors) if interactions else [(f,) for f in factors]
+    design = Design(cells, terms, contrasts or {})
+    fit = _solve(_normal(cells, terms, contrasts or {}))
+    own = cells.levels[cells.factors.index(group)]
+    shares = {f: design.coded[f][0].mean(axis=0) for f in factors}
+
+    def effect(code: np.ndarray) -> np.ndarray:
+        """Columns of the model for a level of ``group``, the other factors at their mean or left out."""
+        row = np.zeros(len(design.names))
+        for term in terms:
+            if group in term and (average or term == (group,)):
+                block = np.ones(1)
+                for f in term:
+                    block = np.outer(block, code if f == group else shares[f]).ravel()
+                row[[i for i, t in enumerate(design.owner) if t == term]] = block
+        return row
+
+    effects = [effect(code) for code in design.coded[group][0]]
+    pairs = list(itertools.combinations(range(len(own)), 2))
+    matrix = np.array([effects[j] - effects[i] for i, j in pairs]).reshape(len(pairs), len(design.names))
+    difference, covariance = matrix @ fit.estimates, matrix @ fit.covariance @ matrix.T
+    error = np.sqrt(np.maximum(np.diag(covariance), 0))
+    known = np.flatnonzero(error > 0)
+    dof = fit.rows - fit.rank
+    t = np.full(len(pairs), np.nan)
+    t[known] = difference[known] / error[known]
+    correlation = covariance[np.ix_(known, known)] / np.outer(error[known], error[known])
+    adjusted = dict(zip(known.tolist(), single_step(t[known], correlation, dof), strict=True)) if len(known) else {}
+    table = [
+        (own[i], own[j], float(difference[n]), float(error[n]),
+         *((float(t[n]), f_upper(float(t[n]) ** 2, 1, dof), float(adjusted[n])) if n in adjusted else (None,) * 3))
+        for n, (i, j) in enumerate(pairs)
+    ]
+    kind = dict(rows.dtypes)[group]
+    return rows.sparkSession.createDataFrame(
+        table,
+        f"group_a {kind}, group_b {kind}, difference double, std_error double, t_value double, "
+        "p_value double, p_adjusted double",
     )
 
 

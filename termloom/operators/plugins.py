@@ -9,14 +9,16 @@ never through a shell.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import fill_template, normalize_ws
+from termloom.session import materialize
 
 TextClient = Callable[[Sequence[str]], Sequence[str | None]]
 VectorClient = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
@@ -67,28 +69,84 @@ def call_client(df: DataFrame, column: str, out: str, client: Callable, kind: st
     return df.mapInPandas(run, ", ".join([*fields, f"`{out}` {kind}"]))
 
 
+@dataclass(frozen=True)
+class ResultStore:
+    """A folder of results that later runs go on with: ``key, result`` in Parquet.
+
+    The key is the SHA-256 of the model's name and the whole text that the client sees, so another
+    model, template or text asks anew. ``slices`` is the number of appends of one call: each is a
+    job of its own, so a run that is lost keeps the slices before.
+    """
+
+    path: str
+    model: str
+    slices: int = 8
+
+    def key(self, text: Column) -> Column:
+        return F.sha2(F.concat(F.lit(f"{len(self.model)}:{self.model}:"), text), 256)
+
+    def read(self, spark: SparkSession, kind: str) -> DataFrame:
+        """Results so far; of a key stored twice, by two runs at a time, the least one."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        schema = f"key string, result {kind}"
+        found = spark.read.schema(schema).parquet(self.path) if there else spark.createDataFrame([], schema)
+        return found.groupBy("key").agg(F.min("result").alias("result"))
+
+
+def call_client_once(
+    df: DataFrame, column: str, out: str, client: Callable, kind: str, store: ResultStore
+) -> DataFrame:
+    """As ``call_client``, but each distinct text is asked once over all runs with ``store``.
+
+    Texts whose results are there are left out before the client is called; equal texts are one
+    call. A null text is not asked and has no result. A null result is a failure: it is not stored,
+    and the next run asks again.
+    """
+    spark = df.sparkSession
+    keyed = materialize(df.withColumn("_key", store.key(F.col(column))), "keyed")
+    texts = keyed.filter(F.col(column).isNotNull()).groupBy("_key").agg(F.first(column).alias("text"))
+    known = store.read(spark, kind).select(F.col("key").alias("_key"))
+    asked = materialize(texts.join(known, "_key", "left_anti"), "asked")
+    for number in range(store.slices):
+        own = asked.filter(F.pmod(F.xxhash64("_key"), F.lit(store.slices)) == number)
+        if own.isEmpty():
+            continue
+        answered = call_client(own.select(F.col("_key").alias("key"), "text"), "text", "result", client, kind)
+        answered.filter("result IS NOT NULL").write.mode("append").parquet(store.path)
+    results = store.read(spark, kind).select(F.col("key").alias("_of"), F.col("result").alias(out))
+    kept = [c for c in df.columns if c != column]
+    return keyed.join(results, F.col("_key") == F.col("_of"), "left").select(*kept, out)
+
+
 def expand_content(
-    terms: DataFrame, client: TextClient, template: str = EXPAND_TEMPLATE
+    terms: DataFrame, client: TextClient, template: str = EXPAND_TEMPLATE, store: ResultStore | None = None
 ) -> DataFrame:
-    """``id, content`` written by a text model, white space normalised."""
+    """``id, content`` written by a text model, white space normalised.
+
+    With a ``store`` only descriptions that were not expanded before are sent.
+    """
     prompts = render_expand_prompt(terms, template)
-    return call_client(prompts, "prompt", "content", client, "string").withColumn(
-        "content", normalize_ws(F.col("content"))
-    )
+    if store is None:
+        written = call_client(prompts, "prompt", "content", client, "string")
+    else:
+        written = call_client_once(prompts, "prompt", "content", client, "string", store)
+    return written.withColumn("content", normalize_ws(F.col("content")))
 
 
 def embed_content(
-    content: DataFrame, embedder: VectorClient | None = None, dim: int = 256
+    content: DataFrame, embedder: VectorClient | None = None, dim: int = 256, store: ResultStore | None = None
 ) -> DataFrame:
-    """``id, embedding`` of each content row.
+    """``id, embedding`` of each content row; with a ``store`` only new texts go to the client.
 
     Without a client the texts become normalised vectors of hashed word counts, which stay in
     the JVM and need no fitted state, so source and target share one vector space.
     """
     if embedder is not None:
-        return call_client(
-            content.select("id", "content"), "content", "embedding", embedder, "array<float>"
-        )
+        own = content.select("id", "content")
+        if store is not None:
+            return call_client_once(own, "content", "embedding", embedder, "array<float>", store)
+        return call_client(own, "content", "embedding", embedder, "array<float>")
     return hashed_embeddings(content, dim)
 
 

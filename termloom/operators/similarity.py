@@ -10,13 +10,13 @@ has to fit into one executor.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from termloom import schemas
 from termloom.functions.ordering import top_by
@@ -27,6 +27,7 @@ CELL_FLOPS = 2e9  # work that is worth a task of its own
 BLOCK_SOURCES, BLOCK_TARGETS = 512, 4096
 DENSE = 0.1  # share of a block from which on one double precision product is cheaper
 DIGITS = 9
+PRUNE_GAIN = 8
 
 
 def topk_similar(
@@ -36,7 +37,7 @@ def topk_similar(
     min_score: float | None = None,
     lanes: tuple[int, int] | None = None,
     digits: int = DIGITS,
-    prune: bool = True,
+    prune: bool | None = None,
 ) -> DataFrame:
     """``source, target, score`` of the ``k`` most similar targets of each source.
 
@@ -45,18 +46,25 @@ def topk_similar(
     before ranking: the last bits depend on the block shapes, and equal vectors have to tie.
     Ties go to the smaller target id. Vectors without direction (zero, NaN, null) have no score.
     ``min_score`` keeps strictly higher scores; a source without any then has no row.
-    With several target lanes rows are grouped by the nearest of some pivots, and a pair of groups
-    is compared only if the angles leave room for a score that can matter; ``prune=False`` compares
-    all. ``lanes`` fixes the numbers of source and target lanes. Otherwise one aggregation over both
-    inputs takes their sizes, so write vectors that are dear to compute before.
+    ``lanes`` fixes the numbers of source and target lanes. Otherwise one aggregation over both
+    inputs takes their sizes, so write vectors that are dear to compute before. With ``prune`` rows
+    are grouped by a two-level tree of pivots, and a pair of groups is compared only if the angles
+    leave room for a score that can matter. By default that is done for inputs of several target
+    lanes when the pairs outweigh ``PRUNE_GAIN`` times the work of grouping; the result is the same.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    source_lanes, target_lanes = lanes or plan_lanes(source, target)
+    if lanes is None:
+        sizes = _sizes(source, target)
+        source_lanes, target_lanes = _planned(source, *sizes)
+        if prune is None:
+            rows_s, rows_t, _ = sizes
+            prune = target_lanes > 1 and rows_s * rows_t > PRUNE_GAIN * 2 * FAN * (rows_s + rows_t)
+    else:
+        source_lanes, target_lanes = lanes
+    if prune:
+        return _pruned(source, target, k, min_score, digits)[0]
     cells = source_lanes * target_lanes
-    if prune and target_lanes > 1:
-        found, _ = _pruned(source, target, k, min_score, target_lanes, digits, lanes is None)
-        return found
     best = _lanes(source, "s", source_lanes, target_lanes, cells).cogroup(
         _lanes(target, "t", target_lanes, source_lanes, cells)
     )
@@ -67,8 +75,8 @@ def topk_similar(
     return top_by(found, ["source"], [F.desc("score"), F.asc("target")], k)
 
 
-def plan_lanes(source: DataFrame, target: DataFrame) -> tuple[int, int]:
-    """Numbers of lanes from the row counts and the vector length."""
+def _sizes(source: DataFrame, target: DataFrame) -> tuple[int, int, int]:
+    """Rows of both sides and the vector length."""
     sizes = {
         row["side"]: row
         for row in source.select(F.lit("s").alias("side"), F.size("embedding").alias("dim"))
@@ -77,10 +85,18 @@ def plan_lanes(source: DataFrame, target: DataFrame) -> tuple[int, int]:
         .agg(F.count(F.lit(1)).alias("rows"), F.max("dim").alias("dim"))
         .collect()
     }
-    if len(sizes) < 2:
+    rows = [sizes[side]["rows"] if side in sizes else 0 for side in "st"]
+    return *rows, max([1, *[row["dim"] or 1 for row in sizes.values()]])
+
+
+def plan_lanes(source: DataFrame, target: DataFrame) -> tuple[int, int]:
+    """Numbers of lanes from the row counts and the vector length."""
+    return _planned(source, *_sizes(source, target))
+
+
+def _planned(source: DataFrame, rows_s: int, rows_t: int, dim: int) -> tuple[int, int]:
+    if not rows_s or not rows_t:
         return 1, 1
-    dim = max(sizes["s"]["dim"] or 1, sizes["t"]["dim"] or 1)
-    rows_s, rows_t = sizes["s"]["rows"], sizes["t"]["rows"]
     lane_rows = max(LANE_BYTES // (8 * dim), 1)
     for_memory_s, for_memory_t = math.ceil(rows_s / lane_rows), math.ceil(rows_t / lane_rows)
     cells = math.ceil(2.0 * rows_s * rows_t * dim / CELL_FLOPS)
@@ -229,67 +245,122 @@ def _scores(block, wide, r, c):
 
 # Groups around pivots ---------------------------------------------------------------------------
 
+FAN = 32  # pivots of a node of the two-level tree, so FAN * FAN groups at most
 _MARGIN = 1e-6  # of a bound, far above the errors of angles and of rounding to DIGITS
+_GROUPED = "id string, embedding array<double>, leaf int, angle double"
+_PAIRS = "s_leaf int, s_parts int, t_leaf int, t_parts int, t_rows long, bound double"
 
 
-def _pruned(source, target, k, min_score, pivots, digits, split):
-    """As ``topk_similar``, and how many cells were compared out of all.
+@dataclass(frozen=True)
+class PivotTree:
+    """Unit vectors of two levels: leaves ``first[i]`` to ``first[i + 1]`` are those below top ``i``.
+
+    Its size depends on ``FAN`` and the vector length only, not on the number of rows.
+    """
+
+    tops: np.ndarray
+    leaves: np.ndarray
+    first: np.ndarray
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each vector, below its nearest top, and the angle to that leaf."""
+        top = (vectors @ self.tops.T).argmax(axis=1)
+        leaf, near = np.empty(len(vectors), np.int64), np.empty(len(vectors))
+        for i in np.unique(top):
+            own = np.flatnonzero(top == i)
+            score = vectors[own] @ self.leaves[self.first[i] : self.first[i + 1]].T
+            best = score.argmax(axis=1)
+            leaf[own], near[own] = best + self.first[i], score[np.arange(len(own)), best]
+        return leaf, np.arccos(np.clip(near, -1, 1))
+
+
+def _directions(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows that have a direction, and their vectors scaled to length one."""
+    batch = batch.filter(pc.is_valid(batch.column("embedding")))
+    lists = batch.column("embedding")
+    if not batch.num_rows:
+        return batch, np.empty((0, 0))
+    lengths = pc.min_max(pc.list_value_length(lists)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError("embeddings of different lengths cannot be compared")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    vectors = flat.reshape(batch.num_rows, -1)
+    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    usable = np.isfinite(norms) & (norms > 0)
+    return batch.filter(pa.array(usable)), vectors[usable] / norms[usable, None]
+
+
+def _pivot_tree(target: DataFrame, fan: int) -> PivotTree | None:
+    """Pivots are rows picked by a hash: ``fan`` of all, then ``fan`` of each group around those."""
+    order = F.xxhash64("id", "embedding")
+    picked = target.filter("embedding IS NOT NULL").orderBy(order).limit(fan).select("id", "embedding")
+    _, tops = _unit_rows(*_columns(picked.collect()))
+    if not len(tops):
+        return None
+    alone = PivotTree(tops, tops, np.arange(len(tops) + 1))
+    below = top_by(target.mapInArrow(_nearest(alone), _GROUPED), ["leaf"], [order], fan)
+    rows = below.select("leaf", "id", "embedding").collect()  # fan * fan at most
+    parts = [_unit_rows(*_columns([r for r in rows if r.leaf == i]))[1] for i in range(len(tops))]
+    used = [i for i, part in enumerate(parts) if len(part)]
+    first = np.cumsum([0, *[len(parts[i]) for i in used]])
+    return PivotTree(tops[used], np.concatenate([parts[i] for i in used]), first)
+
+
+def _pruned(source, target, k, min_score, digits, fan=FAN):
+    """As ``topk_similar``, and the table of the cells that were compared.
 
     By the triangle inequality of angles, no score between two groups is above the cosine of the
     pivots' angle less both radii. First each group of sources meets the groups with the highest
-    bounds, which gives a floor: the least k-th score of its sources. Then it meets only those
-    others whose bound reaches that floor or ``min_score``.
+    bounds, which gives each of its lanes a floor: the least k-th score of its sources. Then a lane
+    meets only those other groups whose bound reaches its floor or ``min_score``. Bounds, floors
+    and cells are tables; the driver holds the pivots and one row per group of targets.
     """
     spark = source.sparkSession
-    # As many pivots as target lanes, picked by a hash.
-    picked = target.filter("embedding IS NOT NULL").orderBy(F.xxhash64("id", "embedding")).limit(pivots)
-    _, centres = _unit_rows(*_columns(picked.select(F.col("id").cast("string").alias("id"), "embedding").collect()))
-    if not len(centres):
-        return spark.createDataFrame([], schemas.SCORES), (0, 0)
-    sides, info = [], []
-    for df in (source, target):
-        own = df.select(F.col("id").cast("string").alias("id"), "embedding")
-        schema = T.StructType([*own.schema.fields, T.StructField("pivot", T.IntegerType()),
-                               T.StructField("angle", T.DoubleType())])
-        own = materialize(own.mapInArrow(_nearest(centres), schema), "groups")
-        groups = own.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
-        table = {r.pivot: (r.n, r.r) for r in groups.collect()}
-        rows = max(1, LANE_BYTES // (8 * centres.shape[1]))
-        parts = {p: -(-n // rows) if split else 1 for p, (n, _) in table.items()}
-        first, lanes = {}, []
-        for p in sorted(table):
-            first[p] = len(lanes)
-            lanes += [(p, table[p][1], table[p][0] / parts[p])] * parts[p]
-        if not lanes:
-            return spark.createDataFrame([], schemas.SCORES), (0, 0)
-        numbers = F.create_map(*[F.lit(x) for p in sorted(table) for x in (p, first[p])])
-        counts = F.create_map(*[F.lit(x) for p in sorted(table) for x in (p, parts[p])])
-        lane = numbers[F.col("pivot")] + F.pmod(F.xxhash64("id"), counts[F.col("pivot")])
-        sides.append(own.select("id", "embedding", lane.cast("int").alias("lane")))
-        info.append(lanes)
-    angle = np.arccos(np.clip(centres @ centres.T, -1, 1))
-    (sp, sr), (tp, tr) = ((np.array([x[0] for x in own]), np.array([x[1] for x in own])) for own in info)
-    bound = np.cos(np.maximum(0, angle[np.ix_(sp, tp)] - sr[:, None] - tr[None, :])) + _MARGIN
-    floor = -2.0 if min_score is None else min_score
-    order = np.argsort(-bound, axis=1, kind="stable")
-    before = np.cumsum(np.array([x[2] for x in info[1]])[order], axis=1)
-    early = np.zeros(bound.shape, bool)
-    # The best groups until they hold some times k targets.
-    np.put_along_axis(early, order, np.concatenate([np.zeros((len(order), 1)), before[:, :-1]], 1) < 4 * k, 1)
-    early &= bound > floor
-    found = materialize(_compare_cells(sides, early, k, min_score, digits), "scores")
-    least = sides[0].join(_kth(found, k), "id", "left").groupBy("lane").agg(
-        F.min(F.coalesce("s", F.lit(-2.0))).alias("s")
+    sides = [df.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+             for df in (source, target)]
+    tree = _pivot_tree(sides[1], fan)
+    if tree is None:
+        return spark.createDataFrame([], schemas.SCORES), None
+    lane_rows = max(1, LANE_BYTES // (8 * tree.leaves.shape[1]))
+    lanes, sizes = [], []
+    for own in sides:
+        grouped = materialize(own.mapInArrow(_nearest(tree), _GROUPED), "groups")
+        size = grouped.groupBy("leaf").agg(
+            F.count("*").alias("rows"), F.max("angle").alias("radius"),
+            F.ceil(F.count("*") / lane_rows).cast("int").alias("parts"),
+        )
+        size = materialize(size, "group-sizes")
+        # All rows of an id are in one lane.
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        lanes.append(grouped.join(size.select("leaf", "parts"), "leaf").select("id", "embedding", "leaf", part.alias("part")))
+        sizes.append(size)
+    floor = -2.0 if min_score is None else float(min_score)
+    reach = sizes[1].toArrow()  # one row per group of targets
+    ranked = Window.partitionBy("s_leaf").orderBy(F.desc("bound"), "t_leaf")
+    before = F.sum("t_rows").over(ranked.rowsBetween(Window.unboundedPreceding, -1))
+    # The best groups until they hold some times k targets come early.
+    early = F.coalesce(before, F.lit(0)) < 4 * k
+    pairs = materialize(
+        sizes[0].mapInArrow(_bounds(tree, reach, floor), _PAIRS).withColumn("early", early), "group-pairs"
     )
-    floors = np.full(len(sp), floor)
-    for row in least.collect():
-        floors[row.lane] = max(floor, row.s)
-    late = (bound >= floors[:, None]) & ~early & (bound > floor)
-    if late.any():
-        found = found.unionByName(_compare_cells(sides, late, k, min_score, digits))
-    best = found.groupBy("source", "target").agg(F.max("score").alias("score"))
-    done = top_by(best, ["source"], [F.desc("score"), F.asc("target")], k)
-    return done, (int(early.sum() + late.sum()), bound.size)
+    every_part = F.explode(F.sequence(F.lit(0), F.col("s_parts") - 1)).alias("s_part")
+    columns = ["s_leaf", "s_part", "t_leaf", "t_parts"]
+    first = pairs.filter("early").select("*", every_part).select(*columns)
+    found = materialize(_compare_cells(lanes, first, k, min_score, digits), "scores")
+    floors = materialize(
+        lanes[0].select("id", "leaf", "part").join(_kth(found, k), "id", "left").groupBy("leaf", "part").agg(
+            F.min(F.coalesce("s", F.lit(-2.0))).alias("floor")
+        ),
+        "floors",
+    )
+    near = (F.col("s_leaf") == F.col("leaf")) & (F.col("bound") >= F.greatest(F.col("floor"), F.lit(floor)))
+    rest = materialize(
+        pairs.filter("NOT early").join(floors, near).select("s_leaf", F.col("part").alias("s_part"), "t_leaf", "t_parts"),
+        "cells",
+    )
+    more = _compare_cells(lanes, rest, k, min_score, digits)
+    best = found.unionByName(more).groupBy("source", "target").agg(F.max("score").alias("score"))
+    return top_by(best, ["source"], [F.desc("score"), F.asc("target")], k), first.unionByName(rest)
 
 
 def _kth(found: DataFrame, k: int) -> DataFrame:
@@ -304,43 +375,59 @@ def _columns(rows) -> tuple[pa.Array, pa.Array]:
     return pa.array([r.id for r in rows], pa.string()), pa.array([r.embedding for r in rows], pa.list_(pa.float64()))
 
 
-def _nearest(centres: np.ndarray):
-    """Nearest pivot of each row and the angle to it; rows without direction are left out."""
+def _nearest(tree: PivotTree):
+    """Leaf of each row and the angle to its pivot; rows without direction are left out."""
 
     def run(batches):
         for batch in batches:
-            valid = batch.filter(pc.is_valid(batch.column("embedding")))
-            if not valid.num_rows:
+            rows, vectors = _directions(batch)
+            if not rows.num_rows:
                 continue
-            flat = valid.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(valid.num_rows, -1)
-            norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-            usable = np.isfinite(norms) & (norms > 0)
-            valid, vectors = valid.filter(pa.array(usable)), vectors[usable] / norms[usable, None]
-            near = vectors @ centres.T
-            pivot = near.argmax(axis=1)
-            angle = np.arccos(np.clip(near[np.arange(len(pivot)), pivot], -1, 1))
+            if vectors.shape[1] != tree.tops.shape[1]:
+                raise ValueError("embeddings of different lengths cannot be compared")
+            leaf, angle = tree.nearest(vectors)
             yield pa.RecordBatch.from_arrays(
-                [*valid.columns, pa.array(pivot, pa.int32()), pa.array(angle)], [*valid.schema.names, "pivot", "angle"]
+                [rows.column("id"), rows.column("embedding"), pa.array(leaf, pa.int32()), pa.array(angle)],
+                ["id", "embedding", "leaf", "angle"],
             )
 
     return run
 
 
-def _compare_cells(sides, wanted: np.ndarray, k, min_score, digits) -> DataFrame:
-    """Best pairs of the wanted cells, one cell per task group."""
-    spark = sides[0].sparkSession
-    left, right = np.nonzero(wanted)
-    cells = pa.table({"s": pa.array(left, pa.int32()), "t": pa.array(right, pa.int32()),
-                      "cell": pa.array(np.arange(len(left)), pa.int64())})
-    cells = spark.createDataFrame(cells)
+def _bounds(tree: PivotTree, reach: pa.Table, floor: float):
+    """Pairs of a group of sources with all groups of targets whose bound is above ``floor``."""
+    leaf, rows, radius, parts = (reach[c].to_numpy() for c in ("leaf", "rows", "radius", "parts"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                angle = np.arccos(np.clip(tree.leaves[leaf] @ tree.leaves[row["leaf"]], -1, 1))
+                bound = np.cos(np.maximum(0, angle - radius - row["radius"])) + _MARGIN
+                keep = bound > floor
+                count = int(keep.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(count, row["leaf"]), pa.int32()), pa.array(np.full(count, row["parts"]), pa.int32()),
+                        pa.array(leaf[keep], pa.int32()), pa.array(parts[keep], pa.int32()),
+                        pa.array(rows[keep], pa.int64()), pa.array(bound[keep]),
+                    ],
+                    ["s_leaf", "s_parts", "t_leaf", "t_parts", "t_rows", "bound"],
+                )
+
+    return run
+
+
+def _compare_cells(lanes, cells: DataFrame, k, min_score, digits) -> DataFrame:
+    """Best pairs of the wanted cells: a lane of sources against each lane of a group of targets."""
+    key = ["s_leaf", "s_part", "t_leaf", "t_part"]
+    opposite = F.explode(F.sequence(F.lit(0), F.col("t_parts") - 1)).alias("t_part")
+    sources = lanes[0].withColumnsRenamed({"leaf": "s_leaf", "part": "s_part"}).join(cells, ["s_leaf", "s_part"])
+    targets = lanes[1].withColumnsRenamed({"leaf": "t_leaf", "part": "t_part"}).join(cells, "t_leaf")
     copies = []
-    for own, side in zip(sides, "st", strict=True):
-        number = cells.select(F.col(side).alias("lane"), F.col("cell").alias(f"{side}_cell"))
-        copy = own.join(number, "lane").select(
-            F.col("id").alias(f"{side}_id"), F.col("embedding").alias(f"{side}_embedding"), f"{side}_cell"
-        )
-        copies.append(copy.groupBy(f"{side}_cell"))
+    for side, rows in (("s", sources.select("*", opposite)), ("t", targets)):
+        names = [F.col(c).alias(f"{side}_key_{c}") for c in key]
+        copy = rows.select(F.col("id").alias(f"{side}_id"), F.col("embedding").alias(f"{side}_embedding"), *names)
+        copies.append(copy.groupBy(*[f"{side}_key_{c}" for c in key]))
     return copies[0].cogroup(copies[1]).applyInArrow(_cell(k, min_score, digits), schemas.SCORES)
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.distributions import chi2_p_value, f_p_value
+from termloom.functions.distributions import chi2_p_value, f_p_value, normal_p_value
+from termloom.functions.normal import normal_quantile
 from termloom.functions.numeric import share
-from termloom.functions.ordering import lag_in_order
+from termloom.functions.ordering import lag_in_order, number_rows
 from termloom.functions.quantiles import quantiles
-from termloom.session import materialize
+from termloom.session import materialize, materialize_counted
 
 SCORE = "similarity_score"
 
@@ -155,22 +159,123 @@ def durbin_watson(rows: DataFrame, residual: str, order: Sequence[str]) -> DataF
     )
 
 
+def durbin_watson_test(
+    rows: DataFrame, y: str, factors: Sequence[str], order: Sequence[str],
+    replicates: int = 1000, seed: int = 1, table_size: int = 1 << 16,
+) -> DataFrame:
+    """Serial correlation of a full factorial model's residuals, with a resampled p-value.
+
+    ``statistic, autocorrelation, p_value, replicates`` as one row. Each replicate draws every
+    row's residual anew with replacement, fits the cell means again and takes the statistic; the
+    p-value is two-sided. A draw is a hash of (seed, replicate, row number), so a task computes the
+    draws of a row and of the row before on its own: all replicates are one pass, and the result
+    does not depend on the partitioning if ``order`` is total. What is drawn is the table of all
+    residuals in ascending order, or, beyond ``table_size``, that many evenly spaced of them.
+    """
+    spark = rows.sparkSession
+    known = rows.filter(F.col(y).isNotNull())
+    cells = group_moments(known, y, factors).select(
+        *[F.col(f).alias(f"_at_{f}") for f in factors], F.col("mean").alias("_fitted"), F.col("n").alias("_n"),
+    )
+    names = [f"_at_{f}" for f in factors]
+    cells = materialize(number_rows(cells, [F.asc_nulls_first(c) for c in names], "_cell"), "numbered-cells")
+    same = [F.col(f).eqNullSafe(F.col(f"_at_{f}")) for f in factors]
+    residual = known.join(cells, same).select(*order, "_cell", (F.col(y) - F.col("_fitted")).alias("_e"))
+    numbered = materialize(number_rows(residual, [F.col(c) for c in order], "_row"), "numbered-residuals")
+    whole = numbered.count()
+    schema = "statistic double, autocorrelation double, p_value double, replicates int"
+    if not whole:
+        return spark.createDataFrame([], schema)
+    sizes = np.array([r["_n"] for r in cells.select("_cell", "_n").orderBy("_cell").toLocalIterator()], float)
+    drawn = _drawn_from(numbered, whole, table_size)
+    linked = lag_in_order(numbered.select("_row", "_cell", "_e"), "_cell", ["_row"], "_cell_before")
+    linked = lag_in_order(linked, "_e", ["_row"], "_e_before")
+    # Differences between two cells change with the cells' means; there are few kinds of them.
+    jumps = linked.filter(F.col("_cell_before") != F.col("_cell")).groupBy("_cell_before", "_cell").agg(F.count("*").alias("n"))
+    kinds = [(r["_cell_before"] - 1, r["_cell"] - 1, r.n) for r in jumps.orderBy("_cell_before", "_cell").collect()]
+    sums = linked.mapInPandas(_replicated(drawn, len(sizes), kinds, replicates, seed), "sums binary")
+    total = np.zeros(replicates * (2 + len(sizes) + len(kinds)))
+    for row in sums.toLocalIterator():  # one per task
+        total += np.frombuffer(row.sums)
+    squares, steps, by_cell, by_kind = np.split(
+        total.reshape(-1, replicates), np.cumsum([1, 1, len(sizes)]), axis=0
+    )
+    mean = by_cell / sizes[:, None]
+    rest = squares[0] - (mean * mean * sizes[:, None]).sum(axis=0)
+    steps = steps[0].copy()
+    for (before, here, count), crossing in zip(kinds, by_kind, strict=True):
+        change = mean[here] - mean[before]
+        steps += count * change * change - 2 * change * crossing
+    got = linked.agg(
+        F.sum(F.pow(F.col("_e") - F.col("_e_before"), F.lit(2))).alias("steps"),
+        F.sum(F.col("_e") * F.col("_e")).alias("squares"),
+        F.sum(F.col("_e") * F.col("_e_before")).alias("products"),
+    ).first()
+    if not got.squares:
+        return spark.createDataFrame([(None, None, None, replicates)], schema)
+    statistic = (got.steps or 0.0) / got.squares
+    below = float(np.mean(steps / rest < statistic))
+    p_value = 2 * min(below, 1 - below)
+    return spark.createDataFrame([(statistic, (got.products or 0.0) / got.squares, p_value, replicates)], schema)
+
+
+def _drawn_from(numbered: DataFrame, whole: int, size: int) -> np.ndarray:
+    """Residuals in ascending order, or ``size`` evenly spaced ones of them."""
+    ranked = number_rows(numbered.select("_e"), [F.col("_e")], "_place")
+    if whole > size:
+        k = F.ceil((F.col("_place") - 1) * (size / whole) - 0.5)
+        ranked = ranked.filter(
+            k.between(0, size - 1) & (F.floor((k + 0.5) * (whole / size)) + 1 == F.col("_place"))
+        )
+    return np.array([r["_e"] for r in ranked.orderBy("_place").toLocalIterator()])
+
+
+def _replicated(drawn: np.ndarray, cells: int, kinds: list[tuple[int, int, int]], replicates: int, seed: int):
+    """Per replicate: squares, squared steps, sums by cell, and steps from one cell to another."""
+    place = {(before, here): i for i, (before, here, _) in enumerate(kinds)}
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def draw(rows: np.ndarray, key: np.uint64) -> np.ndarray:
+        number = mixed(mixed(rows.astype(np.uint64)) + key) >> np.uint64(11)
+        return drawn[(number / float(1 << 53) * len(drawn)).astype(np.int64)]
+
+    def run(frames):
+        total = np.zeros((2 + cells + len(kinds), replicates))
+        keys = mixed(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        for frame in frames:
+            row, cell = frame["_row"].to_numpy(np.int64), frame["_cell"].to_numpy(np.int64) - 1
+            later = frame["_cell_before"].notna().to_numpy()
+            before = frame["_cell_before"].fillna(0).to_numpy(np.int64) - 1
+            kind = np.array([place.get(x, -1) for x in zip(before.tolist(), cell.tolist(), strict=True)], np.int64)
+            kind[~later] = -1
+            for r, key in enumerate(keys):
+                e = draw(row, key)
+                step = np.where(later, e - draw(row - 1, key), 0.0)
+                total[0, r] += e @ e
+                total[1, r] += step @ step
+                total[2 : 2 + cells, r] += np.bincount(cell, e, cells)
+                total[2 + cells :, r] += np.bincount(kind[kind >= 0], step[kind >= 0], len(kinds))
+        yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    return run
+
+
 def pairwise_contrasts(rows: DataFrame, y: str, group: str) -> DataFrame:
     """All differences of group means with pooled standard error and studentised statistic.
 
-    The group summaries form one array that is unfolded twice; a factor has few levels.
+    One row per level is written and joined with itself; the pooled variance is a scalar. Adjusted
+    p-values, also of models with several factors, come from ``linear_models.model_contrasts``.
     """
-    level = F.struct(F.col(group).alias("g"), F.col("n"), F.col("mean"))
-    packed = group_moments(rows, y, [group]).agg(
-        F.array_sort(F.collect_list(level)).alias("levels"),
-        (F.sum("ss") / (F.sum("n") - F.count(F.lit(1)))).alias("mse"),
-    )
-    firsts = packed.select("levels", "mse", F.posexplode("levels").alias("i", "a"))
-    rest = F.expr("slice(levels, i + 2, size(levels))")
-    pairs = firsts.select("mse", "a", F.explode(rest).alias("b"))
+    moments = materialize(group_moments(rows, y, [group]).withColumnRenamed(group, "g"), "moments")
+    mse = moments.agg(F.sum("ss") / (F.sum("n") - F.count(F.lit(1)))).scalar()
+    a, b = moments.alias("a"), moments.alias("b")
     difference = F.col("b.mean") - F.col("a.mean")
-    error = F.sqrt(F.col("mse") * (1 / F.col("a.n") + 1 / F.col("b.n")))
-    return pairs.select(
+    error = F.sqrt(mse * (1 / F.col("a.n") + 1 / F.col("b.n")))
+    return a.join(b, F.col("a.g") < F.col("b.g")).select(
         F.col("a.g").alias("group_a"),
         F.col("b.g").alias("group_b"),
         difference.alias("difference"),
@@ -213,6 +318,87 @@ def density_bins(
     ).agg(F.count(F.lit(1)).alias("mappings"))
 
 
+GRID, REACH = 512, 9.0  # points of a density, and standard deviations that a kernel reaches
+
+
+def density(
+    rows: DataFrame, by: Sequence[str], value: str = SCORE, low: float | None = None, high: float | None = None,
+    points: int = GRID,
+) -> DataFrame:
+    """Gaussian kernel density of each group on one grid: the groups' columns, ``x`` and ``density``.
+
+    The grid has ``points`` points from ``low`` to ``high``, by default the ends of all values. The
+    bandwidth is 0.9 n^(-1/5) times the lesser of sd and quartile distance / 1.34 (if that is zero
+    the sd, the least value's size, or 1, whichever is first above zero). Each value is shared by
+    its two neighbouring grid points, also beyond the ends, so what is smoothed are at most as many
+    numbers as there are grid points in the range of the values.
+    """
+    x = F.col(value).cast("double")
+    clean = rows.filter(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"))
+    if low is None or high is None:
+        ends = clean.agg(F.min("_x").alias("low"), F.max("_x").alias("high")).first()
+        low, high = (ends.low if low is None else low), (ends.high if high is None else high)
+    if low is None:
+        return rows.select(*by, F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
+    if not low < high:
+        low, high = low - 0.5, high + 0.5
+    step = (high - low) / (points - 1)
+    quartiles = quantiles(clean, by, "_x", {"_q1": 0.25, "_q3": 0.75})
+    spread = clean.groupBy(*by).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("_sd"),
+        F.abs(F.min("_x")).alias("_least"),
+    )
+    lesser = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / 1.34)
+    width = F.coalesce(*[F.when(c > 0, c) for c in (lesser, F.col("_sd"), F.col("_least"))], F.lit(1.0))
+    groups = _named(by, "_of_")
+    widths = materialize(
+        _same(spread, quartiles, by).select(
+            *[F.col(b).alias(g) for b, g in zip(by, groups, strict=True)], F.col("_n"),
+            (width * 0.9 * F.pow("_n", F.lit(-0.2))).alias("_width"),
+        ),
+        "widths",
+    )
+    place = (F.col("_x") - low) / step
+    share_ = place - F.floor(place)
+    bins = clean.groupBy(*by, F.floor(place).alias("_bin")).agg(
+        F.sum(1 - share_).alias("_left"), F.sum(share_).alias("_right")
+    )
+    halves = F.explode(F.array(
+        F.struct(F.col("_bin").alias("bin"), F.col("_left").alias("weight")),
+        F.struct((F.col("_bin") + 1).alias("bin"), F.col("_right").alias("weight")),
+    ))
+    heights = bins.select(*by, halves.alias("_h")).filter("_h.weight > 0").groupBy(*by, F.col("_h.bin").alias("_bin")).agg(
+        F.sum("_h.weight").alias("_weight")
+    )
+    same = [F.col(b).eqNullSafe(F.col(g)) for b, g in zip(by, groups, strict=True)]
+    reach = F.ceil(F.col("_width") * REACH / step).cast("long")
+    first, last = F.greatest(F.col("_bin") - reach, F.lit(0)), F.least(F.col("_bin") + reach, F.lit(points - 1).cast("long"))
+    spread_out = heights.join(widths, same).filter(first <= last).select(
+        *by, "_n", "_width", "_weight", "_bin", F.explode(F.sequence(first, last)).alias("_at")
+    )
+    z = (F.col("_at") - F.col("_bin")) * step / F.col("_width")
+    kernel = F.exp(-z * z / 2) * F.col("_weight") / (F.col("_n") * F.col("_width") * math.sqrt(2 * math.pi))
+    found = spread_out.groupBy(*by, "_at").agg(F.sum(kernel).alias("density"))
+    # Grid points that no kernel reaches have the density zero.
+    grid = widths.select(*[F.col(g).alias(b) for b, g in zip(by, groups, strict=True)],
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("_at"))
+    zero = grid.withColumn("density", F.lit(0.0))
+    return found.unionByName(zero).groupBy(*by, "_at").agg(F.sum("density").alias("density")).select(
+        *by, (F.lit(low) + F.col("_at") * step).alias("x"), "density"
+    )
+
+
+def _named(by: Sequence[str], prefix: str) -> list[str]:
+    return [prefix + b for b in by]
+
+
+def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join of two tables with one row per group; null groups meet."""
+    own = _named(by, "_same_")
+    renamed = right.withColumnsRenamed(dict(zip(by, own, strict=True)))
+    return left.join(renamed, [F.col(b).eqNullSafe(F.col(o)) for b, o in zip(by, own, strict=True)]).drop(*own)
+
+
 def hit_rank_histogram(prepared: DataFrame) -> DataFrame:
     """Accurate mappings per model and rank, with their logarithm; skipped concepts rank 0."""
     rank = F.when(F.col("model_analyzed"), F.col("concept_pair_rank")).otherwise(0)
@@ -243,3 +429,53 @@ def residual_summary(rows: DataFrame, residual: str, bins: int = 20) -> DataFram
         F.count(F.lit(1)).alias("residuals")
     )
     return counted.withColumns({name: stats[name] for name in moments})
+
+
+def quantile_points(rows: DataFrame, residual: str, points: int = 100) -> DataFrame:
+    """``point, theoretical, sample``: normal scores against the residuals' order statistics.
+
+    Point i of n stands for the probability (i - 1/2) / n and the value at the exact global position
+    of it, so no sample is drawn.
+    """
+    ranked, whole = _ranked_residuals(rows, residual)
+    if not whole:
+        return rows.sparkSession.createDataFrame([], "point long, theoretical double, sample double")
+    wanted = rows.sparkSession.range(1, points + 1).select(
+        F.col("id").alias("point"), ((F.col("id") - 0.5) / points).alias("p"),
+    ).withColumn("_at", F.ceil(F.col("p") * whole).cast("long"))
+    return ranked.join(wanted, F.col("_place") == F.col("_at")).select(
+        "point", normal_quantile(F.col("p")).alias("theoretical"), F.col("_e").alias("sample")
+    )
+
+
+def normality(rows: DataFrame, residual: str) -> DataFrame:
+    """``n, statistic, p_value`` as one row: squared correlation of all residuals and normal scores.
+
+    The statistic is W' with the scores of (i - 3/8) / (n + 1/4) for the exact positions i of all
+    rows. Its p-value uses the published normal approximation, made for 5 to 5,000 rows; with fewer
+    rows there is none, beyond it is extrapolated. Residuals without spread have no statistic.
+    """
+    ranked, whole = _ranked_residuals(rows, residual)
+    score = normal_quantile((F.col("_place") - 0.375) / (F.lit(whole) + 0.25))
+    # Centred values: their products do not cancel.
+    centre = F.lit(ranked.agg(F.avg("_e")).first()[0])
+    e = F.col("_e") - centre
+    sums = ranked.select(e.alias("_e"), score.alias("_m")).agg(
+        F.sum(F.col("_e") * F.col("_m")).alias("em"), F.sum(F.col("_e") * F.col("_e")).alias("ee"),
+        F.sum(F.col("_m") * F.col("_m")).alias("mm"),
+    )
+    w = F.try_divide(F.col("em") * F.col("em"), F.col("ee") * F.col("mm"))
+    u = math.log(whole) if whole > 1 else 1.0
+    v = math.log(u) if u > 0 else 0.0
+    p_value = F.lit(None).cast("double")
+    if whole >= 5:
+        z = (F.ln(1 - F.col("statistic")) - (1.0521 * (v - u) - 1.2725)) / (1.0308 - 0.26758 * (v + 2 / u))
+        p_value = normal_p_value(z)
+    return sums.select(F.lit(whole).cast("long").alias("n"), w.alias("statistic")).withColumn("p_value", p_value)
+
+
+def _ranked_residuals(rows: DataFrame, residual: str) -> tuple[DataFrame, int]:
+    e = F.col(residual).cast("double")
+    clean = rows.filter(e.isNotNull() & ~F.isnan(e)).select(e.alias("_e"))
+    ranked, whole = materialize_counted(number_rows(clean, [F.col("_e")], "_place"), "ranked-residuals")
+    return ranked, whole

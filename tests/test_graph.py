@@ -92,3 +92,35 @@ def test_crosswalk_labels(frame):
     out = {(r.left_id, r.right_id, r.left_labels, r.right_labels)
            for r in crosswalk(codes, links, terms, "A", "MSH", right_drop="MSH:").collect()}
     assert out == {("A_1", "D1", "alpha; zeta", "x"), ("A_1", "D2", "alpha; zeta", "y")}
+
+
+def test_a_long_chain_takes_few_rounds(frame, monkeypatch):
+    from termloom.operators import graph
+
+    rounds = []
+    written = graph.materialize_counted
+    monkeypatch.setattr(graph, "materialize_counted", lambda df, name: rounds.append(name) or written(df, name))
+    edges = frame([(i + 1, i) for i in range(3000)] + [(7, 7), (5, 2999), (9000, 8999)], "child int, parent int")
+    found = graph.descendants(edges, frame([(0,)], "node int"))
+    assert found.distinct().count() == found.count() == 3001
+    assert rounds.count("frontier") <= 14
+
+
+@pytest.mark.parametrize("ways", [4, 0])
+@pytest.mark.parametrize("itself", [True, False])
+def test_descendants_of_random_graphs(frame, monkeypatch, ways, itself):
+    import random
+
+    from termloom.operators import graph
+
+    monkeypatch.setattr(graph, "WAYS", ways)
+    draw = random.Random(ways + itself)
+    pairs = {(draw.randrange(200), draw.randrange(200)) for _ in range(230)} | {(i + 301, i + 300) for i in range(40)}
+    seeds = {3, 77, 300}
+    reached, newest = set(seeds) if itself else set(), set(seeds)
+    while newest:
+        newest = {c for c, p in pairs if p in newest} - reached
+        reached |= newest
+    edges = frame([*pairs, (None, 3), (5, None)], "child int, parent int")
+    found = graph.descendants(edges, frame([(s,) for s in seeds], "node int"), itself).collect()
+    assert sorted(r.node for r in found) == sorted(reached)

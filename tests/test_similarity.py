@@ -137,12 +137,30 @@ def test_groups_that_cannot_matter_are_skipped(frame, minimum):
     ]
     sources, targets = rows("s", 60), rows("t", 240)
     s, t = frame(sources, VECTORS), frame(targets, VECTORS)
-    found, (compared, cells) = similarity._pruned(s, t, 5, minimum, 8, 9, False)
+    found, cells = similarity._pruned(s, t, 5, minimum, 9, fan=3)
     close(got(found), brute(sources, targets, 5, minimum))
-    assert 0 < compared < cells
+    leaves = cells.select("s_leaf").distinct().count(), cells.select("t_leaf").distinct().count()
+    assert 0 < cells.count() < leaves[0] * leaves[1]
     close(got(topk_similar(s, t, 5, minimum, lanes=(3, 8), prune=False)), brute(sources, targets, 5, minimum))
 
 
+def test_thousands_of_lanes_leave_the_driver_with_pivots_only(frame, monkeypatch):
+    random = np.random.default_rng(3)
+    at = lambda n: random.normal(size=(n, 3))
+    rows = lambda name, vs: [(f"{name}{i}", [float(np.float32(x)) for x in v]) for i, v in enumerate(vs)]
+    sources, targets = rows("s", at(25)), rows("t", at(20_000))
+    monkeypatch.setattr(similarity, "LANE_BYTES", 4 * 8 * 3)  # four vectors
+    held = []
+    tree = similarity._pivot_tree
+    monkeypatch.setattr(similarity, "_pivot_tree", lambda *a: held.append(tree(*a)) or held[-1])
+    s, t = frame(sources, VECTORS), frame(targets, VECTORS)
+    assert similarity.plan_lanes(s, t) == (7, 5000)
+    found, cells = similarity._pruned(s, t, 3, None, 9, fan=8)
+    close(got(found), brute(sources, targets, 3))
+    assert sum(a.nbytes for a in (held[0].tops, held[0].leaves, held[0].first)) < (64 + 8) * 3 * 8 + 100
+    assert cells.agg(F.sum("t_parts")).first()[0] < 25 * 5000
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(
     st.integers(1, 6), st.integers(1, 40), st.integers(1, 8),
