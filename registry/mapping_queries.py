@@ -166,18 +166,18 @@ def rank_from_reply(t):
     return reranking.rank_from_reply(_shaped_replies(t))
 
 
-def _alphabetic_model(prompts):
-    """Stands in for a model: answers with the ids of the prompt in descending order."""
+def _ordering_model(prompts):
+    """Stands in for a model: answers with the ids of the prompt, short ones first."""
     replies = []
     for prompt in prompts:
         ids = [line[1 : line.index("]")] for line in prompt.split("\n") if line.startswith("[")]
-        replies.append(" > ".join(f"[{i}]" for i in sorted(ids, key=lambda i: i[::-1], reverse=True)))
+        replies.append(" > ".join(f"[{i}]" for i in sorted(ids, key=lambda i: (len(i), i))))
     return replies
 
 
 @query(
     "rank_all_candidates",
-    """SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY reverse(target) DESC) AS rank
+    """SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY length(target), target) AS rank
     FROM {scores}""",
 )
 def rank_all_candidates(t):
@@ -185,7 +185,7 @@ def rank_all_candidates(t):
     windows = reranking.assemble_windows(t.scores(), _content(t, "right"))
     sources = t.derived("left_terms").withColumn("content", F.col("description"))
     prompts = reranking.render_rank_prompt(windows, sources, _RANK)
-    return reranking.rank_from_windows(reranking.rank_with_model(prompts, _alphabetic_model))
+    return reranking.rank_from_windows(reranking.rank_with_model(prompts, _ordering_model))
 
 
 # Mapping sets ----------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from termloom import schemas
 from termloom.operators.consensus import HUMAN_MODEL
+from termloom.sources.records import read_records
 
 _CORRUPT = "_corrupt_record"
 _END = "\u0001"
@@ -42,15 +43,24 @@ def _csv(spark: SparkSession, path, schema: T.StructType, **options) -> DataFram
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
     # Numbered names, as a header may name a column twice.
-    plain = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
+    names = [f"c{i}" for i in range(len(found.columns))]
+    if options.get("multiLine"):
+        # That reader has one task per file, so it gives the header only.
+        fields = F.from_csv("record", ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"'})
+        plain = read_records(spark, path).select(fields.alias("f")).select("f.*")
+    else:
+        plain = found.toDF(*names)
     return plain.select(
         *[F.col(f"c{places[f.name]}").try_cast(f.dataType).alias(f.name) for f in schema.fields]
     )
 
 
 def read_terms(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Term table; short rows lack their last fields. A file with line breaks inside quotes
-    cannot be split, so set ``multi_line=False`` for large files without them."""
+    """Term table; short rows lack their last fields.
+
+    Line breaks inside quotes are read in parallel (see ``records``), which takes a second scan;
+    ``multi_line=False`` saves it for files without any.
+    """
     return _csv(spark, path, schemas.TERMS, multiLine=multi_line)
 
 

@@ -26,6 +26,36 @@ def test_terms_with_quotes_line_breaks_and_short_rows(spark, tmp_path):
     assert not rows["C"].aka and rows["C"].description == "d"
 
 
+@pytest.mark.parametrize("bytes_, end", [(1 << 20, "\n"), (300, "\n"), (40, "\r\n"), (9, "\n")])
+def test_records_across_ranges(spark, tmp_path, bytes_, end):
+    """Values with line breaks, quotes and commas, cut into many byte ranges."""
+    import csv
+    import io
+    import random
+
+    draw = random.Random(bytes_)
+    long = "line one\n" * 30 + '"quoted", and more\n' * 3
+    rows = [[f"i{i}", f"{i}", draw.choice(["plain", 'a "b"', "two\nlines", "\n\n", long, "a,b"]), "x", str(i)] for i in range(60)]
+    for name, own in (("one.csv", rows[:45]), ("two.csv", rows[45:])):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=end)
+        writer.writerows([["iri", "id", "na" + "me", "aka", "description"], *own])
+        write(tmp_path, name, out.getvalue() + (end if name == "one.csv" else ""))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        frame = tables.read_terms(spark, str(tmp_path))
+        if bytes_ == 300:
+            parts = spark.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
+            assert parts >= 8
+        found = sorted(tuple(r) for r in frame.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == sorted(tuple(r) for r in rows)
+
+
 def test_scores_with_mixed_line_ends_and_broken_lines(spark, tmp_path):
     path = write(tmp_path, "s.csv",
                  "source,target,score\na,x,0.9\r\na,y,0.8\nb,x,0.7\r\nb,y,none\nb\n\nc,x,0.6,extra\n")
