@@ -63,7 +63,7 @@ class Block:
     """Distinct windows of some items, and the index of their rarest shingles."""
 
     def __init__(self, rows: list, size: int):
-        names = sorted({r[0] for r in rows})
+        names = sorted({r[0] for r in rows}, key=lambda name: (name is not None, name))
         place = {name: i for i, name in enumerate(names)}
         seen: dict[bytes, int] = {}
         owners = []
@@ -196,7 +196,8 @@ def _mark(block):
                     hits.append(int(bits.sum()))
                     covers.append(np.packbits(bits).tobytes() if hits[-1] else b"")
                     found = own.get(i, [])
-                    items.append(sorted({*old_items[i].as_py(), *found}) if found else old_items[i].as_py())
+                    every = {*old_items[i].as_py(), *found}
+                    items.append(sorted(every, key=lambda name: (name is not None, name)))
                 columns = dict(zip(part.schema.names, part.columns, strict=True)) | {
                     "cover": pa.array(covers, pa.binary()),
                     "items": pa.array(items, pa.list_(pa.string())),
@@ -220,7 +221,8 @@ def annotate(
 
     Words are lower-cased runs of ASCII letters, digits and everything beyond ASCII. An item with
     fewer words than a window is one window; one without words (or null) has none, and a null
-    document has no words. Items with one id count once; repeated documents are marked alike.
+    document has no words. Items with one id count once, and all items without an id are one item
+    without a name: its windows hit, and it is a null in ``items``. Repeated documents are marked alike.
     Words are compared by 64-bit fingerprints, all of a window one by one.
     """
     spark = docs.sparkSession
@@ -262,7 +264,10 @@ def annotate(
 
 
 def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """Per document: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``."""
+    """Per document: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``.
+
+    The item without an id counts in ``n_items``; the digest is over the named ones.
+    """
     found = annotate(docs.select(F.col(id).alias("doc_id"), "text"), items, **options)
     return found.select(
         F.col("row.doc_id").alias("doc_id"),

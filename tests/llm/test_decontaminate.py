@@ -73,3 +73,14 @@ def test_windows_may_not_cross_documents(spark):
     )
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert D.contamination(docs.coalesce(1), items).filter("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("kind, ids", [("string", ["a", "b", None, None]), ("long", [1, 2, None, None])])
+def test_items_without_an_id_are_one_item_without_a_name(spark, kind, ids):
+    texts = [" ".join(f"{c}{i}" for i in range(12)) for c in "wxyz"]
+    docs = spark.createDataFrame([(1, texts[0] + " and " + texts[2]), (2, texts[3]), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"item_id {kind}, text string")
+    found = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in D.contamination(docs, items).collect()}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert found == {1: (24, 2, digest(str(ids[0]))), 2: (12, 1, digest("")), 3: (0, 0, digest(""))}
+    assert [r.doc_id for r in D.drop_contaminated(docs, items).collect()] == [3]

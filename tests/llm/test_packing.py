@@ -27,8 +27,9 @@ def naive(lengths, clusters, sources, capacity, per_source):
     return out
 
 
+@pytest.mark.parametrize("ordered", [False, True])
 @pytest.mark.parametrize("seed", range(5))
-def test_places_are_those_of_naive_best_fit(seed):
+def test_places_are_those_of_naive_best_fit(seed, ordered):
     import random
 
     draw = random.Random(seed)
@@ -36,7 +37,7 @@ def test_places_are_those_of_naive_best_fit(seed):
     lengths = sorted((draw.randint(1, 60) for _ in range(n)), reverse=True)
     clusters = [1 << draw.randrange(8) if draw.random() < 0.3 else 0 for _ in range(n)]
     sources = [1 << min(draw.randrange(6), draw.randrange(6)) if draw.random() < 0.9 else 0 for _ in range(n)]
-    bins = P.Bins(100, 2)
+    bins = P.Bins(100, 2, *((set(clusters) - {0}, set(sources) - {0}) if ordered else ()))
     got = [bins.place(*x)[0] for x in zip(lengths, clusters, sources, strict=True)]
     assert got == naive(lengths, clusters, sources, 100, 2)
 
@@ -76,3 +77,23 @@ def test_odd_rows_no_rows_and_repeatability(spark):
     again = P.pack(odd.repartition(7))
     assert found.exceptAll(again).count() == 0
     assert found.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= P.CAPACITY
+
+
+def test_copies_of_one_row_are_spread_and_packed_apart(spark):
+    docs = spark.range(50_000).select(
+        F.lit(7).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"), F.lit("s").alias("source")
+    ).union(spark.createDataFrame([(None, "", None)] * 3_000, "doc_id long, text string, source string"))
+    found = P.pack(docs)
+    assert found.count() == 53_000
+    parts = found.groupBy(F.split("bin", "-")[0]).count().agg(F.max("count"), F.count("*")).first()
+    assert parts[1] == 11 and parts[0] < 6_000
+    assert found.filter("doc_id = 7").groupBy("bin").count().agg(F.max("count")).first()[0] == 1
+    assert found.filter("doc_id IS NULL").count() == 3_000
+
+
+def test_a_given_cluster_keeps_near_copies_apart(spark):
+    rows = [(i, f"nearly the same words {i}", None, i // 4 if i % 9 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, component long")
+    found = P.pack(docs, cluster="component").join(docs.select("doc_id", "component"), "doc_id")
+    assert found.filter("component IS NOT NULL").groupBy("bin", "component").count().agg(F.max("count")).first()[0] == 1
+    assert P.pack(docs).select("bin").distinct().count() < found.select("bin").distinct().count()
