@@ -10,8 +10,9 @@ stretches, and every stretch is streamed through it backwards: the matching stat
 Only distinct stretches with their smallest document go to the shards, so a passage that a third of
 all documents share is one row per task there. A phrase that stands in other words everywhere gives
 its anchor many distinct stretches: such an anchor is hot, each of its windows is a stretch, and
-these go to shards by their own words, where equal windows still meet. What the shards find is joined back by stretch, as a
-plain join that Spark may split where it is skewed.
+these go to shards by their own words, where equal windows still meet. What the shards find is
+joined back by stretch, as a plain join that Spark may split where it is skewed. Shared and hot
+anchors travel to the tasks as bitmaps of fixed size, never as lists.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ WINDOW, ANCHOR = 13, 6
 _RUN = 16  # windows of one stretch at most
 _BITS, _CHUNK = 28, 20  # of the bitmap, and of a part of it
 _STRETCHES = 60_000  # of a shard
-_HOT = 15_000  # documents, and distinct stretches, of an anchor that is spread over shards
+_HOT = 15_000  # distinct stretches of an anchor that is spread over shards
 _BATCH = 4 << 20
 _COPIES = "anchor long, digest long, text binary, low long, high long, spread long"
 _OWNERS = "anchor long, digest long, owners array<long>"
@@ -64,7 +65,8 @@ class Stretches:
             )
             begin = np.flatnonzero(new)
             new[(np.arange(len(whole)) - np.repeat(begin, np.diff(np.append(begin, len(whole))))) % run == 0] = True
-            new |= among(least[whole], hot)
+            if hot is not None:
+                new |= _passes(hot, least[whole])
         begin = np.flatnonzero(new)
         self.count = np.diff(np.append(begin, len(whole)))
         self.at = whole[begin]
@@ -84,30 +86,35 @@ class Stretches:
         return self
 
 
-def among(anchor: np.ndarray, some: np.ndarray | None) -> np.ndarray:
-    """Whether each anchor is in the sorted array."""
-    if some is None or not len(some):
-        return np.zeros(len(anchor), bool)
-    return some[np.minimum(np.searchsorted(some, anchor), len(some) - 1)] == anchor
-
-
 def _found(part, window: int, hot: np.ndarray | None = None):
     found = words(*text_buffer(part.column("text")), PLAIN, lower=False)
     return found, Stretches(found, window, hot)
 
 
+def _heads(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the columns, and where other values begin in it."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    return order, np.flatnonzero(new)
+
+
 def _anchors(window: int):
-    """Distinct anchors of each document."""
+    """Anchors of each piece: in how many of its documents, and in how many distinct stretches."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, _BATCH):
                 _, own = _found(part, window)
-                order = np.lexsort((own.anchor, own.doc))
-                anchor, doc = own.anchor[order], own.doc[order]
-                new = np.ones(len(anchor), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64))], ["anchor"])
+                counts = []
+                for other in (own.doc, own.digest):
+                    order, head = _heads(own.anchor, other)
+                    anchor, n = np.unique(own.anchor[order[head]], return_counts=True)
+                    counts.append(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(counts[0]), pa.array(counts[1])],
+                    ["anchor", "n", "stretches"],
+                )
 
     return run
 
@@ -120,36 +127,52 @@ def _digests(often, window: int):
         for batch in batches:
             for part in pieces(batch, _BATCH):
                 _, own = _found(part, window)
-                own.only(among(own.anchor, some))
-                order = np.lexsort((own.digest, own.anchor))
-                anchor, digest = own.anchor[order], own.digest[order]
-                new = np.ones(len(anchor), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+                own.only(_passes(some, own.anchor))
+                order, head = _heads(own.anchor, own.digest)
+                pick = order[head]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[new].view(np.int64)), pa.array(digest[new].view(np.int64))],
+                    [pa.array(own.anchor[pick].view(np.int64)), pa.array(own.digest[pick].view(np.int64))],
                     ["anchor", "digest"],
                 )
 
     return run
 
 
-def _hot(docs: DataFrame, shared: DataFrame, window: int) -> np.ndarray:
-    """Anchors with more than about ``_HOT`` distinct stretches, sorted.
+def _hot(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame | None:
+    """Anchors with more than about ``_HOT`` distinct stretches, or None.
 
-    Each stands in as many documents, so they are few. A passage that many documents share whole
-    has few distinct stretches and is not hot.
+    In how many documents they stand does not matter: a phrase that few long documents repeat among
+    other words has as many. A passage that many documents share whole has few and is not hot.
     """
-
-    def sorted_anchors(frame: DataFrame) -> np.ndarray:
-        return np.sort(np.array([r.anchor for r in frame.collect()], np.int64).view(np.uint64))
-
-    often = sorted_anchors(shared.filter(F.col("n") > _HOT).select("anchor"))
-    if not len(often):
-        return often
-    data = docs.sparkSession.sparkContext.broadcast(often)
+    often = shared.filter(F.col("stretches") > _HOT).select("anchor")
+    if often.isEmpty():
+        return None
+    data = docs.sparkSession.sparkContext.broadcast(_bits(often))
     seen = docs.select("text").mapInArrow(_digests(data, window), "anchor long, digest long")
     counts = seen.groupBy("anchor").agg(F.approx_count_distinct("digest").alias("n"))
-    return sorted_anchors(counts.filter(F.col("n") > _HOT).select("anchor"))
+    hot = materialize(counts.filter(F.col("n") > _HOT).select("anchor"), "hot-anchors")
+    return None if hot.isEmpty() else hot
+
+
+def _bits(anchors: DataFrame) -> np.ndarray:
+    """A bitmap of the low bits of anchors: 32 MB, whatever their number.
+
+    An anchor that passes without being there is treated as those that are, in every task alike.
+    """
+    place = F.col("anchor").bitwiseAND(F.lit((1 << _BITS) - 1))
+    parts = (
+        anchors.select(
+            F.shiftright(place, _CHUNK).alias("chunk"),
+            place.bitwiseAND(F.lit((1 << _CHUNK) - 1)).alias("bit"),
+        )
+        .groupBy("chunk")
+        .applyInArrow(_bitmap, "chunk long, bits binary")
+    )
+    size = 1 << (_CHUNK - 3)
+    bits = np.zeros(1 << (_BITS - 3), np.uint8)
+    for row in parts.toLocalIterator():
+        bits[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return bits
 
 
 def _bitmap(table: pa.Table) -> pa.Table:
@@ -165,6 +188,10 @@ def _passes(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
+def _spread(hot, anchor: np.ndarray) -> np.ndarray:
+    return _passes(hot.value, anchor) if hot is not None else np.zeros(len(anchor), bool)
+
+
 def _copies(bitmap, hot, window: int):
     """Distinct stretches of a task with their words and the range of their documents."""
 
@@ -172,7 +199,7 @@ def _copies(bitmap, hot, window: int):
         bits = bitmap.value
         for batch in batches:
             for part in pieces(batch, _BATCH):
-                found, own = _found(part, window, hot.value)
+                found, own = _found(part, window, hot and hot.value)
                 own.only(_passes(bits, own.anchor))
                 if not len(own.at):
                     continue
@@ -192,7 +219,7 @@ def _copies(bitmap, hot, window: int):
                     [
                         pa.array(own.anchor[pick].view(np.int64)), pa.array(own.digest[pick].view(np.int64)),
                         pa.array(texts, pa.binary()), pa.array(number[pick]), pa.array(number[order[last]]),
-                        pa.array(np.where(among(own.anchor[pick], hot.value), own.digest[pick], np.uint64(0)).view(np.int64)),
+                        pa.array(np.where(_spread(hot, own.anchor[pick]), own.digest[pick], np.uint64(0)).view(np.int64)),
                     ],
                     ["anchor", "digest", "text", "low", "high", "spread"],
                 )
@@ -259,7 +286,7 @@ def _occurrences(bitmap, hot, window: int):
         bits = bitmap.value
         for batch in batches:
             for part in pieces(batch, _BATCH):
-                found, own = _found(part, window, hot.value)
+                found, own = _found(part, window, hot and hot.value)
                 own.only(_passes(bits, own.anchor))
                 number = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[own.doc]
                 yield pa.RecordBatch.from_arrays(
@@ -317,14 +344,11 @@ def kept_bytes(found: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, edges
 
 
-def _in_shards(docs: DataFrame, shared: DataFrame, bitmap, hot, window: int) -> DataFrame:
+def _in_shards(docs: DataFrame, shared: DataFrame, bitmap, hot_ones: DataFrame | None, hot, window: int) -> DataFrame:
     """The distinct stretches of each task with the number of their shard."""
-    hot_ones = docs.sparkSession.createDataFrame(
-        [(a,) for a in hot.value.view(np.int64).tolist()], "anchor long"
-    )
-    copies = shared.agg(F.sum("n")).first()[0] or 0
-    if len(hot.value):  # a stretch has up to as many windows as a window has runs of an anchor's size
-        copies += (window - ANCHOR) * shared.join(hot_ones, "anchor").agg(F.sum("n")).first()[0]
+    copies = shared.agg(F.sum("stretches")).first()[0] or 0
+    if hot_ones is not None:  # a stretch has up to as many windows as a window has runs of an anchor's size
+        copies += (window - ANCHOR) * shared.join(hot_ones, "anchor").agg(F.sum("stretches")).first()[0]
     shards = max(1, -(-copies // _STRETCHES))
     return (
         docs.select("doc_id", "text")
@@ -337,27 +361,16 @@ def _in_shards(docs: DataFrame, shared: DataFrame, bitmap, hot, window: int) ->
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, at, n``: runs of ``n`` windows from word ``at`` on that a smaller document has."""
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = docs.select("text").mapInArrow(_anchors(window), "anchor long")
+    anchors = docs.select("text").mapInArrow(_anchors(window), "anchor long, n long, stretches long")
     shared = materialize(
-        anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors"
-    )
-    place = F.col("anchor").bitwiseAND(F.lit((1 << _BITS) - 1))
-    parts = (
-        shared.select(
-            F.shiftright(place, _CHUNK).alias("chunk"),
-            place.bitwiseAND(F.lit((1 << _CHUNK) - 1)).alias("bit"),
-        )
-        .groupBy("chunk")
-        .applyInArrow(_bitmap, "chunk long, bits binary")
+        anchors.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("stretches").alias("stretches")).filter("n > 1"),
+        "anchors",
     )
-    # 32 MB, whatever the number of anchors.
-    size = 1 << (_CHUNK - 3)
-    bits = np.zeros(1 << (_BITS - 3), np.uint8)
-    for row in parts.toLocalIterator():
-        bits[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    bitmap = docs.sparkSession.sparkContext.broadcast(bits)
-    hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, shared, window))
-    copies = _in_shards(docs, shared, bitmap, hot, window)
+    send = docs.sparkSession.sparkContext.broadcast
+    bitmap = send(_bits(shared))
+    hot_ones = _hot(docs, shared, window)
+    hot = None if hot_ones is None else send(_bits(hot_ones))
+    copies = _in_shards(docs, shared, bitmap, hot_ones, hot, window)
     owners = materialize(copies.groupBy("shard").applyInArrow(_shard(window), _OWNERS), "owners")
     places = docs.select("doc_id", "text").mapInArrow(_occurrences(bitmap, hot, window), _PLACES)
     found = places.join(owners, ["anchor", "digest"]).select(

@@ -77,6 +77,26 @@ def test_hot_anchors_are_spread_and_give_the_same(spark, monkeypatch):
     assert sum(sizes) > 1000 and max(sizes) < 100
 
 
+def test_a_phrase_that_two_long_texts_repeat_is_spread_too(spark, monkeypatch):
+    monkeypatch.setattr(S, "_STRETCHES", 100)
+    monkeypatch.setattr(S, "_HOT", 200)
+    draw = random.Random(9)
+    phrase = sentence(draw, 12)
+    texts = {i: " ".join(f"{phrase} {sentence(draw, 9)}" for _ in range(1500)) for i in (1, 2)}
+    texts[3] = " ".join(texts[1].split()[100:160])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    seen, placed = [], S._in_shards
+
+    def in_shards(*given):
+        seen.append(placed(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(S, "_in_shards", in_shards)
+    assert sorted(map(tuple, S.remove_repeats(docs).collect())) == brute(texts)
+    sizes = [r["count"] for r in seen[0].groupBy("shard").count().collect()]
+    assert sum(sizes) > 10_000 and max(sizes) < 600
+
+
 def test_odd_texts_and_rows(spark):
     docs = corpus(spark)
     texts = {r.doc_id: r.text for r in docs.collect()}
