@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,8 +248,12 @@ def _calibrate(model: Model):
         place = {lang: i for i, lang in enumerate(model.langs)}
         for batch in batches:
             for part in pieces(batch, _BATCH):
+                # A language whose texts have no letters has no model and no calibration.
+                part = part.filter(pc.is_in(part.column("lang"), pa.array(model.langs, pa.string())))
+                if not part.num_rows:
+                    continue
                 entropy, sizes = model.entropies(part.column("text"), table)
-                own = np.array([place.get(x, 0) for x in part.column("lang").to_pylist()], int)
+                own = np.array([place[x] for x in part.column("lang").to_pylist()], int)
                 other = entropy.copy()
                 rows = np.arange(len(own))
                 other[rows, own] = np.inf
@@ -268,17 +273,22 @@ def fit(
     """Models of all languages in ``lang``; None if no text has one.
 
     Rows without text or language teach nothing. The sample of a language is about
-    ``sample_bytes`` of whole texts.
+    ``sample_bytes`` of whole texts, a share of them kept aside to calibrate; a language of which
+    that would count no text is learned from its first one by hash, however long.
     """
     rows = docs.select(
         F.col(text).alias("text"), F.col(lang).alias("lang"),
         (F.pmod(F.xxhash64(F.lit("language"), F.col(id)), F.lit(1 << 30)) / (1 << 30)).alias("u"),
     ).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"))
-    rates = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest("b", F.lit(1))).alias("rate"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.min("u").alias("least"))
+    rates = sizes.select(
+        "lang", "least", F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest("b", F.lit(1))).alias("rate")
+    )
+    edge = (1 - CALIBRATION) * F.col("rate")
+    only = (F.col("u") == F.col("least")) & (F.col("least") >= edge)
     sample = materialize(
-        rows.join(F.broadcast(rates), "lang").filter("u < rate").select(
-            "lang", "text", (F.col("u") >= (1 - CALIBRATION) * F.col("rate")).alias("held")
+        rows.join(F.broadcast(rates), "lang").filter((F.col("u") < F.col("rate")) | only).select(
+            "lang", "text", ((F.col("u") >= edge) & ~only).alias("held")
         ),
         "sample",
     )

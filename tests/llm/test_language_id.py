@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.llm import language_id as L
-from tests.llm.helpers import corpus, nothing, odd_corpus
+from tests.llm.helpers import corpus, nothing, odd_corpus, sentence
 
 
 def plain_model(texts, order, alphabet):
@@ -120,3 +120,20 @@ def test_without_training_rows(spark):
     found = L.identify(corpus(spark), None)
     assert found.filter("lang_pred <> 'und' OR NOT rejected").count() == 0
     assert L.identify(nothing(spark), L.fit(corpus(spark))).collect() == []
+
+
+def test_every_language_with_a_text_has_a_model(spark):
+    """One short text among many, one very long one, and one without letters."""
+    import random
+
+    draw = random.Random(4)
+    rows = [(i, sentence(draw, 30), "en") for i in range(200)]
+    rows += [(300 + i, sentence(draw, 30, "fr"), "fr") for i in range(1)]
+    rows += [(400, "żółć gęś " * 60_000, "pl"), (500, "1234 5678 !", "none"), (501, "99", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for shift in range(4):  # other hashes, other samples
+        moved = docs.withColumn("doc_id", F.col("doc_id") + 1000 * shift)
+        model = L.fit(moved, sample_bytes=20_000)
+        assert sorted(model.langs) == ["en", "fr", "pl"]
+    probe = spark.createDataFrame([(1, "gęś żółć gęś żółć gęś"), (2, sentence(draw, 40))], "doc_id long, text string")
+    assert {r.row.doc_id: r.lang_pred for r in L.identify(probe, model).collect()} == {1: "pl", 2: "en"}
