@@ -107,3 +107,78 @@ def test_logistic_fits_the_shares():
     beta = logistic(x, y, np.ones(200), ridge=1e-9)
     assert 1 / (1 + np.exp(-beta[1])) == pytest.approx(0.2, abs=1e-6)
     assert 1 / (1 + np.exp(-beta.sum())) == pytest.approx(0.7, abs=1e-6)
+
+
+def naive_measure(text, lexicon):
+    """Every pattern at every position of both readings."""
+    hits, safe = {}, []
+    readings = [(lexicon, X.Folding())]
+    if not text.isascii():
+        bare = X.Folding(plain=True)
+        readings.append(({f"{w.translate(bare)} ": v for w, v in X.SEEDS.items()}, bare))
+    for patterns, table in readings:
+        folded = text.translate(table)
+        for begin in range(len(text)):
+            if begin and text[begin - 1].isalnum():
+                continue
+
+            def ends(word, begin=begin):
+                return begin + len(word) == len(text) or not text[begin + len(word)].isalnum()
+
+            for pattern, weight in patterns.items():
+                word = pattern.rstrip()
+                if folded.startswith(word, begin) and (not pattern.endswith(" ") or ends(word)):
+                    if (weight, len(word)) > hits.get(begin, (0.0, 0, 0))[:2]:
+                        hits[begin] = (weight, len(word), begin + len(word) - 1)
+            for phrase in X.EXCEPTIONS:
+                word = phrase.translate(table)
+                if folded.startswith(word, begin) and ends(word):
+                    safe.append((begin, begin + len(word)))
+    inside = {i for a, b in safe for i in range(a, b)}
+    kept = [(w, begin) for begin, (w, _, last) in hits.items() if not (begin in inside and last in inside)]
+    return sum(w for w, _ in kept), max((w for w, _ in kept), default=0.0), text.count(" ") + text.count("\n") + 1
+
+
+def test_matches_are_those_of_a_scan_of_all_patterns():
+    import random
+
+    draw = random.Random(8)
+    blank = X.Folding()
+    lexicon = {f"{w.translate(blank)} ": v for w, v in X.SEEDS.items()} | {"grumb": 2.6, "grumbol ": 3.3, "zé ": 2.7}
+    automata = X.Model(lexicon, np.zeros(4)).automata()
+    words = ["idiot", "1d10t", "ídiot", "idіot", "trash", "can", "clown", "fish", "grumbol", "grumbolix", "Zé", "zé", "pathetic",
+             "fallacy", "kill", "yourself", "k1ll", "not", "stupid", "st*pid", "word", "shut", "up", "fucking", "😀", "x"]
+    for _ in range(400):
+        text = draw.choice([" ", "\n", "-", ""]).join(draw.choices(words, k=draw.randint(0, 9))) + draw.choice(["", "!", " "])
+        assert X.measure(text, automata) == pytest.approx(naive_measure(text, lexicon)), text
+
+
+def test_margins_are_those_of_plain_dictionaries():
+    import math
+    import random
+    from collections import Counter
+
+    draw = random.Random(3)
+    sets, y = [], []
+    for i in range(120):
+        own = {draw.randrange(40) for _ in range(8)} | ({50 + draw.randrange(5)} if i % 2 else {60 + draw.randrange(5)})
+        sets.append(np.array(sorted(own), np.int32))
+        y.append(i % 2)
+    kept = np.zeros(len(y), bool)
+    model = Q.train(sets, np.array(y), np.ones(len(y)), kept)
+    counts = [Counter(int(f) for s, own in zip(sets, y, strict=True) if own == c for f in s) for c in (0, 1)]
+    totals = [sum(c.values()) + Q.ALPHA * (1 << Q.BITS) for c in counts]
+    ratio = {
+        f: math.log((counts[1][f] + Q.ALPHA) / totals[1]) - math.log((counts[0][f] + Q.ALPHA) / totals[0])
+        for f in set(counts[0]) | set(counts[1])
+    }
+    rows = []
+    for s in sets:
+        length = math.sqrt(sum(ratio[int(f)] ** 2 for f in s))
+        rows.append((s, np.array([ratio[int(f)] / length for f in s])))
+    sign = np.where(np.array(y) == 1, 1.0, -1.0)
+    weights = dual_coordinate_descent(rows, sign, 1 << Q.BITS, Q.COST / np.ones(len(y)))
+    for (s, value), _ in zip(rows, y, strict=True):
+        plain = sum(float(weights[f]) * v for f, v in zip(s.tolist(), value.tolist(), strict=True)) + float(weights[-1])
+        assert model.margin(s) == pytest.approx(plain, abs=1e-3)
+    assert np.mean([(model.margin(s) > 0) == bool(c) for s, c in zip(sets, y, strict=True)]) > 0.95
