@@ -21,11 +21,22 @@ class EliasFano:
         bits = np.zeros(-(-(size + 1) // 64) * 64, np.uint8)
         bits[high + np.arange(n)] = 1
         self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        self._index()
+
+    def _index(self):
         ones = np.zeros(len(self.words) + 1, np.int64)
         np.cumsum(np.bitwise_count(self.words), out=ones[1:])
         self.ones = ones
         self.zeros = 64 * np.arange(len(ones)) - ones
 
+    @classmethod
+    def view(cls, n: int, low_bits: int, low: np.ndarray, words: np.ndarray) -> "EliasFano":
+        """A sequence over arrays that lie elsewhere, such as in a mapped file."""
+        out = cls.__new__(cls)
+        out.n, out.low_bits, out.low, out.words = n, low_bits, low, words
+        out._index()
+        return out
+
     def get(self, at: np.ndarray) -> np.ndarray:
         high = _select(self.words, self.ones, at) - at
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | _unpack(self.low, self.low_bits, at)
@@ -113,13 +124,16 @@ def _select(words, ones, rank):
 
 
 class Level:
-    """n-grams of one order: contexts, pointers to their children, children and value codes.
+    """n-grams of one order: contexts with a mark each, pointers to their children, children and values.
 
     Children are numbers relative to their context; adding the last value of the context before
-    makes the whole level one monotone sequence, and a search starts from that value.
+    makes the whole level one monotone sequence, and a search starts from that value. A level is
+    one run of bytes, which ``load`` maps: nothing is parsed or copied.
     """
 
-    def __init__(self, contexts: np.ndarray, children: np.ndarray, codes: np.ndarray):
+    def __init__(self, contexts: np.ndarray, children: np.ndarray, values: np.ndarray, every: np.ndarray, marks: np.ndarray):
+        """The n-grams in order with their values; ``every`` context in order, also those without an
+        n-gram here, with their marks."""
         heads = np.ones(len(contexts), bool)
         heads[1:] = contexts[1:] != contexts[:-1]
         first = np.flatnonzero(heads)
@@ -129,17 +143,49 @@ class Level:
             # Each context begins one above the greatest value of the one before.
             base[1:] = np.cumsum(children[last[:-1]] + _ONE)
         sizes = np.diff(np.append(first, len(contexts)))
-        self.contexts = EliasFano(contexts[first])
-        self.pointers = EliasFano(np.append(first, len(contexts)).astype(np.uint64))
+        self.contexts = EliasFano(every)
+        self.pointers = EliasFano(np.append(np.searchsorted(contexts, every), len(contexts)).astype(np.uint64))
         self.children = EliasFano(children + np.repeat(base, sizes))
-        self.codes = codes
+        self.values, self.marks = values, marks.astype(np.uint8)
+
+    def dump(self) -> bytes:
+        """Sizes, then the sequences, the values and the marks, filled up to whole words."""
+        head, body = [], []
+        for part in (self.contexts, self.pointers, self.children):
+            head += [part.n, part.low_bits, len(part.low), len(part.words)]
+            body += [part.low, part.words]
+        head += [self.values.itemsize, len(self.values), len(self.marks)]
+        out = b"".join(np.ascontiguousarray(x).tobytes() for x in (np.array(head, np.int64), *body, self.values, self.marks))
+        return out + bytes(-len(out) % 8)
+
+    @classmethod
+    def load(cls, data: np.ndarray) -> "Level":
+        """The level over these bytes."""
+        head = data[: 15 * 8].view(np.int64).tolist()
+        at = 15 * 8
+
+        def take(count, kind):
+            nonlocal at
+            low, at = at, at + count * np.dtype(kind).itemsize
+            return data[low:at].view(kind)
+
+        out = cls.__new__(cls)
+        parts = []
+        for i in range(0, 12, 4):
+            n, low_bits, low, words = head[i : i + 4]
+            parts.append(EliasFano.view(n, low_bits, take(low, np.uint64), take(words, np.uint64)))
+        out.contexts, out.pointers, out.children = parts
+        out.values = take(head[13], f"u{head[12]}")
+        out.marks = take(head[14], np.uint8)
+        return out
 
-    def find(self, contexts: np.ndarray, children: np.ndarray) -> np.ndarray:
-        """Value code of each n-gram, 0 where the trie has none; contexts come in order."""
-        out = np.zeros(len(contexts), self.codes.dtype)
+    def find(self, contexts: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each n-gram and mark of its context, 0 where the trie has none; contexts come in order."""
+        out = np.zeros(len(contexts), self.values.dtype)
+        marks = np.zeros(len(contexts), np.uint8)
         n = self.contexts.n
         if not n or not len(contexts):
-            return out
+            return out, marks
         heads = np.ones(len(contexts), bool)
         heads[1:] = contexts[1:] != contexts[:-1]
         number = np.cumsum(heads) - 1
@@ -147,13 +193,16 @@ class Level:
         at = np.where(known, at, 0)
         begin = self.pointers.get(at).astype(np.int64)
         end = self.pointers.get(at + 1).astype(np.int64)
-        base = np.where(begin > 0, self.children.get(np.maximum(begin - 1, 0)) + _ONE, np.uint64(0))
         asked = np.flatnonzero(known[number])
         number = number[asked]
+        marks[asked] = self.marks[at[number]]
+        if not self.children.n:
+            return out, marks
+        base = np.where(begin > 0, self.children.get(np.maximum(begin - 1, 0)) + _ONE, np.uint64(0))
         value = children[asked] + base[number]
         place, same = self.children.successor(value, begin[number], end[number])
-        out[asked[same]] = self.codes[place[same]]
-        return out
+        out[asked[same]] = self.values[place[same]]
+        return out, marks
 
     def bytes(self) -> int:
-        return self.contexts.bytes() + self.pointers.bytes() + self.children.bytes() + self.codes.nbytes
+        return len(self.dump())
