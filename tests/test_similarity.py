@@ -108,6 +108,35 @@ def test_lane_plan_follows_the_work(spark, monkeypatch):
     assert similarity.plan_lanes(df, df)[0] > 1
 
 
+def test_a_grid_is_cut_on_both_sides(spark, monkeypatch):
+    df = spark.range(1000).select(
+        F.col("id").cast("string").alias("id"), F.array_repeat(F.lit(1.0), 8).alias("embedding")
+    )
+    monkeypatch.setattr(similarity, "CELL_FLOPS", 1e3)
+    cells = 4 * spark.sparkContext.defaultParallelism
+    s, t = similarity.plan_lanes(df, df)
+    # A row is copied once per lane of the other side, so one row of each side is s + t rows.
+    assert s * t >= cells and s + t < cells
+
+
+def test_groups_that_would_copy_more_than_the_grid_are_given_up(frame, monkeypatch):
+    random = np.random.default_rng(4)
+    rows = lambda name, n: [(f"{name}{i}", [float(np.float32(x)) for x in random.normal(size=8)]) for i in range(n)]
+    sources, targets = rows("s", 60), rows("t", 90)
+    s, t = frame(sources, VECTORS), frame(targets, VECTORS)
+    monkeypatch.setattr(similarity, "LANE_BYTES", 40 * 8 * 8)
+    monkeypatch.setattr(similarity, "PRUNE_GAIN", 0)
+    seen, compare = [], similarity._compare_cells
+    monkeypatch.setattr(similarity, "_compare_cells", lambda *a: seen.append(1) or compare(*a))
+    close(got(topk_similar(s, t, 3)), brute(sources, targets, 3))
+    assert len(seen) == 1  # only what gives the floors
+    monkeypatch.setattr(similarity, "CELL_ROWS", 0)
+    near = similarity._copied
+    monkeypatch.setattr(similarity, "_copied", lambda *a: near(*a) * 0)
+    close(got(topk_similar(s, t, 3)), brute(sources, targets, 3))
+    assert len(seen) == 3
+
+
 @pytest.mark.parametrize("lanes", [(1, 1), (1, 3), (2, 1), (4, 5)])
 def test_rows_of_one_id_are_one_thing(frame, lanes):
     random = np.random.default_rng(8)
