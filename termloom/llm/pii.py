@@ -3,26 +3,30 @@
 Strict patterns give the base spans of four kinds. Wider generators add candidates that a strict
 pattern misses (spelled-out or spaced addresses, other separators, numbers without a plus). Each
 candidate gets features of its format and of the text around it; boosted trees score it, and it is
-taken if the score reaches its kind's threshold. The trees learn, on a bounded sample, to tell
+taken if the score reaches its kind's threshold. The trees learn, from all documents, to tell
 candidates that pass their kind's check (digit sum, octets, ending, form of the number), however
 they are written, from those that do not, and a threshold is the least score with hardly any
 failing candidate above it on rows kept aside. What fails its check but overlaps a base span is
 part of something good, so it is no example.
 
+Trees ask only on which side of some cuts a feature is, so all candidates of one cell between the
+cuts are one example with a weight: Spark counts the cells, and they are all that the driver sees.
+
 Everything on rows is built-in functions inside one projection: no shuffle, no user function.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.boosting import Boosted, boost
+from termloom.llm.boosting import BINS, Boosted, boost
 from termloom.llm.rules import _bind
+from termloom.session import materialize, materialize_counted
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCUMENTS, SAMPLE = 40_000, 6_000  # documents, and candidates in them
+CELLS = 500_000  # of all kinds, that the driver takes; where there are more, bins are made wider
 TREES, DEPTH = 16, 3
 PRECISION, LEAST_SCORE = 0.995, 0.9
 
@@ -280,38 +284,85 @@ def _variants(c: Column) -> Column:
     return F.array_distinct(F.array(c, c.withField("m", form), c.withField("m", fault)))
 
 
-def _fit_rows(docs: DataFrame) -> list:
-    """A bounded sample of candidates: the first by a hash, from about ``SAMPLE_DOCUMENTS`` documents,
+def _examples_of(docs: DataFrame) -> DataFrame:
+    """The features, ``y``, ``k`` and ``kept`` of all candidates, with ``w``, how many are alike.
 
-    each also in another form and with a fault, so that every kind shows what its check refuses.
+    Each candidate is also there in another form and with a fault, so that every kind shows what its
+    check refuses.
     """
-    rate = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
-    place = F.pmod(F.xxhash64(F.lit("personal data"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    spans = docs.filter(place < rate).select(F.explode(_bind(F.col("text"), _examples)).alias("c")).select(
-        F.col("c"), F.xxhash64("c.m", "c.before", "c.after").alias("draw")
-    )
-    chosen = spans.orderBy("draw").limit(SAMPLE)
-    all_ = chosen.select(F.explode(_variants(F.col("c"))).alias("c"), (F.pmod("draw", F.lit(4)) == 3).alias("kept"))
+    spans = docs.select(F.explode(_bind(F.col("text"), _examples)).alias("c"))
+    kept = F.pmod(F.xxhash64("c.m", "c.before", "c.after"), F.lit(4)) == 3
+    all_ = spans.select(F.explode(_variants(F.col("c"))).alias("c"), kept.alias("kept"))
     good = _sound(F.col("c")).cast("int")
-    return all_.select(_features(F.col("c")).alias("f"), good.alias("y"), F.col("c.k").alias("k"), "kept").collect()
+    found = all_.select(_features(F.col("c")).alias("f"), good.alias("y"), F.col("c.k").alias("k"), "kept")
+    return found.select("f.*", "y", "k", "kept").groupBy(*FEATURES, "y", "k", "kept").agg(
+        F.count(F.lit(1)).alias("w")
+    )
+
+
+def _cuts(examples: DataFrame, bins: int) -> list[list[np.ndarray]]:
+    """Of each kind and feature the distinct quantiles of the examples that are not kept aside."""
+    values = F.explode(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.col(name).alias("v")) for j, name in enumerate(FEATURES)
+    ])).alias("x")
+    counted = examples.filter("NOT kept").select("k", "w", values).groupBy("k", "x.j", "x.v").agg(F.sum("w").alias("w"))
+    own = Window.partitionBy("k", "j")
+    upto = own.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.select("k", "j", "v", F.sum("w").over(upto).alias("upto"), F.sum("w").over(own).alias("n"))
+    # Position floor(p * (n - 1)), from 0.
+    at = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * (i / bins)), F.col("v"))) for i in range(1, bins)]
+    cuts = [[np.zeros(0) for _ in FEATURES] for _ in KINDS]
+    for r in placed.groupBy("k", "j").agg(F.array(*at).alias("cuts")).collect():  # kinds times features
+        cuts[r.k][r.j] = np.unique(np.array(r.cuts, float))
+    return cuts
+
+
+def _cells(examples: DataFrame, cuts: list[list[np.ndarray]]) -> DataFrame:
+    """``k, kept, bins, n, good``: the number of examples and of good ones of each cell."""
+
+    def bins(own: list[np.ndarray]) -> str:
+        edges = ["array(" + ", ".join(f"{float(c)!r}D" for c in x) + ")" if len(x) else "array(0D)" for x in own]
+        return "array(" + ", ".join(f"size(filter({e}, c -> c < {name}))" for e, name in zip(edges, FEATURES, strict=True)) + ")"
+
+    # As one text: column by column it would take thousands of calls.
+    place = F.expr("CASE k " + " ".join(f"WHEN {k} THEN {bins(own)}" for k, own in enumerate(cuts)) + " END")
+    return examples.groupBy("k", "kept", place.alias("bins")).agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("good")
+    )
 
 
 def fit(docs: DataFrame) -> tuple[list[Boosted], list[float]]:
-    """Trees and the threshold of each kind, from about ``SAMPLE`` candidates."""
-    rows = _fit_rows(docs)
-    x = np.array([[r.f[name] for name in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
-    y, k = np.array([r.y for r in rows], int), np.array([r.k for r in rows], int)
-    kept = np.array([r.kept for r in rows], bool)
+    """Trees and the threshold of each kind, from all candidates of all documents."""
+    examples = materialize(_examples_of(docs), "examples")
+    bins = BINS
+    while True:
+        cuts = _cuts(examples, bins)
+        cells, count = materialize_counted(_cells(examples, cuts), "cells")
+        if count <= CELLS or bins == 2:
+            break
+        bins //= 2
+    rows = cells.orderBy("k", "kept", "bins").collect()
+    place = np.array([r.bins for r in rows], int).reshape(-1, len(FEATURES))
+    k, kept = np.array([r.k for r in rows], int), np.array([r.kept for r in rows], bool)
+    n, good = np.array([r.n for r in rows], float), np.array([r.good for r in rows], float)
     models, limits = [], []
     for i in range(len(KINDS)):
+        # A number of each bin: its upper cut, or one beyond all.
+        numbers = [np.append(c, c[-1] + 1) if len(c) else np.zeros(1) for c in cuts[i]]
         own = k == i
-        model = boost(x[own & ~kept], y[own & ~kept], TREES, DEPTH)
-        chance = 1 / (1 + np.exp(-model.odds(x[own & kept])))
-        order = np.argsort(-chance)
-        right = np.cumsum(y[own & kept][order]) / np.arange(1, len(order) + 1)
+        x = np.stack([numbers[j][np.minimum(place[own, j], len(numbers[j]) - 1)] for j in range(len(FEATURES))], axis=1)
+        a, b, aside = n[own], good[own], kept[own]
+        # A cell is its good examples and the others.
+        learn = np.concatenate([x[~aside], x[~aside]])
+        weight = np.concatenate([b[~aside], (a - b)[~aside]])
+        y = np.repeat([1, 0], int((~aside).sum()))
+        model = boost(learn[weight > 0], y[weight > 0], TREES, DEPTH, weight=weight[weight > 0], cuts=cuts[i])
+        chance = 1 / (1 + np.exp(-model.odds(x[aside])))
+        order = np.argsort(-chance, kind="stable")
+        right = np.cumsum(b[aside][order]) / np.cumsum(a[aside][order])
         scores = np.append(chance[order], 0.0)
-        good = np.flatnonzero((right >= PRECISION) & (scores[:-1] > scores[1:]))
-        limit = float(scores[good[-1]] + scores[good[-1] + 1]) / 2 if len(good) else 1.1
+        fine = np.flatnonzero((right >= PRECISION) & (scores[:-1] > scores[1:]))
+        limit = float(scores[fine[-1]] + scores[fine[-1] + 1]) / 2 if len(fine) else 1.1
         models.append(model)
         limits.append(max(LEAST_SCORE, limit))
     return models, limits

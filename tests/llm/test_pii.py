@@ -139,6 +139,38 @@ def test_boosting_learns_an_interaction():
     assert ((model.odds(x) > 0) == y).all()
 
 
+def test_a_weight_is_so_many_rows():
+    draw = np.random.default_rng(2)
+    x = draw.integers(0, 4, (200, 3)).astype(float)
+    y = ((x[:, 0] > 1) ^ (draw.random(200) < 0.2)).astype(int)
+    w = draw.integers(1, 4, 200)
+    cuts = [np.array([0.0, 1, 2])] * 3
+    a = boost(x, y, weight=w, cuts=cuts)
+    b = boost(np.repeat(x, w, axis=0), np.repeat(y, w), cuts=cuts)
+    assert np.allclose(a.odds(x), b.odds(x))
+
+
+def test_all_candidates_of_all_documents_are_examples(spark):
+    docs = spark.range(9_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("a@b.example"), F.col("id"), F.lit(".com and 10.0.0."), F.col("id") % 300).alias("text")
+    )
+    found = {(r.k, r.y): r.n for r in P._examples_of(docs).groupBy("k", "y").agg(F.sum("w").alias("n")).collect()}
+    # Each address is there in its own form and in another; 10.0.0.256 and on fail in both.
+    assert found[0, 1] == 2 * 2 * 9_000  # both patterns propose it
+    assert found[1, 1] == 2 * 2 * 30 * 256
+    models, limits = P.fit(docs)
+    assert len(models) == len(limits) == len(P.KINDS)
+
+
+def test_more_cells_than_the_driver_takes_make_bins_wider(spark, monkeypatch):
+    docs = corpus(spark)
+    seen, cuts = [], P._cuts
+    monkeypatch.setattr(P, "_cuts", lambda examples, bins: seen.append(bins) or cuts(examples, bins))
+    monkeypatch.setattr(P, "CELLS", 0)
+    assert len(P.fit(docs)[0]) == len(P.KINDS)
+    assert seen == [32, 16, 8, 4, 2]
+
+
 def test_overlaps_are_those_of_all_pairs(spark):
     import random
 
