@@ -163,7 +163,7 @@ def test_all_candidates_of_all_documents_are_examples(spark):
 
 
 def test_more_cells_than_the_driver_takes_make_bins_wider(spark, monkeypatch):
-    docs = corpus(spark)
+    docs = spark.createDataFrame([(i, f"a{i}@b.example.com and 10.0.0.{i}") for i in range(40)], "doc_id long, text string")
     seen, cuts = [], P._cuts
     monkeypatch.setattr(P, "_cuts", lambda examples, bins: seen.append(bins) or cuts(examples, bins))
     monkeypatch.setattr(P, "CELLS", 0)
