@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.llm.sharing import share, shared
-from termloom.llm.text_arrays import ALPHANUMERIC, mix, pieces, ranges, text_buffer, windows, words
+from termloom.llm.text_arrays import ALPHANUMERIC, mix, pieces, ranges, text_buffer, text_of, windows, words
 from termloom.session import materialize
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
 _SEGMENT = 1_000  # item words that travel together
-_BATCH = 2 << 20
+_BATCH = 1 << 19  # bytes of text at a time; fingerprints take some twenty times as much
 _PASSES = 4  # blocks between two written tables
 
 _CUTS = "item string, digest binary, n int"
@@ -166,15 +166,15 @@ def _count(known):
     return run
 
 
-def _mark(block):
+def _mark(block, text):
     """Add the occurrences of one block's windows to what earlier blocks have found."""
 
     def run(batches):
         index = shared(block)
         names = pa.array(index.names, pa.string())
         for batch in batches:
-            for part in pieces(batch, _BATCH):
-                digest, first = _hashed(part.column("text"))
+            for part in pieces(batch, _BATCH, text):
+                digest, first = _hashed(text_of(part, text))
                 doc, begin, window = index.find(digest, first)
                 step = np.zeros(len(digest) + 1, np.int64)
                 np.add.at(step, begin, 1)
@@ -236,9 +236,10 @@ def annotate(
     total = cuts.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     number = F.pmod(F.xxhash64("item", "digest"), F.lit(blocks))
-    plain = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    marked = plain.select(
-        "*",
+    plain = docs.select(F.col(text).alias("text"))
+    # A text travels once, within its row.
+    marked = docs.select(
+        F.struct("*").alias("row"),
         F.lit(b"").alias("cover"),
         F.array().cast("array<string>").alias("items"),
         F.lit(0).cast("long").alias("n_words"),
@@ -252,12 +253,12 @@ def annotate(
         known = block.vocabulary()
         counts = np.zeros(len(known), np.int64)
         if len(known):
-            counted = plain.select("text").mapInArrow(_count(context.broadcast(known)), _COUNTS)
+            counted = plain.mapInArrow(_count(context.broadcast(known)), _COUNTS)
             found = counted.groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
             keys = found["shingle"].to_numpy(np.int64).view(np.uint64)
             counts[np.searchsorted(known, keys)] = found["n"].to_numpy()
         block.anchor(known, counts)
-        marked = marked.mapInArrow(_mark(share(spark, block)), schema)
+        marked = marked.mapInArrow(_mark(share(spark, block), f"row.{text}"), schema)
         if i % _PASSES == _PASSES - 1 and i + 1 < blocks:
             marked = materialize(marked, "marked")
     return marked.select("row", "n_words", "n_hit", "items")

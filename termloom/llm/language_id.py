@@ -22,9 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.llm.sharing import share, shared
-from termloom.llm.text_arrays import mix, pieces, ranges, text_buffer, windows
+from termloom.llm.text_arrays import mix, pieces, ranges, text_buffer, text_of, windows
 from termloom.session import materialize
 
 ORDER = 4
@@ -335,15 +336,14 @@ def _sharpness(lead: np.ndarray) -> float:
     return best
 
 
-def _identify(data):
+def _identify(data, text):
     def run(batches):
         model, table = shared(data), letter_table()
         for batch in batches:
-            for part in pieces(batch, _BATCH):
-                entropy, sizes = model.entropies(part.column("text"), table)
+            for part in pieces(batch, _BATCH, text):
+                entropy, sizes = model.entropies(text_of(part, text), table)
                 best, score, rejected = model.judge(entropy, sizes)
                 columns = dict(zip(part.schema.names, part.columns, strict=True))
-                columns.pop("text")
                 yield pa.RecordBatch.from_pydict(
                     columns | {
                         "best": pa.array(best, pa.int32()),
@@ -362,18 +362,18 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     A text that is null or has no letter is ``und`` with score 0 and rejected; so is every text if
     there is no model. Ties go to the language whose name is first. Any length is scored whole.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    # A text travels once, within its row.
+    rows = docs.select(F.struct("*").alias("row"), letters.alias("letters"))
     if model is None:
         return rows.select(
             "row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
             F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("rejected"),
         )
     data = share(docs.sparkSession, model)
-    rows = rows.withColumn("letters", letters)
-    schema = rows.drop("text").schema.add("best", "integer").add("score", "double")
+    schema = T.StructType([*rows.schema.fields]).add("best", "integer").add("score", "double")
     schema = schema.add("cross_entropy", "double").add("rejected", "boolean")
-    found = rows.mapInArrow(_identify(data), schema)
+    found = rows.mapInArrow(_identify(data, f"row.{text}"), schema)
     name = F.array(*[F.lit(x) for x in model.langs])[F.col("best")]
     return found.select(
         "row",

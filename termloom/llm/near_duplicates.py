@@ -34,7 +34,7 @@ BLOCK = 1_500_000  # shingles of the sets that a task compares with as many othe
 _ROWS = 512  # sets of a block that are compared at a time
 _BITS = 24  # of the bitmap of wanted documents
 _COMMON = 12  # sets from which on an element is counted by a product
-_BATCH = 2 << 20
+_BATCH = 1 << 19  # bytes of text at a time; fingerprints and sketches take many times as much
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 _SET = "rep long, shingles binary"
 

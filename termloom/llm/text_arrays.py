@@ -137,9 +137,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + shift
 
 
+def text_of(batch, column: str = "text"):
+    """The texts of a batch; ``row.name`` is a field of the struct ``row``, which then travels alone."""
+    outer, _, inner = column.partition(".")
+    return batch.column(outer).field(inner) if inner else batch.column(outer)
+
+
 def pieces(batch, limit: int, column: str = "text"):
     """Cut a batch into runs of whole rows with about ``limit`` bytes of text, or one longer row."""
-    sizes = np.diff(text_buffer(batch.column(column))[1])
+    sizes = np.diff(text_buffer(text_of(batch, column))[1])
     edges = np.cumsum(sizes)
     low = 0
     while low < len(sizes):
