@@ -33,6 +33,7 @@ LEAST = 85  # percent
 BLOCK = 1_500_000  # shingles of the sets that a task compares with as many others
 _ROWS = 512  # sets of a block that are compared at a time
 _BITS = 24  # of the bitmap of wanted documents
+_SMALL = 256  # shingles that a smaller set counts for in a block, so that a block has few sets too
 _COMMON = 12  # sets from which on an element is counted by a product
 _BATCH = 1 << 19  # bytes of text at a time; fingerprints and sketches take many times as much
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
@@ -156,25 +157,14 @@ def _of(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """The documents whose number is in ``ends``.
 
     A bitmap of fixed size drops nearly all others before the join, so their texts do not move; a
-    false hit goes in the join.
+    false hit goes in the join. Both are joins of Spark's, so texts go to Python once, for their sets.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BITS))
-    # At most 2^18 words of 64 bits come here, whatever the number of documents.
-    words_ = ends.select(
-        F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, int(pmod(xxhash64(doc_id), 64)))").alias("b")
-    ).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    packed = np.zeros(1 << (_BITS - 6), np.uint64)
-    packed[words_["w"].to_numpy(np.int64)] = words_["b"].to_numpy(np.int64).view(np.uint64)
-    bits = np.unpackbits(packed.view(np.uint8), bitorder="little")
-    data = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    def run(batches):
-        known = np.unpackbits(data.value)
-        for batch in batches:
-            keep = pa.array(known[batch.column("place").to_numpy()] > 0)
-            yield batch.select(["doc_id", "text"]).filter(keep)
-
-    near = docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, text string")
+    bit = F.expr("shiftleft(1L, int(pmod(xxhash64(doc_id), 64)))")
+    # At most 2^18 words of 64 bits are broadcast, whatever the number of documents.
+    bitmap = ends.select(F.shiftright(place, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
+    marked = (F.shiftright(place, 6) == F.col("w")) & (F.col("bits").bitwiseAND(bit) != 0)
+    near = docs.select("doc_id", "text").join(F.broadcast(bitmap), marked, "left_semi")
     return near.join(ends, "doc_id", "left_semi")
 
 
@@ -287,14 +277,14 @@ def _in_blocks(active: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """Links ``a, b`` that connect all members of open buckets that are similar enough.
 
     Buckets that share members form clusters. A cluster is cut into blocks of about ``BLOCK``
-    shingles, and a task gets the sets of two blocks, or those of several small clusters. It counts
+    shingles, a small set counting for ``_SMALL``, and a task gets the sets of two blocks, or those of several small clusters. It counts
     all intersections as a matrix and returns a spanning forest of its links, so neither pairs
     nor a whole large group are ever rows or one task.
     """
     hubs = active.groupBy("key").agg(F.min("rep").alias("hub"))
     stars = active.join(hubs, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     clusters = smallest_reachable(stars.filter("a <> b"))
-    weight = active.select(F.col("rep").alias("node"), "n").distinct()
+    weight = active.select(F.col("rep").alias("node"), F.greatest("n", F.lit(_SMALL)).alias("n")).distinct()
     sizes = materialize(
         clusters.join(weight, "node").groupBy("root").agg(F.sum("n").alias("size")), "clusters"
     )

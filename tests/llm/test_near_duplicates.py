@@ -139,3 +139,35 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
         texts[i] = " ".join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(map(tuple, N.near_duplicates(docs).collect())) == brute(texts)
+
+
+def test_texts_go_to_python_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] + [(None, "x")], "doc_id long, text string")
+    ends = spark.createDataFrame([(3,), (70,), (900,)], "doc_id long")
+    sets = N._of(docs, ends).mapInArrow(N._sets, N._SET)
+    # Each Python step of a task has a worker of its own, and all of them are alive at once.
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {r.rep for r in sets.collect()} == {3, 70}
+
+
+def test_small_sets_fill_a_block_too(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4_000)
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    texts = {i: " ".join([*base, f"w{i % 3}", f"v{i}"]) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = spark.createDataFrame([(1, i, 24, 24, 60, 0.0) for i in texts], "key long, rep long, n long, c long, members long, place double")
+    most, forest = spark.sparkContext.accumulator(0), N._forest
+
+    def counted(least):
+        run = forest(least)
+
+        def watched(table):
+            most.add(int(table.num_rows > 35))
+            return run(table)
+
+        return watched
+
+    monkeypatch.setattr(N, "_forest", counted)
+    assert N._in_blocks(members, docs, 85).count() >= 0 and most.value == 0
+    assert sorted(map(tuple, N.near_duplicates(docs).collect())) == brute(texts)
