@@ -44,7 +44,8 @@ def read_terms(t):
 @query("read_scores_lenient", """SELECT source, target || ', "q"' AS target, score FROM {scores}""")
 def read_scores(t):
     # Some ids hold commas and quotes.
-    scores = t.scores().withColumn("target", F.concat("target", F.lit(', "q"')))
+    # Written first, as two writes read them.
+    scores = t.written(t.scores(), "scores").withColumn("target", F.concat("target", F.lit(', "q"')))
     path = _csv(t, scores, "scores", quoteAll=True)
     # Malformed lines in a file of their own; its first one is taken for the header.
     broken = F.concat(F.lit("no score for "), F.col("source"))
