@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -250,3 +252,33 @@ def test_workers_need_no_package(tmp_path):
         text=True, timeout=120,
     )
     assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
+def _peak(job):
+    tracemalloc.start()
+    try:
+        return job(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_kernel_holds_one_product(monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_TARGETS", 2000)
+    draw = np.random.default_rng(3)
+    targets = draw.normal(size=(9000, 16))
+    targets /= np.linalg.norm(targets, axis=1)[:, None]
+    block, narrow = targets[:300].copy(), targets.astype(np.float32)
+    (rows, cols, scores), peak = _peak(lambda: _best(block, targets, narrow, 5, None, 9))
+    assert peak < 1.8 * 300 * 2000 * 5  # four bytes of a product and one of a mark
+    exact = np.round(block @ targets.T, 9)
+    assert (rows == np.repeat(np.arange(300), 5)).all()
+    assert np.allclose(scores.reshape(300, 5), -np.sort(-exact, axis=1)[:, :5])
+
+
+def test_unit_rows_hold_one_copy():
+    flat = np.random.default_rng(4).normal(size=4000 * 32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(4001, dtype=np.int32) * 32), pa.array(flat))
+    ids = pa.array([f"{i:05}" for i in range(4000)])
+    (own, vectors), peak = _peak(lambda: similarity._unit_rows(ids, lists))
+    assert peak < 1.7 * flat.nbytes
+    assert own.equals(ids) and np.allclose((vectors * vectors).sum(axis=1), 1)
