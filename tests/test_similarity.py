@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from termloom.functions.vectors import cosine, decode_embeddings, encode_embeddings
@@ -139,6 +140,41 @@ def test_groups_that_would_copy_more_than_the_grid_are_given_up(frame, monkeypat
     assert len(seen) == 3
 
 
+def test_a_probe_gives_groups_up_before_anything_is_grouped(frame, monkeypatch):
+    random = np.random.default_rng(6)
+    rows = lambda name, vs: [(f"{name}{i}", [float(np.float32(x)) for x in v]) for i, v in enumerate(vs)]
+    grouped, pruned = [], similarity._pruned
+    monkeypatch.setattr(similarity, "_pruned", lambda *a, **b: grouped.append(1) or pruned(*a, **b))
+    monkeypatch.setattr(similarity, "LANE_BYTES", 100 * 8 * 16)
+    monkeypatch.setattr(similarity, "PRUNE_GAIN", 0)
+    monkeypatch.setattr(similarity, "PROBE_ROWS", 400)
+    sources, targets = rows("s", random.normal(size=(300, 16))), rows("t", random.normal(size=(900, 16)))
+    close(got(topk_similar(frame(sources, VECTORS), frame(targets, VECTORS), 3)), brute(sources, targets, 3))
+    assert not grouped
+    centres = random.normal(size=(12, 16)) * 10
+    near = lambda n: centres[np.arange(n) % 12] + random.normal(size=(n, 16)) * 0.01
+    sources, targets = rows("s", near(300)), rows("t", near(900))
+    monkeypatch.setattr(similarity, "CELL_ROWS", 0)
+    close(got(topk_similar(frame(sources, VECTORS), frame(targets, VECTORS), 3, digits=4)),
+          brute(sources, targets, 3, digits=4))
+    assert grouped
+
+
+def test_a_cell_has_a_task_of_its_own(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("id"), F.array(F.lit(1.0)).alias("embedding"))
+    here = lambda rows: pa.table({"cell": rows[2][:1], "task": [TaskContext.get().partitionId()]})
+    for side, own, other in (("s", 5, 7), ("t", 7, 5)):
+        found = similarity._lanes(df, side, own, other, 35).applyInArrow(here, "cell int, task long").collect()
+        assert len(found) == len({row["task"] for row in found}) == 35
+
+
+@pytest.mark.parametrize("share", [0, 0.001, 0.05, 0.5, 1])
+@pytest.mark.parametrize("size", [0, 5, 64, 4099])
+def test_marks_are_found(size, share):
+    marks = np.random.default_rng(size).random(size + 3)[:size] < share
+    assert (similarity._marked(marks) == np.flatnonzero(marks)).all()
+
+
 @pytest.mark.parametrize("lanes", [(1, 1), (1, 3), (2, 1), (4, 5)])
 def test_rows_of_one_id_are_one_thing(frame, lanes):
     random = np.random.default_rng(8)
