@@ -196,3 +196,20 @@ def test_density_is_that_of_the_direct_sum(frame):
         direct = [np.exp(-(((x - np.array(vs)) / width) ** 2) / 2).sum() / (len(vs) * width * math.sqrt(2 * math.pi)) for x in xs]
         assert np.abs(np.array(ds) - direct).max() < 2e-3 * max(direct)
     assert statistics.density(frame([], "g string, v double"), ["g"], "v").collect() == []
+
+
+def test_replicates_are_drawn_by_tasks_of_bounded_rows_in_one_job(frame, monkeypatch):
+    random = np.random.default_rng(8)
+    rows = frame([(i, "ab"[i % 2], float(x)) for i, x in enumerate(random.normal(size=230))], "i int, g string, y double")
+    run = lambda: statistics.durbin_watson_test(rows, "y", ["g"], ["i"], replicates=50).first()
+    whole, written, write = run(), {}, statistics.materialize
+
+    def kept(df, name):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(statistics, "materialize", kept)
+    monkeypatch.setattr(statistics, "REPLICATE_ROWS", 50, raising=False)
+    cut = run()
+    assert written["replicate-sums"].count() == 5  # 230 rows, 50 a task
+    assert np.allclose(tuple(cut), tuple(whole))
