@@ -311,6 +311,37 @@ def test_kernel_holds_one_product(monkeypatch):
     assert np.allclose(scores.reshape(300, 5), -np.sort(-exact, axis=1)[:, :5])
 
 
+@pytest.mark.parametrize("minimum", [None, 0.3])
+def test_kernel_scores_few_pairs_twice(monkeypatch, minimum):
+    """Double precision is for pairs that single precision leaves among the best of all targets."""
+    draw = np.random.default_rng(5)
+    targets = draw.normal(size=(20_000, 32))
+    targets /= np.linalg.norm(targets, axis=1)[:, None]
+    block, narrow, plain, pairs = targets[:600].copy(), targets.astype(np.float32), similarity._scores, []
+    monkeypatch.setattr(similarity, "_scores", lambda b, t, r, c: pairs.append(len(r)) or plain(b, t, r, c))
+    rows, cols, _ = _best(block, targets, narrow, 10, minimum, 9)
+    exact = np.round(block @ targets.T, 9)
+    assert (cols.reshape(600, 10) == np.argsort(-exact, axis=1, kind="stable")[:, :10]).all()
+    assert (rows == np.repeat(np.arange(600), 10)).all()
+    assert sum(pairs) < 1.2 * 600 * 10
+
+
+@pytest.mark.parametrize("copies", [60, 4000])
+def test_kernel_holds_no_more_ties_than_places(monkeypatch, copies):
+    """Equal targets cannot be thinned out by their products, but only so many are held."""
+    monkeypatch.setattr(similarity, "BLOCK_TARGETS", 500)
+    draw = np.random.default_rng(6)
+    targets = np.repeat(draw.normal(size=(24_000 // copies, 16)), copies, axis=0)
+    targets = targets[draw.permutation(len(targets))]
+    targets /= np.linalg.norm(targets, axis=1)[:, None]
+    block, narrow = targets[:200].copy(), targets.astype(np.float32)
+    (rows, cols, _), peak = _peak(lambda: _best(block, targets, narrow, 5, None, 9))
+    exact = np.round(block @ targets.T, 9)
+    assert (cols.reshape(200, 5) == np.argsort(-exact, axis=1, kind="stable")[:, :5]).all()
+    assert (rows == np.repeat(np.arange(200), 5)).all()
+    assert peak < 12 * 200 * 500 * 4
+
+
 def test_unit_rows_hold_one_copy():
     flat = np.random.default_rng(4).normal(size=4000 * 32)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(4001, dtype=np.int32) * 32), pa.array(flat))
